@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, topk, transport_stream, warc
+from . import bpe, chat, mixing, topk, transport_stream, warc
 from .common import ship
 
 
@@ -38,5 +38,17 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_stream, op2_mixing, op3_warc, op4_chat, op5_top_k)}
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_stream, op2_mixing, op3_warc, op4_chat, op5_top_k, op6_bpe)}
 ORACLES = {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_chat": chat.SQL, "op5_top_k": topk.SQL}
