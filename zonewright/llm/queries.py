@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, topk, transport_stream, warc
+from . import bpe, chat, langid, license_scan, mixing, topk, transport_stream, warc
 from .common import ship
 
 
@@ -50,5 +50,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_stream, op2_mixing, op3_warc, op4_chat, op5_top_k, op6_bpe)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_stream, op2_mixing, op3_warc, op4_chat, op5_top_k, op6_bpe, op9_language_id, op10_license_scan)}
 ORACLES = {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_chat": chat.SQL, "op5_top_k": topk.SQL}
