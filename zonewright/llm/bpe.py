@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -270,16 +271,16 @@ def loaded(spec: str) -> Bpe:
     return _loaded[key]
 
 
-def _with_ids(coder: Bpe, texts):
-    """(text, ids) of each value, a bounded number of characters at a time."""
-    run, size = [], 0
-    for x in texts:
-        run.append(x.as_py())
-        size += len(run[-1])
+def _slices(sizes: list[int]):
+    """(start, end) of runs of texts with a bounded number of characters."""
+    at = size = 0
+    for i, n in enumerate(sizes):
+        size += n
         if size >= TOGETHER:
-            yield from zip(run, coder.encode_many(run))
-            run, size = [], 0
-    yield from zip(run, coder.encode_many(run))
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(sizes) or not sizes:
+        yield at, len(sizes)
 
 
 def _mapped(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], fields: list[tuple[str, str, pa.DataType]], row) -> DataFrame:
@@ -293,9 +294,12 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], fields
         gc.disable()  # the memos hold many tuples and no cycles
         coder = loaded(spec.value)
         for b in batches:
-            rows = [row(coder, x, ids) for x, ids in _with_ids(coder, b.column("_text"))]
-            made = zip(*rows) if rows else ([] for _ in fields)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(c, f[2]) for c, f in zip(made, fields))], names=names)
+            for start, end in _slices(pc.utf8_length(b.column("_text")).to_pylist()):
+                part = b.slice(start, end - start)
+                texts = part.column("_text").to_pylist()
+                rows = [row(coder, x, ids) for x, ids in zip(texts, coder.encode_many(texts))]
+                made = zip(*rows) if rows else ([] for _ in fields)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(c, f[2]) for c, f in zip(made, fields))], names=names)
 
     return cols.mapInArrow(run, schema)
 
@@ -327,3 +331,12 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
         return len(ids), hashlib.sha256(coder.joined(ids).encode()).hexdigest(), hashlib.sha256(coder.decode(ids).encode()).hexdigest()
 
     return _mapped(docs, path, text, keep, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], row)
+
+
+def tokenized(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The token ids of each text, with their number and the digest of what they decode to."""
+
+    def row(coder: Bpe, x: str, ids: list[int]) -> tuple:
+        return ids, len(ids), hashlib.sha256(coder.decode(ids).encode()).hexdigest()
+
+    return _mapped(docs, path, text, keep, [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "long", pa.int64()), ("decoded_sha256", "string", pa.string())], row)
