@@ -79,7 +79,7 @@ def span(c: Column, start: int, end: int) -> Column:
 
 def replaced(c: Column, start: int, end: int, how) -> Column:
     """The line with how() applied to one range."""
-    return F.concat(F.substring(c, 1, start), how(span(c, start, end)), F.substring(c, end + 1, 1 << 20))
+    return let(c, lambda x: F.concat(F.substring(x, 1, start), how(span(x, start, end)), F.substring(x, end + 1, 1 << 20)))
 
 
 def defiller(c: Column) -> Column:
@@ -95,14 +95,13 @@ def aggressive_defiller(c: Column) -> Column:
 
 
 def fix_doc_code(c: Column) -> Column:
-    return F.when(span(c, 1, 2) == "K", F.overlay(c, F.lit("<"), F.lit(2), F.lit(1))).otherwise(c)
+    return let(c, lambda x: F.when(span(x, 1, 2) == "K", F.overlay(x, F.lit("<"), F.lit(2), F.lit(1))).otherwise(x))
 
 
 def fix_name_separator(c: Column) -> Column:
     """A name without << gets it at its first KK."""
-    body = rtrim_filler(c)
-    at = F.instr(body, "KK")
-    return F.when((F.instr(body, "<<") == 0) & (at > 0), F.overlay(c, F.lit("<<"), at, F.lit(2))).otherwise(c)
+    broken = lambda x: (F.instr(rtrim_filler(x), "<<") == 0) & (F.instr(x, "KK") > 0)
+    return let(c, lambda x: F.when(broken(x), F.overlay(x, F.lit("<<"), F.instr(x, "KK"), F.lit(2))).otherwise(x))
 
 
 def longest_filler_run(c: Column) -> Column:
@@ -121,7 +120,11 @@ def longest_filler_run(c: Column) -> Column:
 
 def fit_length(c: Column, width: int) -> Column:
     """Readings of a line as one of the given width: its longest filler run stretched or shrunk, and its ends padded or cut."""
-    n, run = F.length(c), longest_filler_run(c)
+    return let(longest_filler_run(c), lambda run: _fitted(c, run, width))
+
+
+def _fitted(c: Column, run: Column, width: int) -> Column:
+    n = F.length(c)
     fill = lambda k: F.rpad(F.lit(""), k, F.lit("<"))
     stretched = F.concat(F.substr(c, F.lit(1), run["start"] + run["len"]), fill(width - n), F.substr(c, run["start"] + run["len"] + 1))
     shrunk = F.concat(F.substr(c, F.lit(1), run["start"]), fill(run["len"] - (n - width)), F.substr(c, run["start"] + run["len"] + 1))
@@ -132,10 +135,14 @@ def fit_length(c: Column, width: int) -> Column:
 
 def variants(raw: Column, width: int, repair) -> Column:
     """Candidate readings of a line, each repaired, as it is, and with every doubtful filler; none if it isn't near the width."""
-    c = normalize_line(raw)
-    forms = F.flatten(F.transform(fit_length(c, width), lambda x: F.array(repair(x), x, aggressive_defiller(repair(x)))))
-    ok = F.length(c).between(width - 14, width + 4) & is_mrz_charset(c)
-    return F.when(ok, F.array_distinct(forms)).otherwise(F.array().cast("array<string>"))
+
+
+    def forms(c: Column) -> Column:
+        three = lambda x: let(repair(x), lambda r: F.array(r, x, aggressive_defiller(r)))
+        ok = F.length(c).between(width - 14, width + 4) & is_mrz_charset(c)
+        return F.when(ok, F.array_distinct(F.flatten(F.transform(fit_length(c, width), three)))).otherwise(F.array().cast("array<string>"))
+
+    return let(normalize_line(raw), forms)
 
 
 def repair_line(c: Column, layout, line: int) -> Column:
