@@ -171,7 +171,7 @@ def blindspot(a: Column, b: Column) -> Column:
     legal = lambda c: c.rlike(r"\A[A-Z0-9<]\z")
     x, y = char_value(a), char_value(b)
     kind = F.when(~(legal(a) & legal(b)), "not_mrz_charset").when(a == b, "identical").when(x % 10 == y % 10, "blind").otherwise("caught")
-    value = F.when(kind == "blind", x % 10).when(kind == "caught", F.pmod(y - x, F.lit(10)))
+    value = F.when(kind == "blind", x % 10).when(kind == "caught", F.pmod(x - y, F.lit(10)))
     return F.struct(kind.alias("kind"), value.cast("int").alias("value"))
 
 

@@ -250,7 +250,7 @@ def solve_confused_character(spark, sf_dir):
 @query(
     f"""WITH a AS (SELECT substr('{ALPHABET}', i::INTEGER, 1) AS c, (i - 1) % 36 AS v FROM range(1, 38) r(i))
 SELECT x.c AS a, y.c AS b, CASE WHEN x.c = y.c THEN 'identical' WHEN x.v % 10 = y.v % 10 THEN 'blind' ELSE 'caught' END AS kind,
-  (CASE WHEN x.c = y.c THEN NULL WHEN x.v % 10 = y.v % 10 THEN x.v % 10 ELSE ((y.v - x.v) % 10 + 10) % 10 END)::INTEGER AS value FROM a x, a y"""
+  (CASE WHEN x.c = y.c THEN NULL WHEN x.v % 10 = y.v % 10 THEN x.v % 10 ELSE ((x.v - y.v) % 10 + 10) % 10 END)::INTEGER AS value FROM a x, a y"""
 )
 def blindspots(spark, sf_dir):
     a = spark.range(37).select(F.substr(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)).alias("a"))
