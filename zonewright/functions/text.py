@@ -63,7 +63,7 @@ def is_noise_line(c: Column, most: int = 2, share: float = 0.5) -> Column:
 
 def noise_fraction(lines: Column) -> Column:
     """Of an array of lines that aren't zone lines; null for none."""
-    return F.when(F.size(lines) > 0, F.size(F.filter(lines, is_noise_line)) / F.size(lines))
+    return F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: is_noise_line(x))) / F.size(lines))
 
 
 def keyword_hits(c: Column, groups: dict[str, tuple[str, ...]]) -> Column:

@@ -94,15 +94,16 @@ def long_document_numbers(spark, sf_dir):
 
 @query(
     f"""WITH {HOLDERS}, e AS (SELECT doc_id, doc_id % 5 AS k, issuer FROM h)
-SELECT doc_id, ([NULL, 'BadLength', 'BadCharacter', 'BadDocumentCode', 'BadLength'])[(k + 1)::INTEGER] AS kind, CASE WHEN k IN (1, 4) THEN 44 END::INTEGER AS expected,
-  CASE k WHEN 1 THEN 43 WHEN 4 THEN 45 END::INTEGER AS got, CASE k WHEN 2 THEN '#' WHEN 3 THEN 'X<' END AS detail FROM e"""
+SELECT doc_id, ([NULL, 'BadLength', 'BadCharacter', 'BadDocumentCode', 'BadLength'])[(k + 1)::INTEGER] AS kind, (CASE WHEN k IN (1, 4) THEN 44 ELSE -1 END)::INTEGER AS expected,
+  (CASE k WHEN 1 THEN 43 WHEN 4 THEN 45 ELSE -1 END)::INTEGER AS got, CASE k WHEN 2 THEN '#' WHEN 3 THEN 'X<' END AS detail FROM e"""
 )
 def parse_errors(spark, sf_dir):
     z = holders(spark, sf_dir).select("doc_id", zone_of(TD3).alias("z"), (F.col("doc_id") % 5).alias("k"))
     a, b, k = F.col("z")[0], F.col("z")[1], F.col("k")
     first = F.when(k == 3, F.overlay(a, F.lit("X"), F.lit(1), F.lit(1))).when(k == 1, F.substring(a, 1, 43)).otherwise(a)
     second = F.when(k == 2, F.overlay(b, F.lit("#"), F.lit(5), F.lit(1))).when(k == 4, F.concat(b, F.lit("<"))).otherwise(b)
-    return z.select("doc_id", parse.error([first, second], TD3).alias("e")).select("doc_id", "e.*")
+    e = z.select("doc_id", parse.error([first, second], TD3).alias("e"))
+    return e.select("doc_id", "e.kind", F.coalesce("e.expected", F.lit(-1)).alias("expected"), F.coalesce("e.got", F.lit(-1)).alias("got"), "e.detail")
 
 
 @query(
@@ -250,12 +251,12 @@ def solve_confused_character(spark, sf_dir):
 @query(
     f"""WITH a AS (SELECT substr('{ALPHABET}', i::INTEGER, 1) AS c, (i - 1) % 36 AS v FROM range(1, 38) r(i))
 SELECT x.c AS a, y.c AS b, CASE WHEN x.c = y.c THEN 'identical' WHEN x.v % 10 = y.v % 10 THEN 'blind' ELSE 'caught' END AS kind,
-  (CASE WHEN x.c = y.c THEN NULL WHEN x.v % 10 = y.v % 10 THEN x.v % 10 ELSE ((x.v - y.v) % 10 + 10) % 10 END)::INTEGER AS value FROM a x, a y"""
+  (CASE WHEN x.c = y.c THEN -1 WHEN x.v % 10 = y.v % 10 THEN x.v % 10 ELSE ((x.v - y.v) % 10 + 10) % 10 END)::INTEGER AS value FROM a x, a y"""
 )
 def blindspots(spark, sf_dir):
     a = spark.range(37).select(F.substr(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)).alias("a"))
     g = a.select("a", F.explode(F.array(*map(F.lit, ALPHABET))).alias("b"))
-    return g.select("a", "b", ck.blindspot(F.col("a"), F.col("b")).alias("s")).select("a", "b", "s.kind", "s.value")
+    return g.select("a", "b", ck.blindspot(F.col("a"), F.col("b")).alias("s")).select("a", "b", "s.kind", F.coalesce("s.value", F.lit(-1)).alias("value"))
 
 
 @query(
@@ -338,6 +339,11 @@ def normalize_records(spark, sf_dir):
 # ---- confidence, findings, routing ---------------------------------------------------------------------
 
 
+def _kept(c):
+    """A column that later expressions and filters read and never recompute: a generator is a barrier to merging them."""
+    return F.explode(F.array(c))
+
+
 def _records(spark, sf_dir):
     """Zones with a model's record beside them, which errs by the id."""
     h = holders(spark, sf_dir)
@@ -349,7 +355,7 @@ def _records(spark, sf_dir):
     }
     record = F.struct(*(said[f].cast("string").alias(f) for f in CORE_FIELDS))
     h = h.select("doc_id", "issuer", record.alias("record"), zone_of(TD3).alias("z"))
-    return h.select("doc_id", "issuer", "record", F.when(k % 7 != 0, parse.parse([F.col("z")[0], F.col("z")[1]], TD3)).alias("mrz"))
+    return h.select("doc_id", "issuer", "record", _kept(F.when(k % 7 != 0, parse.parse([F.col("z")[0], F.col("z")[1]], TD3))).alias("mrz"))
 
 
 @query(
@@ -380,13 +386,13 @@ def integrity_findings(spark, sf_dir):
 @query(
     f"""WITH {HOLDERS}, f AS (SELECT *, doc_id % 7 <> 0 AS z, doc_id % 4 = 0 AS s, doc_id % 5 = 0 AND issuer <> 'FRA' AS n FROM h)
 SELECT doc_id, CASE WHEN z THEN num WHEN doc_id % 3 = 0 THEN '??' ELSE num END AS document_number, CASE WHEN z THEN {iso('dob', '19')} WHEN doc_id % 6 = 0 THEN NULL ELSE '1970-01-01' END AS date_of_birth,
-  CASE WHEN z THEN (n::INTEGER + s::INTEGER)::INTEGER END AS n_findings, (CASE WHEN z THEN 1.0 WHEN doc_id % 3 = 0 THEN 0.3 ELSE 0.65 END)::FLOAT AS number_confidence,
+  (CASE WHEN z THEN n::INTEGER + s::INTEGER ELSE -1 END)::INTEGER AS n_findings, (CASE WHEN z THEN 1.0 WHEN doc_id % 3 = 0 THEN 0.3 ELSE 0.65 END)::FLOAT AS number_confidence,
   (CASE WHEN z AND s THEN 0.3 ELSE 0.65 END)::FLOAT AS surname_confidence, (CASE WHEN z AND n THEN 0.3 ELSE 0.65 END)::FLOAT AS nationality_confidence FROM f"""
 )
 def fusion(spark, sf_dir):
     r = fuse.fused(_records(spark, sf_dir), _COUNTRIES)
     return r.select(
-        "doc_id", "fields.document_number", "fields.date_of_birth", F.when(F.col("findings").isNotNull(), F.size("findings")).alias("n_findings"), F.col("confidence.document_number").alias("number_confidence"),
+        "doc_id", "fields.document_number", "fields.date_of_birth", F.when(F.col("findings").isNotNull(), F.size("findings")).otherwise(-1).alias("n_findings"), F.col("confidence.document_number").alias("number_confidence"),
         F.col("confidence.surname").alias("surname_confidence"), F.col("confidence.nationality").alias("nationality_confidence"),
     )
 
@@ -410,7 +416,7 @@ def _runs(spark, sf_dir):
     """Truth and reading per order: some not found, some invalid, some with a wrong number."""
     k = F.col("doc_id")
     h = holders(spark, sf_dir).select("doc_id", "segment", zone_of(TD3).alias("z"))
-    h = h.select("doc_id", "segment", parse.parse([F.col("z")[0], F.col("z")[1]], TD3).alias("truth"))
+    h = h.select("doc_id", "segment", _kept(parse.parse([F.col("z")[0], F.col("z")[1]], TD3)).alias("truth"))
     got = F.col("truth").withField("document_number", F.when(k % 5 == 0, F.concat(F.substring("truth.document_number", 1, 8), F.lit("X"))).otherwise(F.col("truth.document_number")))
     h = h.withColumns({"got": F.when(k % 11 != 0, got), "valid": k % 3 != 0})
     kind = evaluate.miss_kind(F.col("truth"), F.col("got"), F.col("valid"))
@@ -533,7 +539,7 @@ SELECT doc_id, count(*) AS lines, count(*) FILTER (len(x) <= 2 OR len(regexp_rep
 )
 def noise_lines(spark, sf_dir):
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, text.is_noise_line)).cast("long").alias("noise"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: text.is_noise_line(x))).cast("long").alias("noise"))
 
 
 @query("SELECT page_id, sha256(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')) AS digest FROM pages")
