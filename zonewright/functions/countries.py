@@ -47,21 +47,24 @@ class Countries:
         for code, name in rows:  # the first row of a name wins
             by_name.setdefault(_upper(name), code)
             by_code.setdefault(_upper(code), name)
-        literal = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
-        self._names, self._any, self._codes = literal(dict(rows)), literal(by_code), literal(by_name)
+        self._names, self._any, self._codes = dict(rows), by_code, by_name
+
+    @staticmethod
+    def _at(table: dict[str, str], key: Column) -> Column:
+        return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[key]
 
     def name(self, code: Column) -> Column:
         """Exact and case-sensitive; null if unknown."""
-        return self._names[code]
+        return self._at(self._names, code)
 
     def code_for_name(self, name: Column) -> Column:
         """Ignores ASCII case."""
-        return self._codes[ascii_upper(name)]
+        return self._at(self._codes, ascii_upper(name))
 
     def equivalent(self, a: Column, b: Column) -> Column:
         """Equal but for ASCII case, or codes of one country."""
         x, y = ascii_upper(a), ascii_upper(b)
-        return F.coalesce((x == y) | (self._any[x] == self._any[y]), F.lit(False))
+        return F.coalesce((x == y) | (self._at(self._any, x) == self._at(self._any, y)), F.lit(False))
 
 
 def _upper(s: str) -> str:
