@@ -2,18 +2,20 @@ r"""N-gram Jaccard join by token-combination prefixes: components of documents w
 
 Documents with equal sets are one class; all that follows is about classes, each named by a 64-bit digest of its set.
 
-1. Screen. Tokens (hashed shingles) are ordered: first those below a hash bound that only one class has (unique), then those that exactly two
-   rows have (rare), then all others (frequent), by hash within each. Two linked classes share a token of their prefixes of
-   n - ceil(t n) + 1 tokens, and not a unique one; a class whose prefix is all unique has no partner and is done. The counts that this needs
-   are one aggregate by token over a fixed fraction of the tokens; the bound depends on the hash only, so it cuts no class short.
+1. Screen. Tokens (hashed shingles) are ordered: first those that only one class has (unique), then those that exactly two have (rare), then all
+   others (frequent), by hash within each. Two linked classes share a token of their prefixes of n - ceil(t n) + 1 tokens, and not
+   a unique one; a class whose prefix is all unique has no partner and is done. A first pass counts only the tokens below a hash bound (those
+   above count as frequent, so the order stays the same for all), the next ones all tokens of the classes left. What isn't unique in a class bounds its
+   overlap with any other, a filter for all later pairs.
 2. Index. A rare token names its two classes: single tokens suffice for classes whose prefix ends among the rare. Where it reaches the frequent
    tokens, the prefix is extended to the whole set and cut by hash into M token classes, and the combination of the tokens in each is indexed: two
    linked sets differ in at most H = 15/185 of their joint size (for t = 0.85), so with M > H + E at least E + 1 combinations agree. Only sets with more than E empty
    classes could agree in empty ones alone; those index their empty classes too. M belongs to a ladder of set sizes in steps of 1/t; linked
-   sizes are on the same or the next rung, and each set indexes both.
-3. Verify. Within a bucket each class is first paired with one leader, and links are verified exactly on whole sets; buckets that then hold more than
-   one component pair members of different components, first with further leaders, and in the end all pairs that are left. So no
-   bucket of alike texts is expanded into all pairs, and no link between different components is lost.
+   sizes are on the same or the next rung, and each set indexes both. A set leaves the buckets in which no other could overlap it enough.
+3. Verify. Within a bucket each class is first paired with one leader, and links are verified exactly on whole sets. Members of buckets that
+   then still hold more than one component are compared by signatures, a byte for each of 4 (H + 1) token classes of which linked sets differ in at most H,
+   tile by tile, and the pairs of different components that pass are verified. So no bucket of alike texts is expanded into all
+   pairs, and no link between different components is lost.
 4. Components by contraction and pointer jumping over the links.
 
 Defined results: a null text, or one without words, has no shingles and links with nothing; shorter texts than k words are one
@@ -34,8 +36,8 @@ from .common import Words, mix, remove, shingle_set, stored
 
 #: Words of a shingle, least similarity in percent, and the fraction of the hash range that the screen counts.
 WORDS, PERCENT, SCREEN = 4, 85, 0.25
-#: Rounds of leaders before all remaining pairs of a bucket are verified, and pairs a row of the index that make another round worth it.
-ROUNDS, MANY = 6, 4
+#: Members of a bucket that one tile compares with as many others, and screens on whole sets.
+BLOCK, SCREENS = 1024, 2
 _K = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -62,26 +64,38 @@ class Ladder:
         return h + 1 + spare, spare
 
 
-def combination_keys(tokens: np.ndarray, ladder: Ladder) -> np.ndarray:
-    """The index keys of a set: a key for the combination of its tokens in each token class, on its rung and the next."""
-    out, c0 = [], ladder.rung(len(tokens))
-    mixed, place = mix(tokens ^ _K[0]), mix(tokens ^ _K[1])
+def _sums(tokens: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token classes in use, of m, and a hash of the combination of tokens in each."""
+    j = (mix(tokens ^ _K[1]) % np.uint64(m)).astype(np.int64)
+    order = np.argsort(j, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(j[order]) != 0))
+    return j[order][first], np.add.reduceat(mix(tokens ^ _K[0])[order], first)
+
+
+def combination_keys(tokens: np.ndarray, ladder: Ladder) -> tuple[np.ndarray, np.ndarray]:
+    """The index keys of a set and their rungs: one for the combination of its tokens in each token class, on its rung and the next."""
+    keys, rungs, c0 = [], [], ladder.rung(len(tokens))
     for c in (c0, c0 + 1):
-        salt = np.array([c], np.uint64) * _K[3]
         if not ladder.differ(c):
             continue  # on this rung only equal sets link
         m, spare = ladder.classes(c)
-        j = (place % np.uint64(m)).astype(np.int64)
-        order = np.argsort(j, kind="stable")
-        js = j[order]
-        first = np.flatnonzero(np.append(True, js[1:] != js[:-1]))
-        sums = np.add.reduceat(mixed[order], first)
-        used = js[first]
-        out.append(mix(sums + used.astype(np.uint64) * _K[2] + salt))
+        salt = np.array([c], np.uint64) * _K[3]
+        used, sums = _sums(tokens, m)
+        own = [mix(sums + used.astype(np.uint64) * _K[2] + salt)]
         if m - len(used) > spare:
-            empty = np.setdiff1d(np.arange(m), used).astype(np.uint64)
-            out.append(mix(empty * _K[2] + salt + _K[1]))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            own.append(mix(np.setdiff1d(np.arange(m), used).astype(np.uint64) * _K[2] + salt + _K[1]))
+        keys += own
+        rungs.append(np.full(sum(map(len, own)), c, np.int64))
+    return (np.concatenate(keys), np.concatenate(rungs)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def signature(tokens: np.ndarray, ladder: Ladder, c: int) -> bytes:
+    """A byte for each of 4 (H + 1) token classes of a rung: linked sets differ in at most H of them, most others in far more."""
+    m = 4 * (ladder.differ(c) + 1)
+    out = np.zeros(m, np.uint8)
+    used, sums = _sums(tokens, m)
+    out[used] = (mix(sums) & np.uint64(255)).astype(np.uint8)
+    return out.tobytes()
 
 
 def digest_of(tokens: np.ndarray) -> int:
@@ -117,29 +131,85 @@ def _screened(docs: DataFrame, ident: str, text: str, words: int, screen: float)
     return docs.select(F.col(ident), F.col(text).cast("binary")).mapInArrow(run, f"id {kind}, d long, n long, low array<long>")
 
 
-def _sets(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(rep, d, combos, text) to whole sets (d, n, tokens) and, where combos is true, the index keys. A row whose text isn't the class's is dropped."""
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(d, t) to whole sets (d, n, tokens). A row whose text isn't the class's (an id given twice) is dropped."""
 
     def run(batches):
-        split, ladder = Words(), Ladder(percent)
+        split = Words()
         for b in batches:
-            want, combos, rows = b.column("d").to_pylist(), b.column("combos").to_pylist(), []
+            want, rows, size = b.column("d").to_pylist(), [], 0
             for first, arrays in split.of([x.as_py() for x in b.column("t")]):
                 for i, h in enumerate(arrays, first):
                     s = shingle_set(h, words)
                     if digest_of(s) == want[i]:
-                        rows.append((want[i], len(s), s.tobytes(), combination_keys(s, ladder) if combos[i] else np.empty(0, np.uint64)))
-                if sum(len(r[2]) for r in rows[-4096:]) > 1 << 23 or len(rows) >= 4096:
+                        rows.append((want[i], s))
+                        size += len(s)
+                if size > 1 << 20:
                     yield batch(rows)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield batch(rows)
 
     def batch(rows):
-        d, n, t, k = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(t, pa.binary()), _lists(list(k))], names=["d", "n", "tokens", "keys"])
+        d, t = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(map(len, t), pa.int64()), _lists(list(t))], names=["d", "n", "tokens"])
+
+    return texts.select("d", F.col("t").cast("binary").alias("t")).mapInArrow(run, "d long, n long, tokens array<long>")
+
+
+def _index(sets: DataFrame, percent: int) -> DataFrame:
+    """(d, n, s, keys, rungs) of whole sets."""
+
+    def run(batches):
+        ladder = Ladder(percent)
+        for b in batches:
+            keys, rungs = zip(*(combination_keys(_tokens(x), ladder) for x in b.column("tokens"))) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("n"), b.column("s"), _lists(list(keys)), _lists(list(rungs))], names=["d", "n", "s", "keys", "rungs"])
+
+    return sets.select("d", "n", "s", "tokens").mapInArrow(run, "d long, n long, s long, keys array<long>, rungs array<long>")
+
+
+def _signed(sets: DataFrame, percent: int) -> DataFrame:
+    """(d, c, sig): each set's signatures on its rung and the next."""
+
+    def run(batches):
+        ladder = Ladder(percent)
+        for b in batches:
+            rows = [(d, c, signature(t, ladder, c)) for d, t in ((d.as_py(), _tokens(x)) for d, x in zip(b.column("d"), b.column("tokens"))) for c in (ladder.rung(len(t)), ladder.rung(len(t)) + 1)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["d", "c", "sig"])
+
+    return sets.select("d", "tokens").mapInArrow(run, "d long, c long, sig binary")
+
+
+def _tiles(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different labels, whose signatures allow a link. Buckets beyond BLOCK members are cut into blocks and tiles."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(sizes, "key").withColumn("at", F.pmod(F.xxhash64("d", F.lit(11)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "d", "n", "s", "label", "sig")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        d, n, s, label, at = (table.column(c).to_numpy() for c in ("d", "n", "s", "label", "at"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(d), -1)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        out_a, out_b = [], []
+        for x in left:
+            y = right[(label[right] != label[x]) & ((right > x) if i == j else True)]
+            y = y[np.minimum(s[y], s[x]) * (100 + percent) >= (n[y] + n[x]) * percent]
+            if len(y):
+                y = y[(sig[y] != sig[x]).sum(1) * (100 + percent) <= (200 - 2 * percent) // 2 * (n[y] + n[x])]
+                out_a.append(np.full(len(y), d[x]))
+                out_b.append(d[y])
+        a, b = (np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+
 
-    return texts.select("d", "combos", F.col("t").cast("binary").alias("t")).mapInArrow(run, "d long, n long, tokens binary, keys array<long>")
+def _tokens(x: pa.ListScalar) -> np.ndarray:
+    return x.values.to_numpy().view(np.uint64)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +221,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("ta"), b.column("tb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _tokens(x), _tokens(y)
                 if len(x) > len(y):
                     x, y = y, x
                 same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
@@ -186,8 +256,9 @@ def components(edges: DataFrame, paths: list[str]) -> DataFrame:
     return labels
 
 
-def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+def _may_link(n: Column, s: Column, m: Column, t: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m, of which at most s and t tokens are in any other set, can overlap enough."""
+    return F.least(s, t) * (100 + percent) >= (n + m) * percent
 
 
 def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, screen: float = SCREEN) -> DataFrame:
@@ -199,56 +270,54 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: i
     full = table.filter("n > 0")
 
     # 1: the screen
-    tokens = rows.select(F.explode("low").alias("token"), "d").groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("c"))
-    tokens = tokens.select("lo", "hi", (F.col("lo") == F.col("hi")).alias("unique"), (F.col("c") == 2).alias("two"))
-    counted = stored(tokens.filter("unique or two").groupBy("lo", "hi").agg(F.count("*").alias("c")), "join-counts", paths)
-    ones = counted.filter("lo = hi").select(F.col("lo").alias("d"), F.col("c").alias("u"), F.lit(0).cast("long").alias("v"))
-    twos = counted.filter("lo <> hi")
-    part = lambda c: twos.select(F.col(c).alias("d"), F.lit(0).cast("long").alias("u"), F.col("c").alias("v"))
-    uv = ones.unionByName(part("lo")).unionByName(part("hi")).groupBy("d").agg(F.sum("u").alias("u"), F.sum("v").alias("v"))
-    sets = full.groupBy("d").agg(F.min("id").alias("rep"), F.first("n").alias("n")).join(uv, "d", "left")
+    tokens = rows.select(F.explode("low").alias("token"), "d").groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    unique = tokens.filter("lo = hi").groupBy(F.col("lo").alias("d")).agg(F.count("*").alias("u"))
+    sets = full.groupBy("d").agg(F.min("id").alias("rep"), F.first("n").alias("n")).join(unique, "d", "left")
     prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
-    left = sets.filter(F.coalesce("u", F.lit(0)) < prefix).select("d", "rep", "n", (F.coalesce("u", F.lit(0)) + F.coalesce("v", F.lit(0)) < prefix).alias("combos"))
-    left = stored(left, "join-left", paths)
-
-    # 2: whole sets of what is left, and its index
-    texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(left.select("rep", "d", "combos"), F.col("_id").eqNullSafe(F.col("rep")))
-    whole = stored(_sets(texts, words, percent), "join-sets", paths)
-    index = whole.select(F.explode("keys").alias("key"), "d", "n")
-    shared = index.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("key")
-    index = stored(index.join(shared, "key").join(left.select("d", "rep"), "d").select("key", "d", "n", F.struct("rep", "d").alias("r")).distinct(), "join-index", paths)
-
-    # 3: leaders
-    size = left.select("d", "n")
-    named = lambda x: size.select(F.col("d").alias(x), F.col("n").alias(f"n{x}"))
-    singles = twos.select(F.col("lo").alias("a"), F.col("hi").alias("b")).join(named("a"), "a").join(named("b"), "b").filter(_sizes_fit(F.col("na"), F.col("nb"), percent)).select("a", "b")
-    lead = index.groupBy("key").agg(F.min("r").alias("l"))
-    stars = index.join(lead, "key").filter("d <> l.d").groupBy("d", "n").agg(F.min("l").alias("l")).select(F.col("d").alias("a"), F.col("l.d").alias("b"), F.col("n").alias("na"))
-    stars = stars.join(named("b"), "b").filter(_sizes_fit(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    left = stored(sets.filter(F.coalesce("u", F.lit(0)) < prefix).select("d", "rep"), "join-left", paths)
+    texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(left, F.col("_id").eqNullSafe(F.col("rep"))).select("d", "t")
+    whole = stored(_sets(texts, words), "join-sets", paths)
+    if not whole.groupBy("d").count().filter("count > 1").isEmpty():  # rows given twice
+        whole = stored(whole.dropDuplicates(["d"]), "join-sets", paths)
+
+    # again on whole sets, among those that are left; what leaves makes more tokens unique
+    for _ in range(SCREENS):
+        tokens = whole.select(F.explode("tokens").alias("token"), "d").groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("c"))
+        counted = stored(tokens.filter("c <= 2").groupBy("lo", "hi").agg(F.count("*").alias("c")), "join-counts", paths)
+        twos = counted.filter("lo <> hi")
+        ones = counted.filter("lo = hi").select(F.col("lo").alias("d"), F.col("c").alias("u"), F.lit(0).cast("long").alias("v"))
+        part = lambda c: twos.select(F.col(c).alias("d"), F.lit(0).cast("long").alias("u"), F.col("c").alias("v"))  # noqa: B023, E731
+        uv = ones.unionByName(part("lo")).unionByName(part("hi")).groupBy("d").agg(F.sum("u").alias("u"), F.sum("v").alias("v"))
+        u, v = F.coalesce("u", F.lit(0)), F.coalesce("v", F.lit(0))
+        whole = whole.select("d", "n", "tokens").join(uv, "d", "left").filter(u < prefix).select("d", "n", "tokens", (F.col("n") - u).alias("s"), (u + v < prefix).alias("combos"))
+        whole = stored(whole, "join-sets", paths)
+    size = whole.select("d", "n", "s")
+    named = lambda x: size.select(F.col("d").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    fits = _may_link(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), percent)
+    singles = twos.select(F.col("lo").alias("a"), F.col("hi").alias("b")).join(named("a"), "a").join(named("b"), "b").filter(fits).select("a", "b")
+
+    # 2: the index of combinations; a member that none of its bucket can link with leaves the bucket
+    index = _index(whole.filter("combos"), percent).select("d", "n", "s", F.explode(F.arrays_zip("keys", "rungs")).alias("k")).select(F.col("k.keys").alias("key"), F.col("k.rungs").alias("c"), "d", "n", "s")
+    for _ in range(2):
+        bucket = index.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("n").alias("nb"), F.max("s").alias("sb")).filter("lo < hi").select("key", "nb", "sb")
+        index = stored(index.join(bucket, "key").filter(_may_link(F.col("n"), F.col("s"), F.col("nb"), F.col("sb"), percent)).select("key", "c", "d", "n", "s"), "join-index", paths)
+
+    # 3: leaders, those with the largest share of tokens in common with others
+    order = F.struct((-F.col("s") / F.col("n")).alias("o"), "d", "n", "s")
+    lead = index.groupBy("key").agg(F.min(order).alias("l"))
+    stars = index.join(lead, "key").filter(F.col("d") != F.col("l.d")).filter(_may_link(F.col("n"), F.col("s"), F.col("l.n"), F.col("l.s"), percent))
+    stars = stars.groupBy(F.col("d").alias("a")).agg(F.min("l").alias("l")).select("a", F.col("l.d").alias("b"))
     edges = stored(_verified(singles.unionByName(stars), whole, percent), "join-links", paths)
     labels = components(edges, paths)
-    for k in range(ROUNDS + 1):
-        now = index.join(labels.withColumnRenamed("node", "d"), "d", "left").select("key", "d", "n", "r", F.coalesce("label", "d").alias("label"))
-        mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-        now = stored(now.join(mixed, "key"), "join-mixed", paths)
-        per = now.groupBy("key", "label").agg(F.count("*").alias("m"))
-        work = per.groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q")).agg(F.sum(F.col("s") * F.col("s") - F.col("q")) / 2, F.sum("s")).first()
-        if not work[1]:
-            break
-        last = k == ROUNDS or work[0] <= MANY * work[1]
-        if last:
-            x, y = (now.select("key", *(F.col(c).alias(c + p) for c in ("d", "n", "label"))) for p in "ab")
-            pairs = x.join(y, "key").filter("labela < labelb").filter(_sizes_fit(F.col("na"), F.col("nb"), percent)).select(F.col("da").alias("a"), F.col("db").alias("b")).distinct()
-        else:
-            order = lambda: F.xxhash64("d", F.lit(k))
-            lead = now.groupBy("key").agg(F.min(F.struct(order().alias("o"), "d", "n", "label")).alias("l"))
-            pairs = now.join(lead, "key").filter("label <> l.label").filter(_sizes_fit(F.col("n"), F.col("l.n"), percent))
-            pairs = pairs.groupBy(F.col("d").alias("a"), F.col("l.label").alias("other")).agg(F.min(F.struct("l.o", "l.d")).alias("l")).select("a", F.col("l.d").alias("b"))
+    now = index.join(labels.withColumnRenamed("node", "d"), "d", "left").select("key", "c", "d", "n", "s", F.coalesce("label", "d").alias("label"))
+    mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    now = stored(now.join(mixed, "key"), "join-mixed", paths)
+    if not now.isEmpty():
+        marks = _signed(whole.join(now.select("d").distinct(), "d", "left_semi"), percent)
+        pairs = stored(_tiles(now.join(marks, ["d", "c"]), percent), "join-pairs", paths)
         more = stored(_verified(pairs, whole, percent), "join-links", paths)
-        edges = edges.unionByName(more)
-        labels = components(edges, paths)
-        if last:
-            break
+        if not more.isEmpty():
+            labels = components(edges.unionByName(more), paths)
 
     # 4: names
     reps = full.groupBy("d").agg(F.min("id").alias("rep")).join(labels.withColumnRenamed("node", "d"), "d", "left").withColumn("label", F.coalesce("label", "d"))
