@@ -23,7 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = ngram_join.classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
     kept = stored(kept, "pipeline-kept")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    out = docs.join(kept.filter("_n = 1"), same, "left_semi")
+    out = docs.join(kept.filter("_n = 1").hint("merge"), same, "left_semi")
     again = kept.filter("_n > 1")
     if again.isEmpty():
         return out
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole epochs, and the document at a source's cut as a whole."""
     taken = mixing.mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_n"))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    return docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ Documents with equal sets are one class; all that follows is about classes, each
 
 Defined results: a null text, or one without words, has no shingles and links with nothing; shorter texts than k words are one
 shingle; equal texts are in one component; rows that repeat an id are classified by their own texts; null ids take part and lose against others
-as names. Other columns are ignored. Tables between steps lie in the shared folder and are deleted when they are used up.
+as names. Other columns are ignored. No side of these joins has a proven bound, so all are sort-merge joins, at every size alike. Tables between steps lie in the shared folder and are deleted when they are used up.
 """
 
 from __future__ import annotations
@@ -215,7 +215,7 @@ def _tokens(x: pa.ListScalar) -> np.ndarray:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) that link, by exact intersection of whole sets."""
     s = sets.select("d", "tokens")
-    both = pairs.join(s.select(F.col("d").alias("a"), F.col("tokens").alias("ta")), "a").join(s.select(F.col("d").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+    both = pairs.hint("merge").join(s.select(F.col("d").alias("a"), F.col("tokens").alias("ta")), "a").hint("merge").join(s.select(F.col("d").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         for b in batches:
@@ -275,7 +275,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: i
     sets = full.groupBy("d").agg(F.min("id").alias("rep"), F.first("n").alias("n")).join(unique, "d", "left")
     prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
     left = stored(sets.filter(F.coalesce("u", F.lit(0)) < prefix).select("d", "rep"), "join-left", paths)
-    texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(left, F.col("_id").eqNullSafe(F.col("rep"))).select("d", "t")
+    texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(left.hint("merge"), F.col("_id").eqNullSafe(F.col("rep"))).select("d", "t")
     whole = stored(_sets(texts, words), "join-sets", paths)
     if not whole.groupBy("d").count().filter("count > 1").isEmpty():  # rows given twice
         whole = stored(whole.dropDuplicates(["d"]), "join-sets", paths)
@@ -289,7 +289,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: i
         part = lambda c: twos.select(F.col(c).alias("d"), F.lit(0).cast("long").alias("u"), F.col("c").alias("v"))  # noqa: B023, E731
         uv = ones.unionByName(part("lo")).unionByName(part("hi")).groupBy("d").agg(F.sum("u").alias("u"), F.sum("v").alias("v"))
         u, v = F.coalesce("u", F.lit(0)), F.coalesce("v", F.lit(0))
-        whole = whole.select("d", "n", "tokens").join(uv, "d", "left").filter(u < prefix).select("d", "n", "tokens", (F.col("n") - u).alias("s"), (u + v < prefix).alias("combos"))
+        whole = whole.select("d", "n", "tokens").join(uv.hint("merge"), "d", "left").filter(u < prefix).select("d", "n", "tokens", (F.col("n") - u).alias("s"), (u + v < prefix).alias("combos"))
         whole = stored(whole, "join-sets", paths)
     size = whole.select("d", "n", "s")
     named = lambda x: size.select(F.col("d").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
@@ -300,21 +300,21 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: i
     index = _index(whole.filter("combos"), percent).select("d", "n", "s", F.explode(F.arrays_zip("keys", "rungs")).alias("k")).select(F.col("k.keys").alias("key"), F.col("k.rungs").alias("c"), "d", "n", "s")
     for _ in range(2):
         bucket = index.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("n").alias("nb"), F.max("s").alias("sb")).filter("lo < hi").select("key", "nb", "sb")
-        index = stored(index.join(bucket, "key").filter(_may_link(F.col("n"), F.col("s"), F.col("nb"), F.col("sb"), percent)).select("key", "c", "d", "n", "s"), "join-index", paths)
+        index = stored(index.join(bucket.hint("merge"), "key").filter(_may_link(F.col("n"), F.col("s"), F.col("nb"), F.col("sb"), percent)).select("key", "c", "d", "n", "s"), "join-index", paths)
 
     # 3: leaders, those with the largest share of tokens in common with others
     order = F.struct((-F.col("s") / F.col("n")).alias("o"), "d", "n", "s")
     lead = index.groupBy("key").agg(F.min(order).alias("l"))
-    stars = index.join(lead, "key").filter(F.col("d") != F.col("l.d")).filter(_may_link(F.col("n"), F.col("s"), F.col("l.n"), F.col("l.s"), percent))
+    stars = index.join(lead.hint("merge"), "key").filter(F.col("d") != F.col("l.d")).filter(_may_link(F.col("n"), F.col("s"), F.col("l.n"), F.col("l.s"), percent))
     stars = stars.groupBy(F.col("d").alias("a")).agg(F.min("l").alias("l")).select("a", F.col("l.d").alias("b"))
     edges = stored(_verified(singles.unionByName(stars), whole, percent), "join-links", paths)
     labels = components(edges, paths)
-    now = index.join(labels.withColumnRenamed("node", "d"), "d", "left").select("key", "c", "d", "n", "s", F.coalesce("label", "d").alias("label"))
+    now = index.join(labels.withColumnRenamed("node", "d").hint("merge"), "d", "left").select("key", "c", "d", "n", "s", F.coalesce("label", "d").alias("label"))
     mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    now = stored(now.join(mixed, "key"), "join-mixed", paths)
+    now = stored(now.join(mixed.hint("merge"), "key"), "join-mixed", paths)
     if not now.isEmpty():
-        marks = _signed(whole.join(now.select("d").distinct(), "d", "left_semi"), percent)
-        pairs = stored(_tiles(now.join(marks, ["d", "c"]), percent), "join-pairs", paths)
+        marks = _signed(whole.join(now.select("d").distinct().hint("merge"), "d", "left_semi"), percent)
+        pairs = stored(_tiles(now.join(marks.hint("merge"), ["d", "c"]), percent), "join-pairs", paths)
         more = stored(_verified(pairs, whole, percent), "join-links", paths)
         if not more.isEmpty():
             labels = components(edges.unionByName(more), paths)
