@@ -10,6 +10,9 @@ from zonewright.llm import bpe, langid, mixing, ngram_join
 from zonewright.llm.common import ship, stored
 from zonewright.llm.queries import vocabulary
 
+#: Words of a shingle and the least similarity in percent of near duplicates; operator 8's query has its own.
+WORDS, PERCENT = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts; it is fitted on the labelled ones that are not held out."""
@@ -20,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents that with the smallest id; of rows that repeat that id, one."""
     ship(spark)
-    kept = ngram_join.classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    kept = ngram_join.classes(docs, words=WORDS, percent=PERCENT).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
     kept = stored(kept, "pipeline-kept")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     out = docs.join(kept.filter("_n = 1").hint("merge"), same, "left_semi")

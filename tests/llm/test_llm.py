@@ -395,3 +395,20 @@ def test_pipeline(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(r.n_tokens == len(r.ids) > 0 for r in out)
+
+
+def test_stage_links_from_four_fifths_on(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(12):  # copies whose five-word similarity is 0.83, 0.81 to 0.82 and 0.79
+        base = [f"d{i}x{j}" for j in range(100 + 50 * i)]
+        n = len(base)
+        rows += [(10 * i, base), (10 * i + 1, base + [f"e{i}x{j}" for j in range((n - 4) // 5)]), (10 * i + 2, [f"f{i}x{j}" for j in range((n - 4) * 23 // 100)] + base), (10 * i + 3, base + [f"g{i}x{j}" for j in range((n - 4) * 27 // 100)])]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = sorted({root for _, root in brute_join(rows, 80, 5).values()})
+    assert len(want) < len({root for _, root in brute_join(rows).values()})
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()) == want
