@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,24 +20,50 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns)).filter(~F.col("rejected")).select(*docs.columns)
 
 
+def _digest(docs: DataFrame) -> Column:
+    """Of a whole row, to order rows that are alike in what a stage reads."""
+    return F.xxhash64(*(F.col(c) for c in docs.columns))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id; of rows that repeat that id, one."""
+    """Of each group of linked documents one, that with the smallest id (null last); documents without words link with nothing and all stay.
+
+    Rows are known by id and text, so neither null ids nor ids given to several texts mix up the decisions on them.
+    """
     ship(spark)
-    kept = ngram_join.classes(docs, words=WORDS, percent=PERCENT).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = stored(kept, "pipeline-kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    out = docs.join(kept.filter("_n = 1").hint("merge"), same, "left_semi")
-    again = kept.filter("_n > 1")
+    hashed = F.xxhash64("text")
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", hashed.alias("hash")).alias("key"), "text")
+    kept = ngram_join.classes(named, "key", words=WORDS, percent=PERCENT).filter("key = component_id").groupBy("key").agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_size"))
+    kept = stored(kept.select(F.col("key.doc_id").alias("_id"), F.col("key.hash").alias("_hash"), ((F.col("_n") > 1) & (F.col("_size") > 0)).alias("_again")), "pipeline-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (hashed == F.col("_hash"))
+    out = docs.join(kept.filter("not _again").hint("merge"), same, "left_semi")
+    again = kept.filter("_again")
     if again.isEmpty():
         return out
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return out.unionByName(docs.join(again, same, "left_semi").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r"))
+    first = Window.partitionBy("doc_id", hashed).orderBy(_digest(docs))
+    return out.unionByName(docs.join(again.hint("merge"), same, "left_semi").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole epochs, and the document at a source's cut as a whole."""
-    taken = mixing.mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_n"))
-    return docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """Each document as often as the mix takes it: whole epochs, and the document at a source's cut as a whole.
+
+    Rows are known by id, text and source; where a source's cut falls among rows alike in these, `_more` of them are taken once more than `_least`.
+    """
+    hashed = F.xxhash64("text")
+    times = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    mixed = mixing.mix(docs.withColumn("_text", hashed), keep=("_text",)).withColumn("_n", times)
+    taken = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), F.col("source").alias("_from")).agg(
+        F.max("_n").alias("_n"), F.min("_n").alias("_least"), (F.sum("_n") - F.min("_n") * F.count("*")).alias("_more")
+    )
+    taken = stored(taken.filter("_n > 0"), "pipeline-taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_from"))
+    out = docs.join(taken.filter("_n = _least").hint("merge"), same).select(*docs.columns, "_n")
+    cut = taken.filter("_n > _least")
+    if not cut.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("doc_id", "_hash", "source").orderBy(_digest(docs)))
+        parted = docs.join(cut.hint("merge"), same).withColumn("_n", F.col("_least") + F.when(nth <= F.col("_more"), 1).otherwise(0))
+        out = out.unionByName(parted.filter("_n > 0").select(*docs.columns, "_n"))
+    return out.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -412,3 +412,28 @@ def test_stage_links_from_four_fifths_on(spark):
     assert len(want) < len({root for _, root in brute_join(rows).values()})
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
+def test_stages_know_rows_by_id_and_text(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(10)
+    a, b, c, d, e, f = (" ".join(words(rng, 40, 10**6)) for _ in range(6))
+    near = a + " end"
+    # null ids with different texts; one id with two unlinked texts; ids that represent one text and lose with another
+    rows = [(None, a), (None, b), (None, near), (1, c), (1, d), (2, d), (2, e), (3, e), (3, f), (3, f), (4, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    first = [(None, a)] if (None, a) in got else [(None, near)]
+    assert got == sorted([*first, (None, b), (1, c), (1, d), (2, e), (3, f), (4, ""), (None, None), (None, None)], key=str)
+
+    rows = [(i, " ".join(words(rng, 10)), s) for i in (None, 1, 2, 3) for s in ("s1", "s1", "s2", None) for _ in range(3)]
+    rows += [(7, a, "s1")] * 9 + [(None, a, None)] * 9
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], DOCS)
+    taken, copies = {}, {}
+    for r in mixing.mix(docs).collect():
+        key = (r.doc_id, r.source)
+        taken[key] = taken.get(key, 0) + (-(-r.taken // r.size))
+    for r in pipeline.mixture(spark, docs, "").collect():
+        copies[r.doc_id, r.source] = copies.get((r.doc_id, r.source), 0) + 1
+    assert copies == {k: n for k, n in taken.items() if n}

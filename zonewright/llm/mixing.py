@@ -79,11 +79,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def mix(docs: DataFrame, ident: str = "doc_id", size: Column | None = None, source: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """Per row: id, size, source_size, target, taken. The document at the cut is taken in part, so that a source's taken sum is its budget."""
+def mix(docs: DataFrame, ident: str = "doc_id", size: Column | None = None, source: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, size, source_size, target, taken, and the columns kept, which order rows equal in id and size. The document at the cut is taken in part, so that a source's taken sum is its budget."""
     paths: list[str] = []
     size = word_count(F.col("text")) if size is None else size
-    rows = stored(docs.select(F.col(ident).alias("_id"), F.col(source).alias("source"), size.alias("size"), random_key(F.col(ident), seed).alias("_key")), "mix-rows", paths)
+    rows = stored(docs.select(F.col(ident).alias("_id"), F.col(source).alias("source"), size.alias("size"), random_key(F.col(ident), seed).alias("_key"), *keep), "mix-rows", paths)
     rows = rows.withColumns({"_b1": F.substring("_key", 1, 2), "_b2": F.substring("_key", 3, 2)})
     leaves = stored(rows.groupBy("source", "_b1", "_b2").agg(F.sum("size").alias("_s")), "mix-leaves", paths)
     branches = stored(leaves.groupBy("source", "_b1").agg(F.sum("_s").alias("_s")), "mix-branches", paths)
@@ -96,13 +96,13 @@ def mix(docs: DataFrame, ident: str = "doc_id", size: Column | None = None, sour
     b = branches.withColumnsRenamed({"source": "_src", "_b1": "_c1"})
     leaves = leaves.join(b, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_b1") == F.col("_c1")))
     leaves = leaves.select(F.col("source").alias("_src"), F.col("_b1").alias("_c1"), F.col("_b2").alias("_c2"), (F.col("_b1_before") + F.col("_b2_before")).alias("_leaf_before"), "source_size", "target", "budget")
-    within = Window.partitionBy("source", "_b1", "_b2").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_b1", "_b2").orderBy("_key", "_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_row_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(leaves, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_b1") == F.col("_c1")) & (F.col("_b2") == F.col("_c2")))
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rest = F.col("budget") - F.col("_whole") * F.col("source_size") - F.col("_leaf_before") - F.col("_row_before")
     taken = F.col("_whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.withColumn("_whole", whole).select(F.col("_id").alias(ident), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.withColumn("_whole", whole).select(F.col("_id").alias(ident), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
 
 
 #: The same in DuckDB SQL, with the constants above.
