@@ -437,3 +437,15 @@ def test_stages_know_rows_by_id_and_text(spark):
     for r in pipeline.mixture(spark, docs, "").collect():
         copies[r.doc_id, r.source] = copies.get((r.doc_id, r.source), 0) + 1
     assert copies == {k: n for k, n in taken.items() if n}
+
+
+def test_top_k_keeps_all_vectors_of_an_id(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 70, rng.normal(size=4).tolist()) for i in range(200)]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_block=1, shard=30).orderBy("query_id", "rank").collect()]
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 50):
+        s = sorted((-sum(x * y for x, y in zip(v, w)), i) for j, v in whole if j == q for i, w in whole if i != q)[:5]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    assert got == want

@@ -8,8 +8,8 @@ nothing is broadcast or collected.
 Scores are exact integers: components are floor(256 * x); products go through float64 while every partial sum is below 2^53, and
 through Python integers otherwise (a score beyond 64 bits is held at the bound). Ties go to the smaller id.
 
-Defined results: null vectors, and vectors with null or non-finite components, take no part; vectors meet only vectors of the same length; of rows
-that repeat an id the smallest vector counts; a null id takes no part; a query without candidates gives no rows. Other columns are ignored.
+Defined results: null vectors, and vectors with null or non-finite components, take no part; vectors meet only vectors of the same length; all vectors of a
+repeated id count, as queries and as candidates, but rows equal in id and vector count once; a null id takes no part; a query without candidates gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +37,10 @@ def quantized(v: np.ndarray) -> np.ndarray:
 
 
 def _unique(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by id; of repeated ids the smallest row."""
+    """Sorted by id; of rows equal in id and vector one."""
     order = np.lexsort((*rows.T[::-1], ids)) if len(ids) != len(np.unique(ids)) else np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
-    first = np.append(True, ids[1:] != ids[:-1]) if len(ids) else np.empty(0, bool)
+    first = np.append(True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]).any(1)) if len(ids) else np.empty(0, bool)
     return ids[first], rows[first]
 
 
@@ -56,16 +56,15 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
             s = (part @ c.T).astype(np.int64)
         else:
             s = np.clip(np.array([[int(x) for x in r] for r in part], object) @ np.array([[int(x) for x in r] for r in c], object).T, -_LONG, _LONG).astype(np.int64)
-        own = np.searchsorted(c_ids, q_ids[a : a + 256])
-        mine = (own < n) & (c_ids[np.minimum(own, n - 1)] == q_ids[a : a + 256])
-        kk = min(n, k + 1)  # one more, for the query's own row
+        lo, hi = (np.searchsorted(c_ids, q_ids[a : a + 256], side) for side in ("left", "right"))
+        kk = min(n, k + int((hi - lo).max(initial=0)))  # more, for the query's own rows
         if bound * (n + 1) < 2.0**62:
             key = s * n + np.arange(n - 1, -1, -1)  # ties: the smaller index
             top = np.argpartition(-key, kk - 1, axis=1)[:, :kk] if kk < n else np.broadcast_to(np.arange(n), s.shape)
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, 1), axis=1), 1)
         else:
             top = np.argsort(-s, axis=1, kind="stable")[:, :kk]
-        keep = ~(mine[:, None] & (top == own[:, None]))
+        keep = (top < lo[:, None]) | (top >= hi[:, None])
         keep &= np.cumsum(keep, axis=1) <= k
         out.append((np.repeat(q_ids[a : a + 256], kk)[keep.ravel()], c_ids[top][keep], np.take_along_axis(s, top, 1)[keep]))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -81,7 +80,8 @@ def _tile_of(key, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
             at = t.filter(pa.array(dims == d))
             flat = at.column(pre + "_v").combine_chunks()
             values = (flat.flatten() if hasattr(flat, "flatten") else flat).to_numpy(zero_copy_only=False).reshape(at.num_rows, int(d))
-            sides += _unique(at.column(pre + "_i").to_numpy(), quantized(values))
+            ids, values = _unique(at.column(pre + "_i").to_numpy(), values)
+            sides += ids, quantized(values)
         for o, x in zip(out, tile(*sides, k)):
             o.append(x)
     q, v, s = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
