@@ -449,3 +449,10 @@ def test_top_k_keeps_all_vectors_of_an_id(spark):
         s = sorted((-sum(x * y for x, y in zip(v, w)), i) for j, v in whole if j == q for i, w in whole if i != q)[:5]
         want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
     assert got == want
+
+
+def test_all_languages_take_part(spark):
+    rows = [(3 * i + j, chr(0x4E00 + i) * 5, f"l{i:03}") for i in range(300) for j in range(3)]
+    docs = spark.createDataFrame([(i, t, x) for i, t, x in rows], "doc_id long, text string, lang string")
+    want = {x for i, _, x in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(want) > 256 and set(langid.fit(docs).languages) == want

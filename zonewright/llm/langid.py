@@ -2,8 +2,8 @@ r"""Language identification: averaged hashed subword embeddings and a linear sof
 
 Subwords are the 2-, 3- and 4-byte windows of the lower-cased UTF-8 text in which ASCII characters other than letters count as spaces; each
 is hashed to one of BUCKETS rows of an embedding table. A text is the mean of its subwords' rows, and a linear softmax on
-it gives the languages' probabilities. The model is fitted on a bounded sample: about PER_LANGUAGE labelled documents of each of the
-MAX_LANGUAGES most frequent languages, chosen by a hash of the id, whole texts. A fifth of the sample fits the temperature and the rejection
+it gives the languages' probabilities. The model is fitted on a bounded sample: about PER_LANGUAGE labelled documents of each
+language; beyond FULL_LANGUAGES languages all take part and share the sample of that many. It is chosen by a hash of the id, whole texts. A fifth of the sample fits the temperature and the rejection
 threshold: a text is rejected if its probability is below what all but REJECTED of the sample's texts reach, and below HALF.
 
 Prediction reads every whole text once, without a shuffle; the model (BUCKETS x languages) is broadcast.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK
 
-BUCKETS, DIM, PER_LANGUAGE, MAX_LANGUAGES = 1 << 13, 16, 500, 256
+BUCKETS, DIM, PER_LANGUAGE, FULL_LANGUAGES = 1 << 13, 16, 500, 256
 EPOCHS, BATCH, RATE, REJECTED, HALF = 30, 32, 0.5, 0.001, 0.5
 UNKNOWN = "und"
 
@@ -152,10 +152,11 @@ def remainder(ident: Column) -> Column:
 def fit(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """None if no row is labelled."""
     usable = docs.select(F.col(lang).alias("_l"), F.col(ident).alias("_i"), F.col(text).alias("_t")).filter(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (remainder(F.col("_i")) != 1))
-    counts = usable.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MAX_LANGUAGES).collect()  # a row for each language
+    counts = usable.groupBy("_l").count().orderBy(F.desc("count"), "_l").collect()  # a row for each language
     if not counts:
         return None
     languages = sorted(r["_l"] for r in counts)
+    per_language = min(per_language, per_language * FULL_LANGUAGES / len(counts))
     part = F.create_map(*(F.lit(x) for r in counts for x in (r["_l"], per_language / r["count"])))
     key = F.xxhash64(F.lit("langid"), F.col("_i"), F.col("_t"))
     chance = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
