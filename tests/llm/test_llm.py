@@ -456,3 +456,22 @@ def test_all_languages_take_part(spark):
     docs = spark.createDataFrame([(i, t, x) for i, t, x in rows], "doc_id long, text string, lang string")
     want = {x for i, _, x in rows if zlib.crc32(str(i).encode()) % 3 != 1}
     assert len(want) > 256 and set(langid.fit(docs).languages) == want
+
+
+def test_formatted_parts_in_any_order(spark):
+    table = spark.createDataFrame([(c, t, "assistant", f"text {t}") for c in (1, 2, None) for t in range(9)], "conv_id long, turn long, role string, text string")
+    parts = chat.format_turns(table, part=1)
+    mixed = parts.repartition(3, "part").sortWithinPartitions(F.desc("part"))
+    assert sorted(chat.read_formatted(mixed).collect(), key=str) == sorted(chat.read_formatted(parts).collect(), key=str)
+
+
+def test_streams_and_chats_are_stored(spark, tmp_path, monkeypatch):
+    from zonewright.llm import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "stored", lambda df, name: seen.append(name) or df, raising=False)
+    edge_docs(spark).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert queries.op1_transport_stream(spark, str(tmp_path)).count() == 8
+    assert queries.op4_chat(spark, str(tmp_path)).count() == 2
+    assert seen == ["media", "formatted"]

@@ -210,7 +210,7 @@ def format_turns(table: DataFrame, mappings=MAPPINGS, part: int = PART, learned:
 
 
 def read_formatted(parts: DataFrame) -> DataFrame:
-    """Parses what format_turns() wrote (in its order) and digests it: a row for each conversation."""
+    """Parses what format_turns() wrote, in any order, and digests it: a row for each conversation."""
     kind = parts.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -238,6 +238,7 @@ def read_formatted(parts: DataFrame) -> DataFrame:
                 types = (b.column(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
+    parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return parts.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
