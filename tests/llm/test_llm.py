@@ -475,3 +475,17 @@ def test_streams_and_chats_are_stored(spark, tmp_path, monkeypatch):
     assert queries.op1_transport_stream(spark, str(tmp_path)).count() == 8
     assert queries.op4_chat(spark, str(tmp_path)).count() == 2
     assert seen == ["media", "formatted"]
+
+
+# ---- countries
+
+
+def test_long_country_table_is_an_error(spark, tmp_path):
+    from zonewright.functions import countries
+
+    rows = ["ordinal,code,name", *(f"{i},C{i},N{i}" for i in range(1001))]
+    for n in (1000, 1001):
+        (tmp_path / f"{n}.csv").write_text("\n".join(rows[: n + 1]))
+    assert len(countries.read_rows(spark, str(tmp_path / "1000.csv"))) == 1000
+    with pytest.raises(ValueError):
+        countries.read_rows(spark, str(tmp_path / "1001.csv"))

@@ -22,6 +22,8 @@ POOL = (
     ("UTO", "Utopia (ICAO specimen)"), ("DEU", "Germany"), ("FRA", "France"), ("ITA", "Italy"), ("ESP", "Spain"), ("POL", "Poland"), ("HRV", "Croatia"), ("SRB", "Serbia"), ("NLD", "Netherlands"), ("SWE", "Sweden"),
     ("CHE", "Switzerland"), ("AUT", "Austria"), ("D", "Germany"), ("XKX", "Kosovo"), ("RKS", "Kosovo"),
 )
+#: Rows of a table of one's own; lookups are literal maps.
+MOST = 1000
 
 
 def default_rows(spark: SparkSession) -> tuple[tuple[str, str], ...]:
@@ -33,7 +35,9 @@ def default_rows(spark: SparkSession) -> tuple[tuple[str, str], ...]:
 
 def read_rows(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
     """A table of one's own: CSV with a header and the columns ordinal, code, name."""
-    rows = spark.read.option("header", True).csv(path).select(F.col("ordinal").cast("int"), "code", "name").orderBy("ordinal").limit(1000).collect()
+    rows = spark.read.option("header", True).csv(path).select(F.col("ordinal").cast("int"), "code", "name").orderBy("ordinal").limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"{path} has more than {MOST} rows")
     return tuple((r["code"], r["name"]) for r in rows)
 
 
