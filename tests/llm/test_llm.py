@@ -489,3 +489,90 @@ def test_long_country_table_is_an_error(spark, tmp_path):
     assert len(countries.read_rows(spark, str(tmp_path / "1000.csv"))) == 1000
     with pytest.raises(ValueError):
         countries.read_rows(spark, str(tmp_path / "1001.csv"))
+
+
+def test_stages_with_clashing_columns_against_brute_force(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(12)
+    base = [" ".join(words(rng, 40, 10**6)) for _ in range(12)]
+    rows = [(i, base[i % 12] + (" end" if i % 3 == 0 else ""), "en", rng.choice(["s1", "s2", None]), 1) for i in range(40)]
+    rows += [(None, base[0], "en", None, 1), (3, base[5], "en", "s1", 1), (50, "x" * 3_000_000, "en", "s1", 1), (51, None, "en", "s1", 0), (52, "", "en", "s1", 0), (53, "12 !", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    extra = ("rejected", "score", "lang_pred", "_has", "_t", "_id", "_n", "n", "least", "row", "hash", "id", "key", "size", "taken", "again", "c0", "text_", "source_size")
+    wide = docs.withColumns({c: F.lit("clash") for c in extra} | {"a b.c": F.lit(1)})
+    kept = pipeline.language(spark, wide, "")
+    assert kept.columns == wide.columns
+    assert not {r.doc_id for r in kept.collect()} & {51, 52, 53}
+    alone = pipeline.near_duplicates(spark, wide, "")
+    assert alone.columns == wide.columns
+    ids = list(enumerate(rows))
+    groups = {}
+    for n, (_, root) in brute_join([(n, r[1]) for n, r in ids], 80, 5).items():
+        groups.setdefault(root if (rows[n][1] or "").split() else (n,), []).append(n)
+    want = [min(g, key=lambda n: (rows[n][0] is None, rows[n][0] or 0)) for g in groups.values()]
+    assert sorted((r.doc_id, r.text) for r in alone.collect() if r.doc_id is not None) == sorted((rows[n][0], rows[n][1]) for n in want if rows[n][0] is not None) or sorted(
+        str(r.doc_id) for r in alone.collect()
+    ) == sorted(str(rows[n][0]) for n in want)
+    mixed = pipeline.mixture(spark, wide, "")
+    assert mixed.columns == wide.columns
+    assert all(r.rejected == r.n == "clash" for r in mixed.collect())
+    for stage in (pipeline.language, pipeline.near_duplicates, pipeline.mixture):
+        empty = stage(spark, wide.limit(0), "")
+        assert empty.columns == wide.columns and empty.count() == 0
+
+
+def test_a_word_longer_than_any_chunk():
+    split = Words()
+    long = b"z" * 3_500_000
+    texts = [b"a b " + long + b" c", long.upper(), b"c", b"q" * 4096, b"q" * 4097, long + b" a"]
+    arrays = [h.tolist() for _, hs in split.of(texts) for h in hs]
+    assert [len(a) for a in arrays] == [4, 1, 1, 1, 1, 2]
+    assert arrays[0][2] == arrays[1][0] == arrays[5][0] and arrays[0][3] == arrays[2][0] and len({arrays[0][2], arrays[3][0], arrays[4][0]}) == 3
+
+
+def test_memo_of_words_is_bounded(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    monkeypatch.setattr(bpe, "MEMO", 100)
+    coder = bpe.Bpe(open(path, encoding="utf-8").read())
+    rng = random.Random(1)
+    texts = [" ".join(words(rng, 300, 10**6)) + "中" * 20_000 for _ in range(5)]
+    again = bpe.Bpe(open(path, encoding="utf-8").read())
+    assert coder.encode_many(texts) == [again.encode(t) for t in texts]
+    assert len(coder.known) <= 100 and max(map(len, coder.known)) <= bpe.MEMO_CHARS
+
+
+def test_language_sample_counts_repeated_texts_once(spark):
+    rows = [(3 * i, "same text here", "aa") for i in range(3000)] + [(9000 + i, f"other {chr(97 + i % 26) * 5} {i}", "bb") for i in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert model.languages == ["aa", "bb"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    assert sum(got[i] == x for i, _, x in rows) >= 0.97 * len(rows)
+
+
+def test_language_prediction_against_plain_sums(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abc éXYZ1.") for _ in range(rng.randrange(0, 60))), rng.choice(["aa", "bb"])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+
+    def plain(text):
+        low = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in text.encode()) + b"    "
+        bag = np.zeros(langid.BUCKETS)
+        for k in (2, 3, 4):
+            for a in range(len(text.encode()) + 1):
+                w = low[a : a + k]
+                if w.strip():
+                    key = int.from_bytes(w, "little") ^ (k - 2) * 0x85EBCA6B & 0xFFFFFFFF
+                    bag[(key * 2654435761 & 0xFFFFFFFF) >> 19] += 1
+        x = bag @ model.table / max(1, bag.sum()) + model.bias
+        p = np.exp(x - x.max())
+        return p / p.sum()
+
+    for r in langid.predict(docs, model).collect():
+        text = rows[r.doc_id][1]
+        if re.search(r"[A-Za-zé]", text):
+            p = plain(text)
+            assert r.score == pytest.approx(p.max(), abs=1e-6) and r.lang_pred == model.languages[int(p.argmax())]
+        else:
+            assert r.lang_pred == "und"

@@ -2,7 +2,7 @@ r"""Byte-level BPE encoding and decoding with a segment tree over adjacent pair
 
 A word's symbols are leaves of a minimum tree whose keys are (rank of the pair that starts here, position): the root is the leftmost
 pair of the lowest rank. A merge changes three leaves at most, each in logarithmic time, until the root says that no pair can
-merge. Words repeat, so each worker keeps a bounded memo of words it has encoded.
+merge. Words repeat, so a task keeps a memo of short words it has encoded: at most MEMO of them, of MEMO_CHARS characters at most, given up at its end.
 
 The vocabulary is a tokenizers JSON file (model BPE, pre-tokenizer and decoder ByteLevel); its path is a parameter, read on the driver and
 broadcast (its size is the file's). Added tokens inside texts become their ids, as in the library.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and chunks a worker remembers, the longest of them, and characters of text encoded together.
-MEMO, MEMO_CHARS, TOGETHER = 1 << 18, 64, 1 << 20
+#: Words that a task remembers at most, the characters of the longest of them, and characters of text encoded together.
+MEMO, MEMO_CHARS, TOGETHER = 1 << 17, 48, 1 << 19
 _NONE = np.int64(1) << np.int64(62)
 #: A space before a space or before the end, behind white space: there a cut could change the words.
 _UNSAFE, _CUT = regex.compile(r"\s (?:\s|$)"), regex.compile(r" (?=\S)")
@@ -69,8 +69,7 @@ class Bpe:
         self.decimal = [str(i) for i in range(size)]
         self.split = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True))) if added else None
         self.words = regex.compile(PATTERN)
-        self.known: dict[str, tuple[int, ...]] = {}  # words
-        self.memo: dict[str, tuple[int, ...]] = {}  # chunks: what stands between two spaces, with the first
+        self.known: dict[str, tuple[int, ...]] = {}
         self.keys = np.array(sorted(self.pairs), np.int64)
         self.ranks = np.array([self.pairs[int(k)][0] for k in self.keys], np.int64)
         self.made = np.zeros(len(self.pairs), np.int64)
@@ -187,9 +186,11 @@ class Bpe:
                 part = own[a : a + 4096]
                 found.update(zip((w for w, _ in part), self._merged([b for _, b in part], width)))
         found.update((w, self.word(w)) for w, b in todo if len(b) > 64)
-        if len(known) + len(todo) > 2 * MEMO:
-            known.clear()
-        known.update((w, found[w]) for w, b in todo[:MEMO] if len(b) <= MEMO_CHARS)
+        for w in fresh:
+            if len(w) <= MEMO_CHARS:
+                if len(known) >= MEMO:
+                    known.clear()
+                known[w] = found[w]
         return found
 
     def pieces(self, text: str) -> list[str]:
@@ -220,34 +221,26 @@ class Bpe:
         for _, c in cut:
             if not isinstance(c[0], int):
                 chunks.update(c[1:])
-        memo, pieces = self.memo, self.pieces
-        missing = list(chunks.difference(memo))
         firsts = list({c[0] for _, c in cut if not isinstance(c[0], int)})
         split = []
-        for c in missing:  # mostly letters, or those and a mark
+        for c in chunks:  # mostly letters, or those and a mark
             if c.isalpha():
                 split.append((" " + c,))
             elif c[:-1].isalpha() and c[-1] in ".,;:!?":
                 split.append((" " + c[:-1], c[-1]))
             else:
-                split.append(pieces(" " + c))
-        split += map(pieces, firsts)
+                split.append(self.pieces(" " + c))
+        split += map(self.pieces, firsts)
         ids = self._learn(set(chain.from_iterable(split)))
         joined = [ids[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ws))) for ws in split]
-        if len(memo) + len(missing) > MEMO:
-            keep = {c: memo[c] for c in chunks if c in memo}
-            memo.clear()
-            memo.update(keep)
-        memo.update(zip(missing, joined))
-        first = dict(zip(firsts, joined[len(missing) :]))
+        done = dict(zip(chunks, joined))
+        first = dict(zip(firsts, joined[len(chunks) :]))
         out: list[list[int]] = [[] for _ in texts]
         for n, c in cut:
             if isinstance(c[0], int):
                 out[n].append(c[0])
             else:
-                out[n] += chain(first[c[0]], chain.from_iterable(map(memo.__getitem__, c[1:])))
-        if len(memo) > MEMO:
-            memo.clear()
+                out[n] += chain(first[c[0]], chain.from_iterable(map(done.__getitem__, c[1:])))
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -264,9 +257,10 @@ _loaded: dict[str, Bpe] = {}
 
 
 def loaded(spec: str) -> Bpe:
-    """One coder per worker and vocabulary."""
+    """One coder per worker: that of the vocabulary used last."""
     key = hashlib.md5(spec.encode()).hexdigest()
     if key not in _loaded:
+        _loaded.clear()
         _loaded[key] = Bpe(spec)
     return _loaded[key]
 
@@ -291,15 +285,20 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], fields
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_text"), *(f"{n} {t}" for n, t, _ in fields)])
 
     def run(batches):
-        gc.disable()  # the memos hold many tuples and no cycles
         coder = loaded(spec.value)
-        for b in batches:
-            for start, end in _slices(pc.utf8_length(b.column("_text")).to_pylist()):
-                part = b.slice(start, end - start)
-                texts = part.column("_text").to_pylist()
-                rows = [row(coder, x, ids) for x, ids in zip(texts, coder.encode_many(texts))]
-                made = zip(*rows) if rows else ([] for _ in fields)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(c, f[2]) for c, f in zip(made, fields))], names=names)
+        try:
+            for b in batches:
+                for start, end in _slices(pc.utf8_length(b.column("_text")).to_pylist()):
+                    part = b.slice(start, end - start)
+                    texts = part.column("_text").to_pylist()
+                    gc.disable()  # many tuples are made, and no cycles
+                    rows = [row(coder, x, ids) for x, ids in zip(texts, coder.encode_many(texts))]
+                    gc.enable()
+                    made = zip(*rows) if rows else ([] for _ in fields)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(c, f[2]) for c, f in zip(made, fields))], names=names)
+        finally:  # the worker goes on to other tasks
+            gc.enable()
+            coder.known.clear()
 
     return cols.mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 import zipfile
@@ -91,10 +92,10 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = _rng.integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
-_POW = np.ones(1, np.uint64)
 
-#: Bytes handled at once; bounds the temporary arrays, not the texts.
-CHUNK = 1 << 20
+#: Bytes handled at once, and the longest word that is hashed in arrays; both bound the temporary arrays, not the texts.
+CHUNK, LONGEST = 1 << 20, 1 << 12
+_POW = np.multiply.accumulate(np.append(np.uint64(1), np.full(LONGEST - 1, _BASE)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,17 +105,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if len(_POW) < n:
-        p = np.full(max(n, 2 * len(_POW)), _BASE, np.uint64)
-        p[0] = 1
-        _POW = np.multiply.accumulate(p)
-    return _POW
-
-
-
-
 #: The separators of WORD_RE.
 SPACES = frozenset([0x20, *range(0x09, 0x0E)])
 
@@ -144,8 +134,18 @@ class Words:
         at = np.flatnonzero(inside)
         first = np.zeros(len(lens), np.int64)
         np.cumsum(lens[:-1], out=first[1:])
-        terms = self.code[b[at]] * _powers(int(lens.max()))[np.arange(len(at)) - np.repeat(first, lens)]
-        return mix(np.add.reduceat(terms, first) + lens.astype(np.uint64) * _BASE), starts
+        terms = self.code[b[at]] * _POW[(np.arange(len(at)) - np.repeat(first, lens)) % LONGEST]
+        out = mix(np.add.reduceat(terms, first) + lens.astype(np.uint64) * _BASE)
+        for i in np.flatnonzero(lens > LONGEST):
+            out[i] = self._word(b[starts[i] : starts[i] + lens[i]])
+        return out, starts
+
+    def _word(self, b: np.ndarray) -> np.uint64:
+        """A word beyond LONGEST bytes, in steps."""
+        h = hashlib.blake2b(digest_size=8)
+        for a in range(0, len(b), CHUNK):
+            h.update(b[a : a + CHUNK].tobytes().lower())
+        return np.uint64(int.from_bytes(h.digest(), "little"))
 
     def of(self, texts: list):
         """Yields (index of the first text, list of word-hash arrays) for runs of texts (bytes or None)."""
@@ -172,17 +172,19 @@ class Words:
         return np.split(h, np.searchsorted(starts, ends[:-1]))
 
     def _long(self, t: bytes) -> np.ndarray:
-        """A long text, cut at separators so that no temporary array grows with it."""
+        """A long text, cut behind separators; what grows with it are its words' hashes only."""
         parts, at, b = [], 0, np.frombuffer(t, np.uint8)
         while at < len(b):
-            end = min(len(b), at + CHUNK)
-            while end < len(b):  # move to a separator
-                gaps = np.flatnonzero(self.space[b[end : end + CHUNK]])
-                if len(gaps):
-                    end += int(gaps[0])
-                    break
-                end = min(len(b), end + CHUNK)
-            parts.append(self._hashes(np.append(b[at:end], np.uint8(self.gap[0])))[0])
+            gaps = np.flatnonzero(self.space[b[at : at + CHUNK]])
+            if at + CHUNK >= len(b) or len(gaps):
+                end = len(b) if at + CHUNK >= len(b) else at + int(gaps[-1]) + 1
+                parts.append(self._hashes(np.append(b[at:end], np.uint8(self.gap[0])))[0])
+            else:  # within a word that is longer than a chunk
+                end = at + CHUNK
+                while end < len(b) and not len(gaps := np.flatnonzero(self.space[b[end : end + CHUNK]])):
+                    end += CHUNK
+                end = min(len(b), end + int(gaps[0]) if len(gaps) else len(b))
+                parts.append(np.array([self._word(b[at:end])]))
             at = end
         return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
@@ -207,5 +209,3 @@ def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
         s = np.sort(s)
         s = s[np.append(True, s[1:] != s[:-1])]
     return s
-
-

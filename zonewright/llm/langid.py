@@ -2,14 +2,16 @@ r"""Language identification: averaged hashed subword embeddings and a linear sof
 
 Subwords are the 2-, 3- and 4-byte windows of the lower-cased UTF-8 text in which ASCII characters other than letters count as spaces; each
 is hashed to one of BUCKETS rows of an embedding table. A text is the mean of its subwords' rows, and a linear softmax on
-it gives the languages' probabilities. The model is fitted on a bounded sample: about PER_LANGUAGE labelled documents of each
-language; beyond FULL_LANGUAGES languages all take part and share the sample of that many. It is chosen by a hash of the id, whole texts. A fifth of the sample fits the temperature and the rejection
-threshold: a text is rejected if its probability is below what all but REJECTED of the sample's texts reach, and below HALF.
+it gives the languages' probabilities. The model is fitted on a bounded sample: about PER_LANGUAGE different labelled texts of each
+language, chosen by a hash of the text, whole; beyond FULL_LANGUAGES languages all take part and share the sample of that many. However often a
+text is repeated, it counts once. A fifth of the sample fits the temperature and the rejection threshold: a text is rejected if its probability is below
+what all but REJECTED of the sample's texts reach, and below HALF.
 
 Prediction reads every whole text once, without a shuffle; the model (BUCKETS x languages) is broadcast.
 
 Defined results: a null text, or one without letters, is `und` with score 0 and rejected; without labelled rows all are. A null id is
-not held out and not learned from. Repeated rows get equal results; other columns are ignored.
+not held out and not learned from. Repeated rows get equal results; other columns are ignored. A text is read CHUNK bytes at a time, however long it
+is; a text that ties between languages is the first one's, by name.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import CHUNK
 
@@ -47,7 +50,7 @@ def _indexes(b: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def bags(texts: list):
+def bags(texts):
     """Yields each text's subword counts; texts are bytes or None."""
     run, size = [], 0
 
@@ -56,7 +59,7 @@ def bags(texts: list):
         ends = np.cumsum([len(t) + 4 for t in run])
         idx = _indexes(b, len(b) - 3)
         for a, e in zip([0, *ends], ends):
-            yield np.bincount(np.concatenate([x[a:e] for x in idx]), minlength=BUCKETS + 1)[:BUCKETS]
+            yield np.bincount(np.concatenate([x[a : e - 3] for x in idx]), minlength=BUCKETS + 1)[:BUCKETS]  # the next text's start isn't this one's end
 
     for t in texts:
         t = t or b""
@@ -152,44 +155,46 @@ def remainder(ident: Column) -> Column:
 def fit(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """None if no row is labelled."""
     usable = docs.select(F.col(lang).alias("_l"), F.col(ident).alias("_i"), F.col(text).alias("_t")).filter(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (remainder(F.col("_i")) != 1))
-    counts = usable.groupBy("_l").count().orderBy(F.desc("count"), "_l").collect()  # a row for each language
+    counts = usable.groupBy("_l").agg(F.approx_count_distinct(F.xxhash64("_t")).alias("n")).collect()  # a row for each language
     if not counts:
         return None
     languages = sorted(r["_l"] for r in counts)
     per_language = min(per_language, per_language * FULL_LANGUAGES / len(counts))
-    part = F.create_map(*(F.lit(x) for r in counts for x in (r["_l"], per_language / r["count"])))
-    key = F.xxhash64(F.lit("langid"), F.col("_i"), F.col("_t"))
+    part = F.create_map(*(F.lit(x) for r in counts for x in (r["_l"], per_language / max(1, r["n"]))))
+    key = F.xxhash64(F.lit("langid"), F.col("_t"))
     chance = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.filter(chance < part[F.col("_l")]).select("_l", key.alias("_k"), F.col("_t").cast("binary").alias("_t"))
+    sample = usable.filter(chance < part[F.col("_l")]).groupBy("_l", key.alias("_k")).agg(F.first("_t").cast("binary").alias("_t"))
 
     def run(batches):
         for b in batches:
-            found = []
-            for bag in bags([x.as_py() for x in b.column("_t")]):
-                at = np.flatnonzero(bag)
-                found.append((at.tolist(), bag[at].tolist()))
-            cols = list(zip(*found)) or ([], [])
-            yield pa.RecordBatch.from_arrays([b.column("_l"), b.column("_k"), pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.list_(pa.int64()))], names=["_l", "_k", "at", "n"])
-
-    rows = sample.mapInArrow(run, "_l string, _k long, at array<int>, n array<long>").collect()
-    rows = sorted(rows, key=lambda r: (r["_k"], r["_l"]))
+            at, n = [], []
+            for bag in bags(x.as_py() for x in b.column("_t")):
+                used = np.flatnonzero(bag)
+                at.append(used.astype(np.uint16).tobytes())
+                n.append(np.minimum(bag[used], 2**32 - 1).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("_l"), b.column("_k"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["_l", "_k", "at", "n"])
+
+    rows = sorted(sample.mapInArrow(run, "_l string, _k long, at binary, n binary").collect(), key=lambda r: (r["_k"], r["_l"]))
     if not rows:
         return None
     number = {x: i for i, x in enumerate(languages)}
-    return train([(number[r["_l"]], np.array(r["at"], int), np.array(r["n"], float)) for r in rows], languages)
+    return train([(number[r["_l"]], np.frombuffer(r["at"], np.uint16).astype(np.int32), np.frombuffer(r["n"], np.uint32)) for r in rows], languages)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds lang_pred, score and rejected to the columns kept."""
-    cols = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_has"), F.col(text).cast("binary").alias("_t"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name not in ("_has", "_t")) + ", lang_pred string, score double, rejected boolean"
+    """Adds lang_pred, score and rejected to the columns kept, which may have any names."""
+    has = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    cols = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), has.alias("has"), F.col(text).cast("binary").alias("text"))
+    kept = [f"c{i}" for i in range(len(keep))]
+    names = [*kept, "lang_pred", "score", "rejected"]
+    schema = T.StructType([*(cols.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
         for b in batches:
-            has, pred, score, out = b.column("_has").to_pylist(), [], [], []
-            for ok, bag in zip(has, bags([x.as_py() for x in b.column("_t")])):
+            pred, score, out = [], [], []
+            for ok, bag in zip(b.column("has").to_pylist(), bags(x.as_py() for x in b.column("text"))):
                 if ok and m is not None:
                     p = m.scores(bag)
                     i = int(p.argmax())
@@ -200,13 +205,14 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     out.append(True)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=names)
 
-    return cols.mapInArrow(run, schema)
+    found = cols.mapInArrow(run, schema)
+    return found.select(*(F.col(k).alias(c) for k, c in zip(kept, keep)), "lang_pred", "score", "rejected")
 
 
 def identify(docs: DataFrame, ident: str = "doc_id") -> DataFrame:
     """Fits on the rows that are not held out and predicts all."""
     model = fit(docs, ident)
     held = F.coalesce(remainder(F.col(ident)) == 1, F.lit(False))
-    return predict(docs.withColumn("held_out", held), model, keep=(ident, "held_out"))
+    return predict(docs.select(ident, "text", held.alias("held_out")), model, keep=(ident, "held_out"))
