@@ -1,4 +1,9 @@
-"""The corpus pipeline: language ID, near duplicates, source mixing, tokens. Each stage is written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: language ID, near duplicates, source mixing, tokens. Each stage is written as Parquet and read again as the next one's documents.
+
+Defined results: null and empty texts, and those without letters, go with the language stage; repeated rows and ties are settled by id, text and a digest of
+the whole row; rows with null ids are told apart by their texts; texts are read whole, however long; an empty table gives an empty one; documents may have
+any further columns, of any names, which are handed on.
+"""
 
 from __future__ import annotations
 
@@ -7,63 +12,68 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from zonewright.llm import bpe, langid, mixing, ngram_join
-from zonewright.llm.common import ship, stored
+from zonewright.llm.common import remove, ship, stored
 from zonewright.llm.queries import vocabulary
 
 #: Words of a shingle and the least similarity in percent of near duplicates; operator 8's query has its own.
 WORDS, PERCENT = 5, 80
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Whole rows in one column, so that no column of theirs clashes with what a stage adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts; it is fitted on the labelled ones that are not held out."""
     ship(spark)
-    return langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns)).filter(~F.col("rejected")).select(*docs.columns)
+    return langid.predict(_rows(docs), langid.fit(docs), text="row.text", keep=("row",)).filter("not rejected").select("row.*")
 
 
-def _digest(docs: DataFrame) -> Column:
+def _digest(row: Column) -> Column:
     """Of a whole row, to order rows that are alike in what a stage reads."""
-    return F.xxhash64(*(F.col(c) for c in docs.columns))
+    return F.xxhash64(row)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents one, that with the smallest id (null last); documents without words link with nothing and all stay.
 
-    Rows are known by id and text, so neither null ids nor ids given to several texts mix up the decisions on them.
+    Rows are known by id and text, so neither null ids nor ids given to several texts mix up the decisions on them. Of rows equal in both one stays.
     """
     ship(spark)
-    hashed = F.xxhash64("text")
-    named = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", hashed.alias("hash")).alias("key"), "text")
-    kept = ngram_join.classes(named, "key", words=WORDS, percent=PERCENT).filter("key = component_id").groupBy("key").agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_size"))
-    kept = stored(kept.select(F.col("key.doc_id").alias("_id"), F.col("key.hash").alias("_hash"), ((F.col("_n") > 1) & (F.col("_size") > 0)).alias("_again")), "pipeline-kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (hashed == F.col("_hash"))
-    out = docs.join(kept.filter("not _again").hint("merge"), same, "left_semi")
-    again = kept.filter("_again")
+    rows = _rows(docs).withColumn("hash", F.xxhash64("row.text"))
+    named = rows.select(F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "hash").alias("key"), F.col("row.text").alias("text"))
+    kept = ngram_join.classes(named, "key", words=WORDS, percent=PERCENT).filter("key = component_id").groupBy("key").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
+    kept = stored(kept.select(F.col("key.doc_id").alias("id"), F.col("key.hash").alias("its_hash"), ((F.col("n") > 1) & (F.col("size") > 0)).alias("again")), "pipeline-kept")
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("its_hash"))
+    out = rows.join(kept.filter("not again").hint("merge"), same, "left_semi").select("row.*")
+    again = kept.filter("again")
     if again.isEmpty():
         return out
-    first = Window.partitionBy("doc_id", hashed).orderBy(_digest(docs))
-    return out.unionByName(docs.join(again.hint("merge"), same, "left_semi").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r"))
+    more = rows.join(again.hint("merge"), same, "left_semi").groupBy("row.doc_id", "hash").agg(F.min_by("row", _digest(F.col("row"))).alias("row"))
+    return out.unionByName(more.select("row.*"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole epochs, and the document at a source's cut as a whole.
 
-    Rows are known by id, text and source; where a source's cut falls among rows alike in these, `_more` of them are taken once more than `_least`.
+    Rows are known by id, text and source; where a source's cut falls among rows alike in these, `more` of them are taken once more than `least`.
     """
-    hashed = F.xxhash64("text")
+    rows = _rows(docs).withColumn("hash", F.xxhash64("row.text"))
     times = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    mixed = mixing.mix(docs.withColumn("_text", hashed), keep=("_text",)).withColumn("_n", times)
-    taken = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), F.col("source").alias("_from")).agg(
-        F.max("_n").alias("_n"), F.min("_n").alias("_least"), (F.sum("_n") - F.min("_n") * F.count("*")).alias("_more")
+    mixed = mixing.mix(rows.select("row.doc_id", "row.text", "row.source", "hash"), keep=("hash",)).withColumn("n", times)
+    taken = mixed.groupBy(F.col("doc_id").alias("id"), F.col("hash").alias("its_hash"), F.col("source").alias("from")).agg(
+        F.max("n").alias("n"), F.min("n").alias("least"), (F.sum("n") - F.min("n") * F.count("*")).alias("more")
     )
-    taken = stored(taken.filter("_n > 0"), "pipeline-taken")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_from"))
-    out = docs.join(taken.filter("_n = _least").hint("merge"), same).select(*docs.columns, "_n")
-    cut = taken.filter("_n > _least")
+    taken = stored(taken.filter("n > 0"), "pipeline-taken")
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("its_hash")) & F.col("row.source").eqNullSafe(F.col("from"))
+    out = rows.join(taken.filter("n = least").hint("merge"), same).select("row", "n")
+    cut = taken.filter("n > least")
     if not cut.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("doc_id", "_hash", "source").orderBy(_digest(docs)))
-        parted = docs.join(cut.hint("merge"), same).withColumn("_n", F.col("_least") + F.when(nth <= F.col("_more"), 1).otherwise(0))
-        out = out.unionByName(parted.filter("_n > 0").select(*docs.columns, "_n"))
-    return out.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+        nth = F.row_number().over(Window.partitionBy("row.doc_id", "hash", "row.source").orderBy(_digest(F.col("row"))))
+        parted = rows.join(cut.hint("merge"), same).withColumn("n", F.col("least") + F.when(nth <= F.col("more"), 1).otherwise(0))
+        out = out.unionByName(parted.filter("n > 0").select("row", F.col("n").cast("int").alias("n")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("epoch")).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +88,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; a stage's table is deleted when the next one's is written."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        new: list[str] = []
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", new)
+        remove(spark, *old)
+        old = new
     return docs
