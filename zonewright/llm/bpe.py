@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a task remembers at most, the characters of the longest of them, and characters of text encoded together.
-MEMO, MEMO_CHARS, TOGETHER = 1 << 17, 48, 1 << 19
+MEMO, MEMO_CHARS, TOGETHER = 1 << 18, 48, 1 << 20
 _NONE = np.int64(1) << np.int64(62)
 #: A space before a space or before the end, behind white space: there a cut could change the words.
 _UNSAFE, _CUT = regex.compile(r"\s (?:\s|$)"), regex.compile(r" (?=\S)")
@@ -66,7 +66,8 @@ class Bpe:
         self.special = {a["content"]: a["id"] for a in added}
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.decimal = [str(i) for i in range(size)]
+        self.tokens = pa.array(self.bytes, pa.large_binary())
+        self.decimal = pa.array([f"{i}," for i in range(size)], pa.large_binary())
         self.split = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True))) if added else None
         self.words = regex.compile(PATTERN)
         self.known: dict[str, tuple[int, ...]] = {}
@@ -204,24 +205,38 @@ class Bpe:
             return [text[m.start() : m.end()] for m in self.words.finditer(self.odd.sub("\ue000", text))]
         return self.words.findall(text)
 
-    def _chunks(self, text: str) -> list[str]:
-        """The text cut before spaces where a cut changes no word; all but the first chunk have lost their space."""
-        return _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
-        parts: list[tuple[int, str | int]] = []  # of a text or an added token
+    def _chunks(self, texts: list[str]) -> pa.ListArray:
+        """The texts cut before spaces where a cut changes no word; all but a text's first chunk have lost their space."""
+        odd = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
+        if not odd:
+            return pc.split_pattern(pa.array(texts, pa.string()), " ")
+        at, other = np.array(odd), np.setdiff1d(np.arange(len(texts)), odd)
+        plain = pc.split_pattern(pa.array([texts[i] for i in other], pa.string()), " ")
+        both = pa.concat_arrays([plain, pa.array([_CUT.split(texts[i]) for i in odd], pa.list_(pa.string()))])
+        return both.take(pa.array(np.argsort(np.concatenate([other, at]))))
+
+    def encode_column(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the ids of all texts, one behind the other. Each different chunk is encoded once, and its ids are gathered where it occurs."""
+        owner, strings, special = [], [], {}  # special: part number to an added token's id
         for n, text in enumerate(texts):
             if self.split and any(t in text for t in self.special):
-                parts += ((n, self.special.get(x, x)) for x in self.split.split(text) if x)
+                for x in filter(None, self.split.split(text)):
+                    if x in self.special:
+                        special[len(owner)] = self.special[x]
+                    owner.append(n)
+                    strings.append("" if x in self.special else x)
             elif text:
-                parts.append((n, text))
-        cut = [(n, [x] if isinstance(x, int) else self._chunks(x)) for n, x in parts]
-        chunks: set[str] = set()
-        for _, c in cut:
-            if not isinstance(c[0], int):
-                chunks.update(c[1:])
-        firsts = list({c[0] for _, c in cut if not isinstance(c[0], int)})
+                owner.append(n)
+                strings.append(text)
+        if not owner:
+            return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int32)
+        lists = self._chunks(strings)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        coded = lists.flatten().dictionary_encode()
+        chunks, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = [chunks[i] for i in code[begins]]
+        firsts = {h: i for i, h in enumerate(dict.fromkeys(heads))}
         split = []
         for c in chunks:  # mostly letters, or those and a mark
             if c.isalpha():
@@ -232,16 +247,24 @@ class Bpe:
                 split.append(self.pieces(" " + c))
         split += map(self.pieces, firsts)
         ids = self._learn(set(chain.from_iterable(split)))
-        joined = [ids[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ws))) for ws in split]
-        done = dict(zip(chunks, joined))
-        first = dict(zip(firsts, joined[len(chunks) :]))
-        out: list[list[int]] = [[] for _ in texts]
-        for n, c in cut:
-            if isinstance(c[0], int):
-                out[n].append(c[0])
-            else:
-                out[n] += chain(first[c[0]], chain.from_iterable(map(done.__getitem__, c[1:])))
-        return out
+        found = [ids[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ws))) for ws in split]
+        found += [(x,) for x in special.values()]
+        code[begins] = [len(chunks) + firsts[h] for h in heads]
+        code[begins[list(special)]] = np.arange(len(split), len(found))
+        each = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(each.sum()))
+        count = each[code]
+        ends = np.cumsum(count)
+        at = np.repeat((np.cumsum(each) - each)[code] - (ends - count), count) + np.arange(len(ends) and ends[-1])
+        per_part = np.add.reduceat(count, begins)
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(np.bincount(owner, per_part, len(texts)).astype(np.int64), out=offsets[1:])
+        return offsets, flat[at]
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        offsets, ids = self.encode_column(texts)
+        return [x.tolist() for x in np.split(ids, offsets[1:-1])] if texts else []
 
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0]
@@ -249,8 +272,19 @@ class Bpe:
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
-    def joined(self, ids) -> str:
-        return ",".join(map(self.decimal.__getitem__, ids))
+    def decoded(self, offsets: np.ndarray, ids: np.ndarray):
+        """Yields the text of each row of ids."""
+        for x in _joined(self.tokens, offsets, ids):
+            yield str(x, "utf-8", "replace")
+
+
+def _joined(values: pa.Array, offsets: np.ndarray, ids: np.ndarray):
+    """Yields the bytes of each row's values, one behind the other."""
+    taken = values.take(pa.array(ids))
+    at = np.frombuffer(taken.buffers()[1], np.int64)[offsets] if len(ids) else np.zeros(len(offsets), np.int64)
+    data = memoryview(taken.buffers()[2] or b"")
+    for a, e in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield data[a:e]
 
 
 _loaded: dict[str, Bpe] = {}
@@ -277,12 +311,13 @@ def _slices(sizes: list[int]):
         yield at, len(sizes)
 
 
-def _mapped(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], fields: list[tuple[str, str, pa.DataType]], row) -> DataFrame:
+def _mapped(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], fields: list[tuple[str, str]], made) -> DataFrame:
+    """Adds fields, whose arrays made(coder, offsets, ids) gives for a run of texts."""
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     cols = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     names = [*keep, *(f[0] for f in fields)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_text"), *(f"{n} {t}" for n, t, _ in fields)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_text"), *(f"{n} {t}" for n, t in fields)])
 
     def run(batches):
         coder = loaded(spec.value)
@@ -290,12 +325,10 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], fields
             for b in batches:
                 for start, end in _slices(pc.utf8_length(b.column("_text")).to_pylist()):
                     part = b.slice(start, end - start)
-                    texts = part.column("_text").to_pylist()
                     gc.disable()  # many tuples are made, and no cycles
-                    rows = [row(coder, x, ids) for x, ids in zip(texts, coder.encode_many(texts))]
+                    offsets, ids = coder.encode_column(part.column("_text").to_pylist())
                     gc.enable()
-                    made = zip(*rows) if rows else ([] for _ in fields)
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(c, f[2]) for c, f in zip(made, fields))], names=names)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *made(coder, offsets, ids)], names=names)
         finally:  # the worker goes on to other tasks
             gc.enable()
             coder.known.clear()
@@ -303,9 +336,17 @@ def _mapped(docs: DataFrame, path: str, text: str, keep: tuple[str, ...], fields
     return cols.mapInArrow(run, schema)
 
 
+def _id_lists(offsets: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+
+
+def _text_digests(coder: Bpe, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.array([hashlib.sha256(x.encode()).hexdigest() for x in coder.decoded(offsets, ids)], pa.string())
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds ids, the token ids of each text."""
-    return _mapped(docs, path, text, keep, [("ids", "array<int>", pa.list_(pa.int32()))], lambda c, x, ids: (ids,))
+    return _mapped(docs, path, text, keep, [("ids", "array<int>")], lambda c, offsets, ids: [_id_lists(offsets, ids)])
 
 
 def decoded(tokens: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -326,16 +367,14 @@ def decoded(tokens: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...
 def digests(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encodes and decodes: n_tokens, and SHA-256 of the comma-joined decimal ids and of the decoded text."""
 
-    def row(coder: Bpe, x: str, ids: list[int]) -> tuple:
-        return len(ids), hashlib.sha256(coder.joined(ids).encode()).hexdigest(), hashlib.sha256(coder.decode(ids).encode()).hexdigest()
+    def made(coder: Bpe, offsets: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+        joined = [hashlib.sha256(x[:-1]).hexdigest() for x in _joined(coder.decimal, offsets, ids)]
+        return [pa.array(np.diff(offsets)), pa.array(joined, pa.string()), _text_digests(coder, offsets, ids)]
 
-    return _mapped(docs, path, text, keep, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], row)
+    return _mapped(docs, path, text, keep, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], made)
 
 
 def tokenized(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The token ids of each text, with their number and the digest of what they decode to."""
-
-    def row(coder: Bpe, x: str, ids: list[int]) -> tuple:
-        return ids, len(ids), hashlib.sha256(coder.decode(ids).encode()).hexdigest()
-
-    return _mapped(docs, path, text, keep, [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "long", pa.int64()), ("decoded_sha256", "string", pa.string())], row)
+    fields = [("ids", "array<int>"), ("n_tokens", "long"), ("decoded_sha256", "string")]
+    return _mapped(docs, path, text, keep, fields, lambda c, offsets, ids: [_id_lists(offsets, ids), pa.array(np.diff(offsets)), _text_digests(c, offsets, ids)])

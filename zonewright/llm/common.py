@@ -56,9 +56,15 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, where the session doesn't say otherwise.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application, so that their Python workers need no installed copy."""
+    """Sends this package to the executors, once an application, so that their Python workers need no installed copy; and makes Arrow batches small."""
     app = spark.sparkContext.applicationId
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
     if app not in _shipped:
         _shipped.add(app)
         top = Path(__file__).resolve().parents[1]
