@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..schemas import ALPHABET
 
 WEIGHTS = (7, 3, 1)
+#: The last digit of each character's value, in the alphabet's order; decimal places of one number.
+RESIDUES, PLACES = "".join(str(i % 36 % 10) for i in range(37)), 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DIGIT_FROM, DIGIT_TO = "OQDILZSGB", "000112568"
 LETTER_FROM, LETTER_TO = "012568", "OIZSGB"
@@ -42,15 +44,29 @@ def char_value(ch: Column) -> Column:
 def check_digit(c: Column, width: int | None = None) -> Column:
     """The 7-3-1 sum modulo 10; null if a character has no value; 0 for an empty field.
 
-    With a known width the sum is unrolled and stays in generated code; otherwise it is an aggregate over positions.
+    With a known width the characters become their values' last digits, up to 18 of them one number, and the sum is arithmetic on
+    that number's digits, in generated code; otherwise it is an aggregate over positions.
     """
-    if width is not None:
-        total = reduce(add, (char_value(F.substring(c, i + 1, 1)) * WEIGHTS[i % 3] for i in range(width)), F.lit(0)) if width else F.lit(0)
-    else:
+    if width is None:
         at = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c))).otherwise(F.array().cast("array<int>"))
         weight = lambda i: F.element_at(F.array(*map(F.lit, WEIGHTS)), (i - 1) % 3 + 1)
         total = F.aggregate(at, F.lit(0), lambda a, i: a + char_value(F.substr(c, i, F.lit(1))) * weight(i))
-    return F.when(is_mrz_charset(c), total % 10)
+        return F.when(is_mrz_charset(c), total % 10)
+    if not width:
+        return F.when(is_mrz_charset(c), 0)
+    digits = F.rpad(F.translate(c, ALPHABET, RESIDUES), width, "0")
+    parts = []
+    for start in range(0, width, PLACES):
+        n = min(PLACES, width - start)
+        number = F.substring(digits, start + 1, n).try_cast("long")
+        parts.append(number_sum(number, n, start) if width <= PLACES else let(number, lambda v: number_sum(v, n, start)))  # noqa: B023
+    return ((reduce(add, parts) % 10).cast("int") + F.when(is_mrz_charset(c), 0)).cast("int")
+
+
+def number_sum(number: Column, places: int, start: int) -> Column:
+    """The weighted sum of a number's decimal places, of which the first is character `start` of its field."""
+    at = lambda i: F.call_function("div", number, F.lit(10 ** (places - 1 - i))) % 10
+    return reduce(add, (reduce(add, group) * w for w, group in ((w, [at(i) for i in range(places) if (start + i) % 3 == k]) for k, w in enumerate(WEIGHTS)) if group))
 
 
 def verify(c: Column, digit: Column, width: int | None = None) -> Column:
@@ -79,7 +95,7 @@ def span(c: Column, start: int, end: int) -> Column:
 
 def replaced(c: Column, start: int, end: int, how) -> Column:
     """The line with how() applied to one range."""
-    return let(c, lambda x: F.concat(F.substring(x, 1, start), how(span(x, start, end)), F.substring(x, end + 1, 1 << 20)))
+    return let(c, lambda x: F.concat(F.substring(x, 1, start), how(span(x, start, end)), F.substr(x, F.lit(end + 1))))
 
 
 def defiller(c: Column) -> Column:
@@ -136,7 +152,6 @@ def _fitted(c: Column, run: Column, width: int) -> Column:
 def variants(raw: Column, width: int, repair) -> Column:
     """Candidate readings of a line, each repaired, as it is, and with every doubtful filler; none if it isn't near the width."""
 
-
     def forms(c: Column) -> Column:
         three = lambda x: let(repair(x), lambda r: F.array(r, x, aggressive_defiller(r)))
         ok = F.length(c).between(width - 14, width + 4) & is_mrz_charset(c)

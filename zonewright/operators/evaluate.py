@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import character_error_rate
 from ..schemas import CORE_FIELDS
+from ..sources.files import checkpointed
 
 COMPARED = (*CORE_FIELDS, "mrz_lines")
 
@@ -98,18 +99,40 @@ def unsupported_detail(reads: DataFrame, key: str, record: str = "read", text: s
     return reads.select(key, F.transform(bad, lambda x: x["field"]).alias("unsupported_fields"))
 
 
+#: One over the greatest error, as a share of the rows, of the bounds between which an exact rank is looked for.
+ACCURACY = 10_000
+
+
 def nearest_rank(df: DataFrame, value: str, ranks: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """n, mean, and for each name the value at rank round((n - 1) p).
+    """n, mean, and for each name the value at rank round((n - 1) p), exactly.
 
-    Values are counted first, so a window runs over distinct values; exact, and no group's values are collected in one row.
+    A first pass gives each group's size and, for each rank, two values it lies between for certain (approximate percentiles on either side, as far apart
+    as their error bound asks); a second one counts what lies below, and only the few values between the two, counted by value, meet in a window.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy("_v")), "_n": F.sum("_c").over(w)})
-    at = lambda p: F.floor((F.col("_n") - 1) * p + 0.5)
-    aggs = [F.max("_n").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean")]
-    aggs += [F.min(F.when(F.col("_upto") > at(p), F.col("_v"))).alias(name) for name, p in ranks.items()]
-    return ranked.groupBy(*by).agg(*aggs) if by else ranked.agg(*aggs)
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    marks = [m for p in ranks.values() for m in (max(0.0, p - 3 / ACCURACY), min(1.0, p + 3 / ACCURACY))]
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.percentile_approx("_v", marks, ACCURACY).alias("_q"))
+    named = sizes.select(*(F.col(b).alias(f"_by{i}") for i, b in enumerate(by)), "_q")
+    same = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+    both = rows.join(named, same) if by else rows.join(F.broadcast(named))  # without groups, one row
+    low = [F.col("_v") < F.col("_q")[2 * i] for i in range(len(ranks))]
+    between = [F.col("_v").between(F.col("_q")[2 * i], F.col("_q")[2 * i + 1]) for i in range(len(ranks))]
+    below = both.groupBy(*by).agg(*(F.count_if(c).alias(f"_below{i}") for i, c in enumerate(low)))
+    near = F.explode(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(between))))
+    counts = both.select(*by, "_v", near.alias("_i")).filter("_i is not null").groupBy(*by, "_i", "_v").agg(F.count("*").alias("_c"))
+    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_v")))
+    joined = _on(upto, _on(sizes.drop("_q"), below, by), by)
+    at = [F.floor((F.col("n") - 1) * p + 0.5) - F.col(f"_below{i}") for i, p in enumerate(ranks.values())]
+    picks = [F.min(F.when((F.col("_i") == i) & (F.col("_upto") > at[i]), F.col("_v"))).alias(name) for i, name in enumerate(ranks)]
+    return joined.groupBy(*by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *picks)
+
+
+def _on(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Joined on columns in which nulls are equal; without columns, right is one row."""
+    if not by:
+        return left.join(F.broadcast(right))
+    right = right.withColumnsRenamed({b: f"_r{i}" for i, b in enumerate(by)})
+    return left.join(right, [F.col(b).eqNullSafe(F.col(f"_r{i}")) for i, b in enumerate(by)]).drop(*(f"_r{i}" for i in range(len(by))))
 
 
 def histogram(df: DataFrame, value: str, bounds: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
@@ -120,9 +143,14 @@ def histogram(df: DataFrame, value: str, bounds: tuple[float, ...], by: tuple[st
 
 
 def latest(df: DataFrame, series: str, time: str, order: str, value: str) -> DataFrame:
-    """The latest row of each series that has a value; of equal times the last."""
-    w = Window.partitionBy(series).orderBy(F.desc(time), F.desc(order))
-    return df.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """The latest row of each series that has a value; of equal times the last. An aggregate: nothing is sorted, and a hot series is combined where it lies."""
+    rows = df.filter(F.col(value).isNotNull())
+    return rows.groupBy(series).agg(F.max_by(F.struct(*rows.columns), F.struct(time, order)).alias("_row")).select("_row.*")
+
+
+def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """Of rows with equal keys that of the lowest order."""
+    return df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
 
 
 def series_in_first_seen_order(df: DataFrame, series: str, time: str, order: str) -> DataFrame:
@@ -136,18 +164,17 @@ def trend_axis(df: DataFrame, time: str) -> DataFrame:
 
 
 def stride(df: DataFrame, n: int, order: str) -> DataFrame:
-    """n rows at even distances: ranks floor(i total / n). Ranks come from a range sort and the partitions' counts, not from one task."""
-    placed = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    """n rows at even distances: ranks floor(i total / n). Ranks come from a range sort and the partitions' counts, not from one task; the sorted
+    rows are checkpointed, so that counts and ranks see the same partitions."""
+    placed = checkpointed(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumns({"_p": F.shiftright("_id", 33), "_k": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row per partition
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    if not total:
-        return df.limit(0)
-    start = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("_p")]
-    i = F.ceil((start + F.col("_k")) * n / total)
-    return placed.filter((i < n) & (F.floor(i * total / n) == start + F.col("_k"))).drop("_id", "_p", "_k")
+    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("_p").alias("_part"), before.alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))
+    rank = F.col("_before") + F.col("_k")
+    i = F.ceil(rank * n / F.col("_total"))
+    ranked = placed.join(F.broadcast(counts), F.col("_p") == F.col("_part"))
+    return ranked.filter((i < n) & (F.floor(i * F.col("_total") / n) == rank)).select(*df.columns)
 
 
 def keep_last(df: DataFrame, n: int, order: str) -> DataFrame:

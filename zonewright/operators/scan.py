@@ -208,8 +208,9 @@ def _identity(f: Layout, lines: tuple[str, ...]) -> tuple:
     return at(f.number).rstrip("<"), at(f.birth), at(f.expiry), surname.replace("<", " ").strip(), given.replace("<", " ").strip(), at(f.nationality).rstrip("<")
 
 
-def damaged(lines: list[str], budget: int = BUDGET) -> tuple[Layout, tuple[str, ...]] | None:
-    """Adjacent lines of which one is damaged; None unless all valid readings name the same person and document."""
+def damaged(lines: list[str], budget: int = BUDGET) -> tuple[tuple[Layout, tuple[str, ...]] | None, bool]:
+    """Adjacent lines of which one is damaged: the zone, None unless all valid readings tried name the same person and document; and whether the budget ended
+    the search before all readings were tried (then unanimity is that of the readings tried, by definition)."""
 
     def shapes():
         for i in range(len(lines) - 2):
@@ -223,30 +224,41 @@ def damaged(lines: list[str], budget: int = BUDGET) -> tuple[Layout, tuple[str,
                         yield f, [damaged_readings(x, f, n, lost) if n == k else readings(x, f, n) for n, x in enumerate(lines[i : i + 2])]
 
     hits: list[tuple[Layout, tuple[str, ...]]] = []
+    exhausted = False
     for f, choices in shapes():
         choices[0] = [x for x in choices[0] if x[0] in f.first]
         for x in product(*choices):
             if not budget:
+                exhausted = True
                 break
             budget -= 1
             if score(x, f) == 5 and _real(f, x):
                 hits.append((f, x))
-    return hits[0] if hits and len({_identity(*h) for h in hits}) == 1 else None
+    return (hits[0] if hits and len({_identity(*h) for h in hits}) == 1 else None), exhausted
 
 
 def find(text: str) -> tuple[Layout, tuple[str, ...], bool] | None:
     """(format, lines, whether it was found as damaged), or None."""
+    found = search(text)
+    return found and found[:3]
+
+
+def search(text: str | None, budget: int = BUDGET) -> tuple[Layout, tuple[str, ...], bool, bool] | None:
+    """As find(), and whether the damaged search ran out of its budget."""
+    if text is None:
+        return None
     lines = text_lines(text)
     best, most = None, -1
     for f, x in candidates(lines):
         n = score(x, f)
         if n == 5:
-            return f, x, False
+            return f, x, False, False
         if n is not None and n > most:
             best, most = (f, x, False), n
-    if best and (hit := damaged(lines)):
-        return *hit, True
-    return best
+    if not best:
+        return None
+    hit, exhausted = damaged(lines, budget)
+    return (*hit, True, exhausted) if hit else (*best, exhausted)
 
 
 def may_hold_zone(text: Column) -> Column:
@@ -256,25 +268,24 @@ def may_hold_zone(text: Column) -> Column:
     return F.coalesce(F.exists(F.split(t, r"\r?\n"), shaped) | F.exists(F.split(t, r"(?U)\s+"), shaped), F.lit(False))
 
 
-def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pivot: int = PIVOT) -> DataFrame:
-    """Adds zone_format, mrz_lines, repaired (whether the damaged search found it), mrz and error (kind NotFound where there is none)."""
+def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pivot: int = PIVOT, budget: int = BUDGET) -> DataFrame:
+    """Adds zone_format, mrz_lines, repaired (whether the damaged search found it), exhausted (whether that search ended at its budget), mrz and error (kind
+    NotFound where there is none). One pass: a text without any line of a zone's shape reaches Python as null."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    names = [*keep, "zone_format", "mrz_lines", "repaired"]
+    names = [*keep, "zone_format", "mrz_lines", "repaired", "exhausted"]
 
     def run(batches):
         for b in batches:
-            found = [find(t.as_py()) for t in b.column("_text")]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in keep), pa.array([x and x[0].name for x in found], pa.string()), pa.array([x and list(x[1]) for x in found], pa.list_(pa.string())), pa.array([bool(x and x[2]) for x in found], pa.bool_())],
-                names=names,
-            )
-
-    rows = df.select(*keep, F.col(text).alias("_text"))
-    hit = rows.filter(may_hold_zone(F.col("_text"))).mapInArrow(run, f"{kinds}, zone_format string, mrz_lines array<string>, repaired boolean")
-    rest = rows.filter(~may_hold_zone(F.col("_text"))).select(*keep, F.lit(None).cast("string").alias("zone_format"), F.lit(None).cast("array<string>").alias("mrz_lines"), F.lit(False).alias("repaired"))
-    out = parse_by_format(hit.unionByName(rest), "zone_format", "mrz_lines", pivot)
+            found = [search(t.as_py(), budget) for t in b.column("_text")]
+            lines = pa.array([x and list(x[1]) for x in found], pa.list_(pa.string()))
+            flags = [pa.array([bool(x and x[k]) for x in found], pa.bool_()) for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([x and x[0].name for x in found], pa.string()), lines, *flags], names=names)
+
+    rows = df.select(*keep, F.when(may_hold_zone(F.col(text)), F.col(text)).alias("_text"))
+    found = rows.mapInArrow(run, f"{kinds}, zone_format string, mrz_lines array<string>, repaired boolean, exhausted boolean")
+    out = parse_by_format(found, "zone_format", "mrz_lines", pivot)
     missing = F.struct(F.lit("NotFound").alias("kind"), F.lit(None).cast("int").alias("expected"), F.lit(None).cast("int").alias("got"), F.lit(None).cast("string").alias("detail"))
     return out.withColumn("error", F.when(F.col("zone_format").isNull(), missing).otherwise(F.col("error")))
 
 
-__all__ = ["FORMATS", "damaged", "find", "may_hold_zone", "scan"]
+__all__ = ["FORMATS", "damaged", "find", "may_hold_zone", "scan", "search"]

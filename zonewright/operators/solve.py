@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.checksum import fit_length, is_mrz_charset, rtrim_filler, verify
+from ..functions.checksum import WEIGHTS, char_value, check_digit, fit_length, let, rtrim_filler, verify
 from ..functions.dates import is_well_formed
 from ..schemas import ALPHABET
 
+#: The mark of an unreadable character; the most of them that are solved, and the most exchanges that are tried: beyond, the answer is Unresolvable by definition.
 UNKNOWN, MAX_UNKNOWNS, MAX_SUBSTITUTIONS = "?", 2, 256
 #: Digits and the letters that are read for them.
 CONFUSABLES = {"0": "ODQ", "1": "ILTU", "2": "Z", "4": "A", "5": "S", "6": "G", "7": "T", "8": "B", "9": "G"}
@@ -45,16 +46,38 @@ def concrete_fillings(c: Column) -> Column:
 
 def resolution(hits: Column) -> Column:
     """struct<kind, candidates>: Unique, Ambiguous or Unresolvable, candidates sorted."""
-    n = F.size(hits)
-    return F.struct(F.when(n == 0, "Unresolvable").when(n == 1, "Unique").otherwise("Ambiguous").alias("kind"), F.array_sort(hits).alias("candidates"))
+    kind = lambda h: F.when(F.size(h) == 0, "Unresolvable").when(F.size(h) == 1, "Unique").otherwise("Ambiguous")
+    return let(F.array_sort(hits), lambda h: F.struct(kind(h).alias("kind"), h.alias("candidates")))
 
 
+#: The alphabet's characters by the last digit of their value; by a position's weight, the factor that undoes it modulo 10.
+_BY_RESIDUE = [[c for i, c in enumerate(ALPHABET) if i % 36 % 10 == r] for r in range(10)]
+_UNDO = {w: next(k for k in range(10) if w * k % 10 == 1) for w in WEIGHTS}
+
 
 def solve_field(field: Column, check: Column, kind: str = OTHER, width: int | None = None) -> Column:
-    """All fillings of a field's unknowns that its check digit and its kind allow."""
-    legal = is_mrz_charset(F.translate(field, UNKNOWN, "")) & (check != UNKNOWN)
-    hits = F.filter(concrete_fillings(field), lambda x: verify(x, check, width) & satisfies(x, kind))
-    return resolution(F.when(legal, hits).otherwise(F.array().cast("array<string>")))
+    """All fillings of at most MAX_UNKNOWNS unknowns that its check digit and its kind allow; more unknowns are Unresolvable.
+
+    What a missing character must add to the sum is the check digit less the known characters' sum; divided by its place's weight, modulo 10, that is
+    the last digit of its value, so its candidates come from a table and nothing is tried.
+    """
+    at = F.instr(field, UNKNOWN)
+    second = F.position(F.lit(UNKNOWN), field, at + 1)
+    table = F.array(*(F.array(*map(F.lit, group)) for group in _BY_RESIDUE))
+    weight = lambda i: F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(i - 1, F.lit(3)) + 1)
+    undo = lambda i: F.element_at(F.array(*(F.lit(_UNDO[w]) for w in WEIGHTS)), F.pmod(i - 1, F.lit(3)) + 1)
+    digit = F.when(check == "<", 0).when(check.rlike(r"\A[0-9]\z"), check.try_cast("int"))
+    known = F.translate(field, UNKNOWN, "0")
+    put = lambda x, c, i: F.overlay(x, c, i, F.lit(1))
+
+    def fillings(need: Column) -> Column:
+        one = F.transform(F.get(table, F.pmod(need * undo(at), F.lit(10))), lambda c: put(field, c, at))
+        rest = lambda c: F.get(table, F.pmod((need - weight(at) * char_value(c)) * undo(second), F.lit(10)))
+        two = F.flatten(F.transform(F.array(*map(F.lit, ALPHABET)), lambda c: F.transform(rest(c), lambda d: put(put(field, c, at), d, second))))
+        none = F.array().cast("array<string>")
+        return F.when(need.isNull(), none).when(at == 0, F.when(need == 0, F.array(field)).otherwise(none)).when(second == 0, one).when(_unknowns(field) == 2, two).otherwise(none)
+
+    return resolution(F.filter(let(F.pmod(digit - check_digit(known, width), F.lit(10)), fillings), lambda x: satisfies(x, kind)))
 
 
 def alternatives(ch: Column) -> Column:

@@ -563,10 +563,13 @@ def encrypt_round_trip(spark, sf_dir):
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)")
 def new_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    first = d.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.min("doc_id").alias("doc_id"))
-    again = d.join(first, "doc_id", "left_anti")
-    return files.new_rows(d, again, ["doc_id"]).select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return evaluate.first_of(d, F.sha2(F.col("text").cast("binary"), 256), "doc_id")
+
+
+@query("SELECT doc_id, text FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)")
+def unseen_texts(spark, sf_dir):
+    return files.new_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["text"]).select("doc_id", "text")
 
 
 @query(

@@ -16,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that lies in fewer pieces than there are cores is dealt out to all of them before work on its rows; others stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per order: (doc_id, num, surname, given, issuer, dob, exp, sex, personal, segment), dates as YYMMDD."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    o, c = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")), table(spark, sf_dir, "customer")
     y, rest = F.year("o_orderdate"), F.date_format("o_orderdate", "MMdd")
     yy = lambda n: F.lpad(((y + n) % 100).cast("string"), 2, "0")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
