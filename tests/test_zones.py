@@ -142,9 +142,121 @@ def test_stride(spark):
 
 def test_portrait_area():
     x, y, w, h = ocr_lines.free_area(400, 300, [(0, 0, 400, 10)])
-    assert y >= 7.5 and abs(w / h - 0.75) <= 0.75 * 0.35
+    assert y >= 7.5 and abs((w / 10) / (h / 7.5) - 0.75) <= 0.75 * 0.35  # measured in cells of the raster
+    assert ocr_lines.free_area(400, 300, [(0, 0, 400, 10), (0, 20, 400, 0)])[1] >= 22.5  # a box without height still uses its cells
+    assert ocr_lines.free_area(400, 300, [(0, 0, 200, 150)]) is None
+    assert ocr_lines.free_area(400, 300, [(0, 0, 200, 142), (20, 0, 180, 150)]) is None  # less than the least area is left
 
 
 def test_layout_table():
     for f in FORMATS.values():
         assert all(e <= f.width for _, _, e in (f.name_at, f.number, f.birth, f.expiry, *f.optional))
+
+
+# ---- sources and sinks on files
+
+
+def test_specimens_and_labels(spark, tmp_path):
+    from zonewright.sources import files
+
+    for folder, name in (("a/passports", "x1.JPG"), ("a/id_cards", "x2.png"), ("driving_licenses", "x3.webp"), ("other", "x4.tiff"), ("my_passports_old", "x5.gif"), ("passports", "notes.txt")):
+        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / folder / name).write_bytes(b"z")
+    (tmp_path / "labels").mkdir()
+    (tmp_path / "labels" / "x4.json").write_text('{"document_type": "id1",\n "surname": "A"}')
+    (tmp_path / "labels" / "x5.json").write_text('{"document_type": "P"}')
+    (tmp_path / "labels" / "x1.json").write_text('{"document_type": "P"')
+    found = files.images(spark, str(tmp_path / "in"))
+    assert [r.stem for r in found.collect()] == ["x2", "x1", "x3", "x5", "x4"]
+    labels = files.ground_truth(spark, str(tmp_path / "labels"))
+    assert sorted(r.stem for r in labels.collect()) == ["x4", "x5"]
+    got = {r.stem: r.specimen_class for r in files.specimens(found, labels).collect()}
+    assert got == {"x1": "passport", "x2": "id_card", "x3": "driving_license", "x4": "id_card", "x5": "passport"}
+    assert [r.stem for r in files.batch_inputs(spark, str(tmp_path / "in/a/passports"), "x?.JPG").collect()] == ["x1"]
+    with pytest.raises(FileNotFoundError):
+        files.batch_inputs(spark, str(tmp_path / "in/other"), "*.png")
+    gate = spark.createDataFrame([("a/b.HEIC",), ("c.heif",), ("d.pdf",), ("e",), ("f.Jpeg",)], "p string").select(files.unsupported_input(F.col("p")).alias("w"))
+    assert [r.w for r in gate.collect()] == ["heic", "heic", "not_an_image", "not_an_image", None]
+
+
+def test_history_and_reports(spark, tmp_path):
+    from zonewright.sources import files
+
+    (tmp_path / "h.jsonl").write_text('{"run_timestamp_unix": 5, "provider_id": "a", "mean_ms": 2.5}\n\n{broken\n{"run_timestamp_unix": 6}\n')
+    assert [(r.run_timestamp_unix, r.provider_id, r.mean_ms) for r in files.history(spark, str(tmp_path / "h.jsonl")).filter("run_timestamp_unix is not null").collect()] == [(5, "a", 2.5), (6, None, None)]
+    files.write_report(spark.createDataFrame([("a", None)], "provider string, rate double"), str(tmp_path / "report"))
+    (line,) = [x for p in (tmp_path / "report").glob("part-*") for x in p.read_text().splitlines()]
+    assert line == '{"provider":"a","rate":null}'
+
+
+# ---- damaged zones: one character lost or confused
+
+L1 = "P<UTOSPECIMEN<<TEST".ljust(44, "<")
+
+
+def with_digit(s):
+    return s + str(sum("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ<".index(c) % 36 * (7, 3, 1)[i % 3] for i, c in enumerate(s)) % 10)
+
+
+_PARTS = with_digit("AB123457<"), with_digit("800101"), with_digit("301230"), with_digit("<" * 14)
+L2 = f"{_PARTS[0]}UTO{_PARTS[1]}F{_PARTS[2]}{_PARTS[3]}" + with_digit("".join(_PARTS))[-1]
+
+
+def test_a_confused_digit_of_the_number_is_recovered():
+    layout, lines, damaged = scan.find(f"{L1}\n{L2}")
+    assert scan.score(lines, layout) == 5 and not damaged
+    layout, lines, damaged = scan.find(f"{L1}\nABI{L2[3:]}")
+    assert damaged and lines[1] == L2
+
+
+def test_what_the_damaged_search_finds_equals_all_readings_tried(spark):
+    """Every single exchange or insertion in either line, parsed by the native parser: the search answers if and only if all valid ones agree."""
+    for bad in (f"ABI{L2[3:]}", f"O{L2[1:]}", f"{L2[:21]}{L2[22:]}", f"{L2[:2]}{L2[3:]}", L2.replace("800101", "800701"), L2.replace("301230", "307230")):
+        text = f"{L1}\n{bad}"
+        found, exhausted = scan.damaged(scan.text_lines(text))
+        tried = {(a, b) for k, line in enumerate((L1, bad)) for x in scan.damaged_readings(line, TD3, k, len(line) < 44) for a in ((x,) if k == 0 else scan.readings(L1, TD3, 0)) for b in ((x,) if k == 1 else scan.readings(bad, TD3, 1))}
+        rows = spark.createDataFrame(sorted(tried), "a string, b string")
+        m = parse.parse([F.col("a"), F.col("b")], TD3)
+        good = rows.select(m.alias("m")).filter(parse.all_valid(F.col("m.checks"))).select("m.document_number", "m.date_of_birth", "m.date_of_expiry", "m.surname", "m.given_names", "m.nationality").distinct().collect()
+        real = [r for r in good if all(len(d) == 10 and 1 <= int(d[5:7]) <= 12 and 1 <= int(d[8:]) <= 31 for d in (r.date_of_birth, r.date_of_expiry))]
+        assert (found is not None) == (len(real) == 1) and not exhausted
+        if found:
+            assert (found[1][1][:9].rstrip("<"), found[0].name) == (real[0].document_number, "Td3")
+
+
+def test_the_budget_ends_the_damaged_search(spark):
+    rows = spark.createDataFrame([(1, f"{L1}\nABI{L2[3:]}")], "doc_id int, text string")
+    assert scan.scan(rows).first().exhausted is False and scan.scan(rows).first().repaired
+    assert scan.scan(rows, budget=5).first().exhausted is True
+
+
+def test_line_repairs(spark):
+    r = one(spark, ck.letterize(F.lit("0I2S")), ck.defiller(F.lit("AKKLKXKK<K")), ck.aggressive_defiller(F.lit("ABK<KL<<K")), ck.fix_doc_code(F.lit("PKUTO")), ck.fix_name_separator(F.lit("SMITHKKJOHN<<")), ck.longest_filler_run(F.lit("A<<B<<<C<")))
+    assert list(r)[:5] == ["OIZS", "A<<<<X<<<<", "AB<<<<<<<", "P<UTO", "SMITH<<JOHN<<"]
+    assert tuple(r[5]) == (4, 3)
+
+
+def test_two_unknowns_keep_the_truth(spark):
+    r = one(spark, solve.solve_field(F.lit("??123457<"), F.lit(L2[9]), solve.DOCUMENT_NUMBER, 9), solve.solve_field(F.lit("?01230"), F.lit(L2[27]), solve.OTHER), solve.solve_field(F.lit("?01230"), F.lit(L2[27]), solve.DATE), solve.solve_field(F.lit("3012?0"), F.lit("<")))
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ<"
+    digit = lambda s: sum(alphabet.index(c) % 36 * (7, 3, 1)[i % 3] for i, c in enumerate(s)) % 10
+    want = sorted(a + b + "123457<" for a in alphabet for b in alphabet if str(digit(a + b + "123457<")) == L2[9] and "<" not in a + b)
+    assert r[0].candidates == want and "AB123457<" in want
+    assert (r[1].kind, len(r[1].candidates), r[2].kind, r[2].candidates) == ("Ambiguous", 4, "Unique", ["301230"])
+    assert r[3].candidates == sorted(f"3012{c}0" for c in alphabet if digit(f"3012{c}0") == 0)
+
+
+def test_width_candidates(spark):
+    r = one(spark, solve.width_candidates(F.lit(L2[:8] + L2[9:]), 44), solve.width_candidates(F.lit(L2), 44))
+    assert L2[:8] + "?" + L2[9:] in r[0] and r[1] == [L2]
+
+
+def test_predicates(spark):
+    v = dates.validity(F.lit("1990-01-01"), F.lit("2030-01-01"), "2024-01-01")
+    r = one(spark, ck.is_blind(ck.blindspot(F.lit("A"), F.lit("K"))), dates.all_ok(v), solve.unique(solve.solve_field(F.lit("?01230"), F.lit(L2[27]), solve.DATE)), ck.blind_positions(F.lit("AB<\n1")), dates.from_epoch_days(F.lit(20000)), fuse.is_flagged(F.lit(None).cast(fuse.FINDINGS)))
+    assert list(r) == [True, True, "301230", 4, "2024-10-04", False]
+
+
+def test_text_kernels(spark):
+    r = one(spark, text.drop_non_latin_noise(F.lit("ok line\n漢字漢字a\nmore")), text.page_sanity(F.lit(" \n")), text.keyword_hits(F.lit("a Passport here"), {"p": ("PASSPORT",), "v": ("VISA",)}), text.noise_fraction(F.array(F.lit("??!!"), F.lit("words here"))))
+    assert list(r) == ["ok line\nmore", None, ["p"], 0.5]

@@ -194,6 +194,16 @@ def residue_class(a: Column) -> Column:
     return F.when(a.rlike(r"\A[A-Z0-9<]\z"), (char_value(a) % 10).cast("int"))
 
 
+def is_blind(spot: Column) -> Column:
+    """Of a blindspot()."""
+    return spot["kind"] == "blind"
+
+
+def sequence_blind(a: Column, b: Column) -> Column:
+    """Whether reading b in place of a, texts of one length, changes something that their check digit doesn't see."""
+    return (F.length(a) == F.length(b)) & (a != b) & F.coalesce(check_digit(a) == check_digit(b), F.lit(False))
+
+
 def collisions(a: Column) -> Column:
     """The other characters of the same residue, in alphabet order."""
     return F.filter(F.array(*map(F.lit, ALPHABET)), lambda x: (residue_class(x) == residue_class(a)) & (x != a))

@@ -1,4 +1,4 @@
-"""Country codes and names. The table is a parameter; default_rows() builds one from the JVM's ISO 3166 list."""
+"""Country codes and names. The table is a parameter; default_rows() builds one from the JVM's ISO 3166 list, NAMES, TERRITORIES and EXTRA."""
 
 from __future__ import annotations
 
@@ -17,6 +17,17 @@ EXTRA = (
     ("XPO", "International Criminal Police Organization (INTERPOL)"), ("XCE", "Council of Europe"), ("XES", "Organization of Eastern Caribbean States (OECS)"),
     ("XMP", "Parliamentary Assembly of the Mediterranean (PAM)"), ("XDC", "Southern African Development Community"), ("ANT", "Netherlands Antilles"), ("NTZ", "Neutral Zone"), ("IAO", "International Civil Aviation Organization"),
 )
+#: Names other than the JVM's.
+NAMES = {
+    "ATG": "Antigua and Barbuda", "BIH": "Bosnia and Herzegovina", "BRN": "Brunei Darussalam", "CIV": "Côte d'Ivoire", "COD": "Congo (Democratic Republic of the)", "COG": "Congo", "CPV": "Cabo Verde",
+    "FSM": "Micronesia (Federated States of)", "HKG": "Hong Kong", "KNA": "Saint Kitts and Nevis", "KOR": "Korea (Republic of)", "LAO": "Lao People's Democratic Republic", "LCA": "Saint Lucia", "MAC": "Macao",
+    "MMR": "Myanmar", "PRK": "Korea (Democratic People's Republic of)", "PSE": "Palestine", "RUS": "Russian Federation", "STP": "Sao Tome and Principe", "SXM": "Sint Maarten (Dutch part)", "SYR": "Syrian Arab Republic",
+    "TTO": "Trinidad and Tobago", "TUR": "Türkiye", "USA": "United States of America", "VAT": "Holy See (Vatican City State)", "VCT": "Saint Vincent and the Grenadines", "VNM": "Viet Nam",
+}
+#: ISO codes of territories that issue no documents under their own code, so that they count as unknown.
+TERRITORIES = (
+    "AIA ALA ASM ATA ATF BES BLM BVT CCK COK CXR FLK GGY GLP GUF GUM HMD IMN IOT JEY MAF MNP MSR MTQ MYT NCL NFK NIU PCN PRI PYF REU SGS SHN SJM SPM TCA TKL UMI VGB VIR WLF"
+).split()
 #: The countries that the catalogue's derived identities come from.
 POOL = (
     ("UTO", "Utopia (ICAO specimen)"), ("DEU", "Germany"), ("FRA", "France"), ("ITA", "Italy"), ("ESP", "Spain"), ("POL", "Poland"), ("HRV", "Croatia"), ("SRB", "Serbia"), ("NLD", "Netherlands"), ("SWE", "Sweden"),
@@ -27,10 +38,10 @@ MOST = 1000
 
 
 def default_rows(spark: SparkSession) -> tuple[tuple[str, str], ...]:
-    """(code, name) of ISO 3166 by the JVM's locale data, by code, then EXTRA."""
+    """(code, name) of ISO 3166 by the JVM's locale data, but for NAMES and TERRITORIES, by code, then EXTRA."""
     locale = spark._jvm.java.util.Locale
     names = [(x.getISO3Country(), x.getDisplayCountry(locale.ENGLISH)) for x in (locale("", c) for c in locale.getISOCountries())]
-    return (*sorted(names), *EXTRA)
+    return (*sorted((c, NAMES.get(c, n)) for c, n in names if c not in TERRITORIES), *EXTRA)
 
 
 def read_rows(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:

@@ -55,6 +55,11 @@ def validity(birth: Column, expiry: Column, today: str) -> Column:
     )
 
 
+def all_ok(v: Column) -> Column:
+    """Of a validity(): the dates exist, in order, and the document hasn't expired."""
+    return v["dates_well_formed"] & v["in_date"] & v["dob_before_expiry"]
+
+
 def normalize_date(c: Column) -> Column:
     """YYYYMMDD, Y-M-D or D.M.Y with - . or / to ISO, for years 1900 to 2999, months to 12 and days to 31; other texts only trimmed."""
     t = F.trim(c)

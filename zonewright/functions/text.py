@@ -32,7 +32,12 @@ def drop_non_latin_noise(c: Column) -> Column:
 
 
 def is_json_object(c: Column) -> Column:
-    return F.coalesce(trim(c).startswith("{") & F.expr("true") & F.try_parse_json(trim(c)).isNotNull(), F.lit(False))
+    return F.coalesce(trim(c).startswith("{") & F.try_parse_json(trim(c)).isNotNull(), F.lit(False))
+
+
+def needs_repair(c: Column) -> Column:
+    """Whether a model's output isn't one JSON object as it stands."""
+    return ~is_json_object(c)
 
 
 def repair_json_text(c: Column) -> Column:

@@ -93,10 +93,11 @@ def unsupported_assertions(reads: DataFrame, record: str = "read", text: str = "
     )
 
 
-def unsupported_detail(reads: DataFrame, key: str, record: str = "read", text: str = "text") -> DataFrame:
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(record)[f].alias("v")) for f in CORE_FIELDS))
-    bad = F.filter(fields, lambda x: (F.coalesce(x["v"], F.lit("")) != "") & ~supported(x["field"], x["v"], F.col(text)))
-    return reads.select(key, F.transform(bad, lambda x: x["field"]).alias("unsupported_fields"))
+def unsupported_fields(read: Column, text: Column) -> Column:
+    """Names of the fields whose value no text supports."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), read[f].alias("v")) for f in CORE_FIELDS))
+    bad = F.filter(fields, lambda x: (F.coalesce(x["v"], F.lit("")) != "") & ~supported(x["field"], x["v"], text))
+    return F.transform(bad, lambda x: x["field"])
 
 
 #: One over the greatest error, as a share of the rows, of the bounds between which an exact rank is looked for.

@@ -18,6 +18,9 @@ CHECKED = ("document_number", "date_of_birth", "date_of_expiry", "personal_numbe
 KINDS = {"P": "passport", "I": "id_card"}
 
 
+FINDINGS = "array<struct<kind: string, field: string, got: string, issuing_country: string, nationality: string, surname_len: int>>"
+
+
 def uniform(value: float) -> Column:
     return F.struct(*(F.lit(value).cast("float").alias(f) for f in CORE_FIELDS))
 
@@ -172,6 +175,18 @@ def promoted(record: Column, confidence: Column, m: Column) -> tuple[Column, Col
     return fields, trust
 
 
+def all_proven(m: Column) -> Column:
+    """Whether every field that a check digit covers is proven."""
+    out = F.lit(True)
+    for c in promotable(m).values():
+        out = out & F.coalesce(c, F.lit(False))
+    return out
+
+
+def is_flagged(findings: Column) -> Column:
+    return F.coalesce(F.size(findings) > 0, F.lit(False))
+
+
 def hint(m: Column) -> Column:
     """The proven fields as text for a model's prompt; null without any."""
     parts = [F.when(c, F.concat(F.lit(f"{f}="), m[f])) for f, c in promotable(m).items()]
@@ -183,21 +198,17 @@ def fused(df: DataFrame, countries: Countries, record: str = "record", mrz: str
     r, m = F.col(record), F.col(mrz)
     base = heuristic_confidence(r)
     findings = F.concat(line1_findings(m, countries), contradictions(r, m, countries))
-    df = df.withColumns({"findings": F.when(m.isNotNull(), findings), "_base": base}).withColumn("_down", downgraded(F.col("_base"), F.coalesce("findings", F.array().cast(_findings_type()))))
+    df = df.withColumns({"findings": F.when(m.isNotNull(), findings), "_base": base}).withColumn("_down", downgraded(F.col("_base"), F.coalesce("findings", F.array().cast(FINDINGS))))
     fields, trust = promoted(r, F.col("_down"), m)
     return df.withColumns({"fields": F.when(m.isNotNull(), fields).otherwise(F.struct(*(r[f].alias(f) for f in CORE_FIELDS))), "confidence": F.when(m.isNotNull(), trust).otherwise(F.col("_base"))}).drop("_base", "_down")
 
 
-def _findings_type() -> str:
-    return "array<struct<kind: string, field: string, got: string, issuing_country: string, nationality: string, surname_len: int>>"
-
-
 def mrz_record(df: DataFrame, countries: Countries, mrz: str = "mrz") -> DataFrame:
     """Zones as records: kind, fields, findings, confidence, missing fields."""
     m = F.col(mrz)
     fields = F.struct(*(m[f].alias(f) for f in CORE_FIELDS))
     df = df.withColumns({"fields": F.when(m.isNotNull(), fields), "findings": F.when(m.isNotNull(), line1_findings(m, countries)), "kind": document_kind(m["document_type"])})
-    return df.withColumns({"confidence": downgraded(mrz_confidence(), F.coalesce("findings", F.array().cast(_findings_type()))), "missing": missing(F.col("fields"))})
+    return df.withColumns({"confidence": downgraded(mrz_confidence(), F.coalesce("findings", F.array().cast(FINDINGS))), "missing": missing(F.col("fields"))})
 
 
 @dataclass(frozen=True)
@@ -240,6 +251,9 @@ class Catalog:
     def ids(self) -> list[str]:
         return [x[1] for x in self._readers]
 
+    def readers(self) -> list[tuple[str, object]]:
+        return [(x[1], x[3]) for x in self._readers]
+
     def find(self, budget: str, deterministic: bool | None = None):
         """The cheapest reader within a budget; None without one."""
         return next((x[3] for x in self._readers if x[0] <= COSTS.index(budget) and deterministic in (None, x[2])), None)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,9 @@ from ..schemas import ALPHABET
 
 #: Line lengths of zones, their tolerance, a glyph's width by height, and the least band score.
 LENGTHS, TOLERANCE, ASPECT, LEAST = (30, 36, 44), 6.0, 0.62, 0.15
-GRID, PORTRAIT_ASPECT, PORTRAIT_TOLERANCE = 20, 0.75, 0.35
+GRID, PORTRAIT_ASPECT, PORTRAIT_TOLERANCE, LEAST_AREA = 20, 0.75, 0.35, 0.03
+#: How many times the score of the page as it is a turned one must exceed.
+MARGIN = 1.2
 
 
 def line_score(text: Column, width: Column, height: Column) -> Column:
@@ -61,26 +65,57 @@ def guess_format(lines: Column) -> Column:
 
 
 def free_area(width: float, height: float, boxes: list[tuple[float, float, float, float]]) -> tuple[float, float, float, float] | None:
-    """The largest box of a portrait's shape in the upper left quarter that meets no text, on a GRID x GRID raster."""
-    cw, ch = width / 2 / GRID, height / 2 / GRID
-    if cw <= 0 or ch <= 0:
+    """The largest free rectangle of a portrait's shape, measured in cells, of a GRID x GRID raster over the upper left quarter; null below LEAST_AREA of the raster.
+
+    Each cell that a box touches is used. For a rectangle's top row, the free height below each column shrinks from left to right, so all rectangles that
+    start in a cell are walked with a running minimum of those heights. Of equal areas the topmost, then the leftmost, then the flattest wins.
+    """
+    cell = (width / 2 / GRID, height / 2 / GRID)
+    if min(cell) <= 0:
         return None
-    used = [[any(x < (c + 1) * cw and x + w > c * cw and y < (r + 1) * ch and y + h > r * ch for x, y, w, h in boxes) for c in range(GRID)] for r in range(GRID)]
-    sums = [[0] * (GRID + 1) for _ in range(GRID + 1)]
-    for r in range(GRID):
-        for c in range(GRID):
-            sums[r + 1][c + 1] = used[r][c] + sums[r][c + 1] + sums[r + 1][c] - sums[r][c]
+    free = np.ones((GRID, GRID), bool)
+    for x, y, w, h in boxes:
+        if x + w <= 0 or y + h <= 0 or x >= GRID * cell[0] or y >= GRID * cell[1]:
+            continue
+        (c0, c1), (r0, r1) = (
+            (first := int(max(low, 0) // size), max(first + 1, min(GRID, math.ceil(min(low + extent, GRID * size) / size)))) for low, extent, size in ((x, w, cell[0]), (y, h, cell[1]))
+        )
+        free[r0:r1, c0:c1] = False
+    below = np.zeros((GRID + 1, GRID), int)  # free cells from each cell down
+    for r in reversed(range(GRID)):
+        below[r] = np.where(free[r], below[r + 1] + 1, 0)
     best = None
     for r in range(GRID):
         for c in range(GRID):
-            for r2 in range(r + 1, GRID + 1):
-                for c2 in range(c + 1, GRID + 1):
-                    if sums[r2][c2] - sums[r][c2] - sums[r2][c] + sums[r][c]:
-                        break
-                    w, h = (c2 - c) * cw, (r2 - r) * ch
-                    if abs(w / h - PORTRAIT_ASPECT) <= PORTRAIT_ASPECT * PORTRAIT_TOLERANCE and (best is None or w * h > best[2] * best[3]):
-                        best = (c * cw, r * ch, w, h)
-    return best
+            tallest = np.minimum.accumulate(below[r, c:])
+            for w, most in enumerate(tallest[tallest > 0].tolist(), 1):
+                fitting = [h for h in range(1, most + 1) if abs(w / h - PORTRAIT_ASPECT) <= PORTRAIT_ASPECT * PORTRAIT_TOLERANCE]
+                if fitting:
+                    rank = (-w * fitting[-1], r, c, fitting[-1])
+                    best = min(best or (rank, w), (rank, w))
+    if best is None or -best[0][0] < GRID * GRID * LEAST_AREA:
+        return None
+    (_, r, c, h), w = best
+    return c * cell[0], r * cell[1], w * cell[0], h * cell[1]
+
+
+def orientation_score(lines: Column) -> Column:
+    """Of a page's text lines, each an array of word boxes: the mean over lines of the words' widths by their mean height; 0 without words."""
+    total = lambda ws, f: F.aggregate(ws, F.lit(0.0), lambda a, b: a + b[f])
+    one = lambda ws: F.when(total(ws, "h") > 0, total(ws, "w") / (total(ws, "h") / F.size(ws))).otherwise(0.0)
+    return F.when(F.size(lines) > 0, F.aggregate(F.transform(lines, one), F.lit(0.0), lambda a, x: a + x) / F.size(lines)).otherwise(0.0)
+
+
+def rotation(scores: dict[int, Column]) -> Column:
+    """The angle whose score is the best of those beyond MARGIN times that of 0 degrees (the first of equals), else 0. A null score takes no part."""
+    zero = F.coalesce(scores[0], F.lit(0.0))
+    turned = F.array(*(F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(a).alias("angle")) for i, (a, s) in enumerate(scores.items()) if a))
+    return F.coalesce(F.array_min(F.filter(turned, lambda x: -x["s"] > zero * MARGIN))["angle"], F.lit(0))
+
+
+def upside_down(upright: Column, flipped: Column) -> Column:
+    """Whether the page turned by 180 degrees has the clearly better zone band."""
+    return (flipped > upright * MARGIN) & (flipped > 0)
 
 
 def portraits(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.checksum import DIGIT_FROM, DIGIT_TO, LETTER_FROM, LETTER_TO, WEIGHTS, normalize_line
 from ..functions.dates import PIVOT
+from ..functions.normalize import trim
 from ..schemas import ALPHABET, FORMATS, MRV_A, MRV_B, TD1, TD2, TD3, Layout
-from .parse import parse_by_format
+from .parse import all_valid, parse_by_format
 from .solve import ALTERNATIVES
 
 #: Format order of the search, how far below a line the next may stand, and readings the damaged search may try in a text.
@@ -288,4 +289,22 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     return out.withColumn("error", F.when(F.col("zone_format").isNull(), missing).otherwise(F.col("error")))
 
 
+def zone_shaped_lines(text: Column) -> Column:
+    """The trimmed lines with at least 20 visible characters."""
+    lines = F.transform(F.split(text, r"\r?\n"), trim)
+    return F.array_join(F.filter(lines, lambda x: F.length(F.regexp_replace(x, r"(?U)\s", "")) >= 20), "\n")
+
+
+def with_retries(df: DataFrame, text: str = "text", retries: str = "retries", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Adds rescanned: the text with the zone-shaped lines of its retries (array<string>) appended, in order, up to the first that holds a valid zone by itself;
+    none if the text holds one. Each text and retry is scanned once; scan the result as usual."""
+    rows = df.select(F.struct(*keep).alias("k"), F.col(text).alias("t"), F.col(retries).alias("r")).withColumn("id", F.struct("k", F.xxhash64("t", "r")))
+    pieces = rows.select("id", F.posexplode(F.concat(F.array("t"), F.transform(F.coalesce("r", F.array().cast("array<string>")), zone_shaped_lines))).alias("n", "piece"))
+    done = scan(pieces.select(F.struct("id", "n").alias("at"), "piece"), "piece", ("at",)).groupBy("at.id").agg(F.min(F.when(all_valid(F.col("mrz.checks")), F.col("at.n"))).alias("first"))
+    both = rows.join(done, "id", "left")
+    last = F.when(F.col("first") == 0, 0).otherwise(F.coalesce("first", F.size("r")))
+    kept = F.filter(F.slice(F.transform("r", zone_shaped_lines), F.lit(1), F.greatest(last, F.lit(0))), lambda x: x != "")
+    return both.select("k.*", F.array_join(F.concat(F.array(F.coalesce("t", F.lit(""))), F.coalesce(kept, F.array().cast("array<string>"))), "\n").alias("rescanned"))
+
+
 __all__ = ["FORMATS", "damaged", "find", "may_hold_zone", "scan", "search"]

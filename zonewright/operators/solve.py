@@ -50,6 +50,11 @@ def resolution(hits: Column) -> Column:
     return let(F.array_sort(hits), lambda h: F.struct(kind(h).alias("kind"), h.alias("candidates")))
 
 
+def unique(r: Column) -> Column:
+    """Of a resolution: the only candidate, else null."""
+    return F.when(r["kind"] == "Unique", F.get(r["candidates"], F.lit(0)))
+
+
 #: The alphabet's characters by the last digit of their value; by a position's weight, the factor that undoes it modulo 10.
 _BY_RESIDUE = [[c for i, c in enumerate(ALPHABET) if i % 36 % 10 == r] for r in range(10)]
 _UNDO = {w: next(k for k in range(10) if w * k % 10 == 1) for w in WEIGHTS}

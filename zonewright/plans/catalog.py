@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import checksum as ck
 from ..functions import dates, names, normalize, text
-from ..functions.countries import POOL, Countries
-from ..operators import corpus, evaluate, fuse, jobs, ocr_lines, parse, scan, solve
+from ..functions.countries import EXTRA, NAMES, POOL, TERRITORIES, Countries, default_rows
+from ..operators import corpus, evaluate, fuse, jobs, ocr_lines, parse, providers, records, scan, solve
 from ..schemas import ALPHABET, CORE_FIELDS, FORMATS, TD1, TD3
 from ..sources import files
 from .derived import HOLDERS, cd, holders, iso, table, zone_of, zone_sql
@@ -106,7 +106,10 @@ def parse_errors(spark, sf_dir):
     return e.select("doc_id", "e.kind", F.coalesce("e.expected", F.lit(-1)).alias("expected"), F.coalesce("e.got", F.lit(-1)).alias("got"), "e.detail")
 
 
-@query()
+@query(
+    f"""WITH {HOLDERS} SELECT doc_id, doc_id % 3 = 0 AS document_number, true AS date_of_birth, doc_id % 2 = 0 AS date_of_expiry,
+  (2 + (doc_id % 3 = 0)::INTEGER + (doc_id % 2 = 0)::INTEGER + ((7 * (doc_id % 3) + doc_id % 2) % 10 = 0)::INTEGER)::INTEGER AS score FROM h"""
+)
 def damaged_checks(spark, sf_dir):
     z = holders(spark, sf_dir).select("doc_id", zone_of(TD3).alias("z"))
     l2 = F.col("z")[1]
@@ -196,9 +199,10 @@ def scan_merged_and_escaped(spark, sf_dir):
     return _scanned(z)
 
 
-@query()
+@query(_scan_sql("Td3").replace("given AS given_names", "CASE WHEN given IN ('NATION K', 'NATION L') THEN 'NATION' ELSE given END AS given_names"))
 def scan_filler_misreads(spark, sf_dir):
-    return _scanned(_zone_text(spark, sf_dir, TD3, lambda x: F.regexp_replace(x, "<<<<<+$", "KKKKKK")))
+    """The fillers behind the names read as K: a name's own K or L in front of them is lost among them."""
+    return _scanned(_zone_text(spark, sf_dir, TD3, lambda x: F.rpad(ck.rtrim_filler(x), 44, "K")))
 
 
 @query(_scan_sql("Td1"))
@@ -206,7 +210,7 @@ def scan_digit_misreads(spark, sf_dir):
     return _scanned(_zone_text(spark, sf_dir, TD1, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.translate(F.substring(x, 1, 7), "0158", "OISB"), F.substring(x, 8, 30))).otherwise(x)))
 
 
-@query()
+@query("SELECT doc_id, NULL::VARCHAR AS zone_format, false AS valid, 'NotFound' AS error FROM documents")
 def scan_documents(spark, sf_dir):
     """Plain prose: nothing valid should be found."""
     d = scan.scan(table(spark, sf_dir, "documents"))
@@ -274,7 +278,7 @@ def normalize_lines(spark, sf_dir):
     return h.select("doc_id", n.alias("line"), ck.digitize(n).alias("digits"))
 
 
-@query()
+@query(f"WITH {HOLDERS} SELECT doc_id, 2 AS n, true AS has_true_line FROM h")
 def line_variants(spark, sf_dir):
     h = holders(spark, sf_dir).select("doc_id", zone_of(TD3)[1].alias("line"))
     cut = F.concat(F.substring("line", 1, 35), F.substring("line", 38, 10))
@@ -457,7 +461,22 @@ def _reads(spark, sf_dir):
     return r.withColumns({"read": F.col("record"), "mrz_found": F.col("mrz").isNotNull(), "text": F.concat_ws("\n", F.coalesce(z, F.lit("")), F.lit("1970-01-01 machinery"))})
 
 
-@query()
+def _said_sql() -> str:
+    said = [
+        "('document_type', 'P')", "('issuing_country', issuer)", "('document_number', CASE WHEN doc_id % 3 = 0 THEN '??' ELSE num END)", "('surname', CASE WHEN doc_id % 4 = 0 THEN 'WRONG' ELSE surname END)", "('given_names', given)",
+        "('nationality', CASE WHEN doc_id % 5 = 0 THEN 'FRA' ELSE issuer END)", "('date_of_birth', CASE WHEN doc_id % 6 = 0 THEN '' ELSE '1970-01-01' END)", "('sex', sex)", "('date_of_expiry', '2030-01-01')",
+    ]
+    rows = " UNION ALL ".join(f"SELECT doc_id, x[1] AS field, x[2] AS v, txt FROM (SELECT doc_id, txt, [{s[1:-1]}] AS x FROM t)" for s in said)
+    return f"""WITH {HOLDERS}, {zone_sql(TD3)},
+t AS (SELECT *, CASE WHEN doc_id % 7 <> 0 THEN l1 || chr(10) || l2 ELSE '' END || chr(10) || '1970-01-01 machinery' AS txt FROM z),
+s AS (SELECT doc_id, field, contains(lower(txt), lower(v)) OR (field LIKE 'date%' AND contains(lower(txt), substr(v, 3, 2) || substr(v, 6, 2) || substr(v, 9, 2))) AS ok FROM ({rows}) WHERE v <> ''),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT ok) AS bad FROM s GROUP BY doc_id),
+p AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS provider, CASE WHEN doc_id % 7 <> 0 THEN 'anchored' ELSE 'unanchored' END AS bucket, n, bad FROM g)
+SELECT provider, bucket, count(*) AS documents, sum(n)::BIGINT AS assertions, sum(bad)::BIGINT AS unsupported, sum(bad) / sum(n) AS unsupported_rate
+FROM (SELECT * FROM p UNION ALL SELECT provider, 'all', n, bad FROM p) GROUP BY provider, bucket"""
+
+
+@query(_said_sql())
 def unsupported_assertions(spark, sf_dir):
     return evaluate.unsupported_assertions(_reads(spark, sf_dir))
 
@@ -549,10 +568,33 @@ def json_repair(spark, sf_dir):
     return e.select("event_id", fixed.alias("repaired"), F.from_json(fixed, "type string, id long")["type"].alias("type"))
 
 
-@query("SELECT doc_id, sha256(text) AS input_sha256, lang AS document_type, true AS valid FROM documents")
+@query("SELECT sha256(text) AS input_sha256, lang AS document_type, true AS checksums_valid, 'mrz-deterministic' AS extraction_method, 7::BIGINT AS timestamp_unix FROM documents")
 def audit_rows(spark, sf_dir):
+    """The audit log, appended to and read back."""
     d = table(spark, sf_dir, "documents").withColumns({"method": F.lit("mrz-deterministic"), "valid": F.lit(True)})
-    return d.select("doc_id", text.sha256_hex(F.col("text")).alias("input_sha256"), F.col("lang").alias("document_type"), "valid")
+    path = files.shared_path(spark, "audit")
+    rows = files.audit(d, "text", "method", "valid", "lang", 7)
+    files.append_audit(rows, path)
+    return spark.read.schema(rows.schema).json(path).select("input_sha256", "document_type", "checksums_valid", "extraction_method", "timestamp_unix")
+
+
+@query("SELECT event_type AS provider_id, max(event_id) AS run_timestamp_unix, count(*) AS documents, NULL::DOUBLE AS mean_ms FROM events GROUP BY event_type")
+def history_round_trip(spark, sf_dir):
+    """Runs' reports flattened to history rows, appended, and read back."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("provider_id")).agg(F.max("event_id").alias("run_timestamp_unix"), F.count("*").alias("documents"))
+    path = files.shared_path(spark, "history")
+    files.append_history(files.history_rows(e), path)
+    return files.history(spark, path).select("provider_id", "run_timestamp_unix", "documents", "mean_ms")
+
+
+@query("SELECT c_custkey, '{\"c_custkey\":' || c_custkey || ',\"name\":\"' || c_name || '\"' || '}' AS json FROM customer")
+def record_files(spark, sf_dir):
+    """Records as JSON, sealed, written, read back and opened."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.struct("c_custkey", F.col("c_name").alias("name"), F.lit(None).cast("string").alias("none")).alias("r"))
+    key, path = F.lit(bytes(range(32))), files.shared_path(spark, "records")
+    files.write_records(files.records_as_json(c, "c_custkey", "r"), path, key=key)
+    opened = spark.read.text(path).select(text.decrypt(F.unbase64("value"), key).cast("string").alias("json"))
+    return opened.select(F.get_json_object("json", "$.c_custkey").cast("long").alias("c_custkey"), "json")
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -586,6 +628,134 @@ def batch_summary(spark, sf_dir):
     return jobs.summary(table(spark, sf_dir, "orders").select(F.nullif((F.col("o_orderkey") % 3).cast("int"), F.lit(0)).alias("tier")))
 
 
+# ---- records, readers, model output ------------------------------------------------------------------
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_type, event_id % 4 AS k FROM events)
+SELECT event_id, CASE WHEN k < 2 THEN event_type END AS surname, CASE WHEN k < 2 THEN 'llm' END AS extraction_method, CASE k WHEN 2 THEN 'model output was valid JSON but not an object' WHEN 3 THEN 'invalid JSON after repair' END AS error,
+  k > 0 AS repaired FROM e"""
+)
+def model_records(spark, sf_dir):
+    """A model's outputs: clean, repairable, an array, and broken."""
+    k, body = F.col("event_id") % 4, F.concat(F.lit('{"surname":"'), "event_type", F.lit('","extraction_method":"x"'))
+    raw = F.when(k == 0, F.concat(body, F.lit("}"))).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit(",}\n```"))).when(k == 2, F.lit(" [1, 2] ")).otherwise(F.concat(body, F.lit(' "oops"}')))
+    return table(spark, sf_dir, "events").select("event_id", records.parsed(raw).alias("p")).select("event_id", "p.record.surname", "p.record.extraction_method", "p.error", "p.repaired")
+
+
+@query("SELECT event_type, count(*) AS documents, count(*) FILTER (event_id % 3 = 0) AS repair_fallbacks FROM events GROUP BY event_type")
+def repair_counter(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("raw", F.when(F.col("event_id") % 3 == 0, '```\n{"a":1}\n```').otherwise('{"a":1}'))
+    return records.repairs(e, "raw", ("event_type",))
+
+
+@query(
+    f"""WITH {HOLDERS}, {zone_sql(TD3)}, k AS (SELECT *, (['mrz-deterministic', 'mrz-wasm-client', 'llm'])[(doc_id % 3 + 1)::INTEGER] AS method FROM z)
+SELECT doc_id, 'passport' AS kind, CASE WHEN doc_id % 4 > 0 THEN 'td3' END AS mrz_format, (['mrz_checksum', 'wasm_client', 'llm'])[(doc_id % 3 + 1)::INTEGER] AS provenance, CASE WHEN doc_id % 3 = 2 THEN 'unknown' END AS model,
+  (CASE doc_id % 3 WHEN 2 THEN 0.65 ELSE 1.0 END)::FLOAT AS number_confidence, (CASE doc_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 1.0 ELSE 0.65 END)::FLOAT AS surname_confidence,
+  CASE WHEN doc_id % 4 > 0 THEN doc_id % 5 = 0 END AS composite, num AS document_number, method AS extraction_method FROM k"""
+)
+def lifted_records(spark, sf_dir):
+    """Flat records in the nested shape, and the fields back."""
+    k = F.col("doc_id")
+    h = holders(spark, sf_dir).select("doc_id", "num", "surname", "issuer", zone_of(TD3).alias("z"))
+    said = {"document_type": F.lit("P"), "document_number": F.col("num"), "surname": F.col("surname"), "issuing_country": F.col("issuer"), "mrz_line": F.when(k % 4 > 0, F.array_join("z", "\n"))}
+    said |= {"mrz_checksums_valid": k % 5 == 0, "extraction_method": F.element_at(F.array(*map(F.lit, (records.BY_ZONE, records.BY_CLIENT, records.BY_MODEL))), (k % 3 + 1).cast("int"))}
+    v1 = F.from_json(F.to_json(F.struct(*(c.alias(f) for f, c in said.items()))), f"struct<{records.FLAT}>")
+    v = h.select("doc_id", _kept(records.lifted(v1)).alias("v"))
+    back = records.flat_from_nested(F.col("v"), F.lit(None).cast("boolean"))
+    return v.select(
+        "doc_id", "v.document.kind", "v.document.mrz_format", F.col("v.provenance.kind").alias("provenance"), "v.provenance.model", F.col("v.confidence.document_number").alias("number_confidence"),
+        F.col("v.confidence.surname").alias("surname_confidence"), "v.mrz.checks.composite", back["document_number"].alias("document_number"), "v.extraction_method",
+    )
+
+
+@query(
+    f"""WITH {HOLDERS}, {zone_sql(TD3)}, k AS (SELECT *, doc_id % 5 = 0 AS gone, doc_id % 3 = 0 AND doc_id % 5 > 0 AS bad FROM z)
+SELECT doc_id, NOT gone AS mrz_found, NOT gone AND NOT bad AS valid, CASE WHEN bad THEN 'date_of_expiry,composite' ELSE '' END AS failed, CASE WHEN NOT gone THEN 'td3' END AS mrz_format, CASE WHEN NOT gone THEN 88 END AS blind_positions,
+  (CASE WHEN gone THEN 1 ELSE 2 END)::INTEGER AS text_lines, (CASE WHEN gone OR bad THEN 10 ELSE 0 END)::INTEGER AS n_missing, CASE WHEN NOT gone AND NOT bad THEN surname END AS surname, CASE WHEN NOT gone AND NOT bad THEN 'passport' END AS kind,
+  CASE WHEN NOT gone AND NOT bad THEN 'Utopia' IN (issuer) END AS never FROM k"""
+)
+def zone_reader(spark, sf_dir):
+    """The zone reader: valid zones, zones with a wrong digit, and texts without any."""
+    k = F.col("doc_id")
+    h = holders(spark, sf_dir).select("doc_id", zone_of(TD3).alias("z"))
+    wrong = F.concat(F.substring(F.col("z")[1], 1, 27), ((F.substring(F.col("z")[1], 28, 1).cast("int") + 1) % 10).cast("string"), F.substring(F.col("z")[1], 29, 44))
+    h = h.select("doc_id", F.when(k % 5 == 0, "no zone").otherwise(F.concat_ws("\n", F.col("z")[0], F.when(k % 3 == 0, wrong).otherwise(F.col("z")[1]))).alias("text"), (k % 5 == 0).alias("gone"), F.array(F.col("z")[0], F.when(k % 3 == 0, wrong).otherwise(F.col("z")[1])).alias("lines"))
+    h = h.select("doc_id", "text", _kept(F.when(~F.col("gone"), parse.parse([F.col("lines")[0], F.col("lines")[1]], TD3))).alias("mrz"))
+    e = records.read_zone(h, _COUNTRIES, "2024-01-01").select("doc_id", _kept(F.col("evidence")).alias("e"), "record")
+    return e.select(
+        "doc_id", "e.mrz_found", F.col("e.mrz_checksums_valid").alias("valid"), F.array_join("e.mrz_failed", ",").alias("failed"), "e.mrz_format", F.col("e.blind_positions"), "e.text_lines", F.size("e.missing").alias("n_missing"),
+        "record.fields.surname", "record.document.kind", F.when(F.col("record").isNotNull(), F.lit(False)).alias("never"),
+    )
+
+
+@query(
+    f"""WITH {HOLDERS}, r AS (SELECT doc_id, unnest(['a', 'b']) AS provider, surname FROM h), q AS (SELECT *, provider = 'b' AND doc_id % 4 = 0 AS none, provider = 'b' AND doc_id % 3 = 0 AS bad, doc_id % 100 + CASE provider WHEN 'a' THEN 1 ELSE 500 END AS ms FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY provider) AS n FROM q)
+SELECT provider, count(*) AS documents, count(*) FILTER (NOT none) AS read_ok, count(*) FILTER (doc_id % 2 = 0) AS labelled_documents, count(*) FILTER (doc_id % 2 = 0) AS compared,
+  round(count(*) FILTER (doc_id % 2 = 0 AND NOT none AND NOT bad) / count(*) FILTER (doc_id % 2 = 0), 9) AS field_match_rate, round(count(*) FILTER (NOT none AND bad) / count(*) FILTER (NOT none), 9) AS unsupported_rate,
+  max(ms)::DOUBLE FILTER (i = floor((n - 1) * 0.95 + 0.5)) AS p95_ms FROM n GROUP BY provider""".replace("max(ms)::DOUBLE FILTER (i = floor((n - 1) * 0.95 + 0.5))", "(max(ms) FILTER (i = floor((n - 1) * 0.95 + 0.5)))::DOUBLE")
+)
+def provider_report(spark, sf_dir):
+    """Two readers on all documents: one reads all, the other some, and some of those wrongly."""
+    k = F.col("doc_id")
+    record = lambda v: F.struct(*((v if f == "surname" else F.lit(None)).cast("string").alias(f) for f in CORE_FIELDS))
+    d = holders(spark, sf_dir).select("doc_id", "surname", F.when(k % 2 == 0, record(F.col("surname"))).alias("truth"), F.col("surname").alias("text"), (k % 7 > 0).alias("mrz_found"))
+    c = fuse.Catalog().register("a", "free", lambda x: x.withColumns({"read": record(F.col("surname")), "ms": k % 100 + 1}), deterministic=True)
+    c.register("b", "expensive", lambda x: x.withColumns({"read": F.when(k % 4 > 0, record(F.when(k % 3 == 0, "NOBODY").otherwise(F.col("surname")))), "ms": k % 100 + 500}))
+    r = providers.report(providers.reads(d, c))
+    return r.select("provider", "documents", "read_ok", "labelled_documents", "compared", F.round("field_match_rate", 9).alias("field_match_rate"), F.round("all_unsupported_rate", 9).alias("unsupported_rate"), "p95_ms")
+
+
+@query("SELECT o_orderpriority AS specimen_class, count(*) AS documents FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def largest_classes(spark, sf_dir):
+    return providers.by_class(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "specimen_class"), 3)
+
+
+@query(f"WITH {HOLDERS} SELECT doc_id, {cd('num')} AS digit, -1 AS wrong, true AS valid FROM h")
+def sql_functions(spark, sf_dir):
+    """The kernels as SQL functions."""
+    providers.register(spark)
+    holders(spark, sf_dir).select("doc_id", "num", F.array_join(zone_of(TD3), "\n").alias("zone")).createOrReplaceTempView("zonewright_holders")
+    return spark.sql("SELECT doc_id, icao_check_digit(num) AS digit, icao_check_digit(lower(zone)) AS wrong, parse_mrz_text(zone).valid AS valid FROM zonewright_holders")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({c!r}, " + ("NULL" if n is None else "'" + n.replace("'", "''") + "'") + ")" for c, n in [*NAMES.items(), *EXTRA, *((t, None) for t in TERRITORIES), ("FRA", "France"), ("ABW", "Aruba"), ("fra", None)]) + ") t(code, name)")
+def country_names(spark, sf_dir):
+    codes = spark.createDataFrame([(c,) for c in (*NAMES, *(c for c, _ in EXTRA), *TERRITORIES, "FRA", "ABW", "fra")], "code string")
+    return codes.select("code", Countries(default_rows(spark)).name(F.col("code")).alias("name"))
+
+
+@query(
+    f"""WITH {HOLDERS}, p AS (SELECT doc_id, num AS a, substr(num, 1, 8) || chr((65 + doc_id % 26)::INTEGER) AS b FROM h)
+SELECT doc_id, {cd('a')} = {cd('b')} AND a <> b AS blind FROM p"""
+)
+def blind_pairs(spark, sf_dir):
+    h = holders(spark, sf_dir)
+    return h.select("doc_id", ck.sequence_blind(F.col("num"), F.concat(F.substring("num", 1, 8), F.chr(F.col("doc_id") % 26 + 65))).alias("blind"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey AS page_id, (o_orderkey % 5)::DOUBLE AS z, (o_orderkey % 7)::DOUBLE AS a, (o_orderkey % 9)::DOUBLE AS b, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 8)::DOUBLE END AS c FROM orders),
+m AS (SELECT *, greatest(a, b, coalesce(c, -1)) AS top FROM s)
+SELECT page_id, (CASE WHEN top <= z * 1.2 THEN 0 WHEN a = top THEN 90 WHEN b = top THEN 180 ELSE 270 END)::INTEGER AS angle, b > z * 1.2 AND b > 0 AS flip FROM m"""
+)
+def page_rotation(spark, sf_dir):
+    n = lambda m: (F.col("o_orderkey") % m).cast("double")
+    scores = {0: n(5), 90: n(7), 180: n(9), 270: F.when(F.col("o_orderkey") % 4 > 0, n(8))}
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), ocr_lines.rotation(scores).alias("angle"), ocr_lines.upside_down(n(5), n(9)).alias("flip"))
+
+
+@query(_scan_sql("Td3"))
+def retried_texts(spark, sf_dir):
+    """A text whose zone only its second retry holds, behind one with a broken zone."""
+    h = holders(spark, sf_dir).select("doc_id", zone_of(TD3).alias("z"))
+    broken = F.concat(F.col("z")[0], F.lit("\n"), F.translate(F.col("z")[1], "0123456789", "1111111111"))
+    h = h.select("doc_id", F.lit("A page.").alias("text"), F.array(broken, F.concat(F.lit("x\n"), F.array_join("z", "\n")), F.lit("not needed, as the one before is valid")).alias("retries"))
+    return _scanned(scan.with_retries(h).withColumnRenamed("rescanned", "text"))
+
+
 # ---- corpus, pages, streams ------------------------------------------------------------------------------
 
 
