@@ -249,7 +249,7 @@ def test_trees_learn(spark):
     df = urlfilter.lexical(spark.createDataFrame(rows, "i long, url string").withColumns({"host": urlfilter.host_of(F.col("url")), "path": urlfilter.path_of(F.col("url"))}), "url")
     labelled = df.withColumns({"y": (F.col("i") % 2).cast("int"), "_url": F.col("url")})
     model = urlfilter.train(labelled.filter("i < 200"))
-    held = labelled.filter("i >= 200").withColumns({f"suffix{k}": model.suffix(k) for k in (1, 2)}).withColumn("p", model.score())
+    held = model.with_suffixes(labelled.filter("i >= 200")).withColumn("p", model.score())
     assert held.filter((F.col("p") >= 0.5) == (F.col("y") == 1)).count() >= 195
 
 
@@ -576,3 +576,144 @@ def test_language_prediction_against_plain_sums(spark):
             assert r.score == pytest.approx(p.max(), abs=1e-6) and r.lang_pred == model.languages[int(p.argmax())]
         else:
             assert r.lang_pred == "und"
+
+
+# ---- transport streams that others write, and damaged ones
+
+
+def packet(pid, payload, start, count, adaptation=None):
+    head = bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x30 if adaptation is not None else 0x10) | count & 15])
+    body = (bytes([len(adaptation)]) + adaptation if adaptation is not None else b"") + payload
+    assert len(body) == 184
+    return head + body
+
+
+def test_tables_over_several_packets_with_adaptation_fields():
+    ts = transport_stream
+    streams = b"".join(bytes([6]) + (0xE000 | 0x200 + k).to_bytes(2, "big") + b"\xf0\x00" for k in range(60))
+    body = b"\x02" + (0xB000 | 9 + 4 + len(streams)).to_bytes(2, "big") + b"\x00\x01\xc1\x00\x00" + b"\xe2\x00\xf0\x00" + streams
+    section = b"\x00" + body + ts.crc32_mpeg(body).to_bytes(4, "big")
+    data, at, count = ts._PAT, 0, 0
+    while at < len(section):
+        room = 184 - 4
+        part = section[at : at + room]
+        at += len(part)
+        data += packet(0x1000, part + b"\xff" * (room - len(part)), count == 0, count, b"\x00\xff\xff")
+        count += 1
+    s = ts.demux(data)
+    assert count > 1 and sorted(s.streams) == list(range(0x200, 0x200 + 60)) and (s.crc_errors, s.continuity_errors) == (0, 0)
+    assert ts.demux(data[:-188]).crc_errors == 1
+    broken = bytearray(data)
+    broken[2 * 188 + 50] ^= 1
+    assert ts.demux(bytes(broken)).crc_errors == 1 and not ts.demux(bytes(broken)).streams
+
+
+def test_damaged_streams_never_raise():
+    rng = random.Random(7)
+    whole = transport_stream.mux(transport_stream.padded(rng.randbytes(30_000)))
+    head = whole[: 2 * 188]
+    for pes in (b"\x00\x00\x01\xbd\x00\x03\x84\x80", b"\x00\x00\x01\xbd\x00", b"\x00\x00\x01\xbd\x00\x03\x84\x80\x05", b"\x00\x00\x02", b""):
+        pad = 184 - len(pes)
+        s = transport_stream.demux(head + packet(0x100, pes, True, 0, b"\x00" + b"\xff" * (pad - 2)))
+        assert s.pes_errors == 1 or not pes
+    for _ in range(60):
+        data = bytearray(whole)
+        for _ in range(rng.randrange(1, 200)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        transport_stream.demux(bytes(data[: rng.randrange(len(data))]))
+
+
+# ---- chat: records of mixed layouts, and broken ones
+
+
+def test_turns_come_back_from_records_of_three_layouts(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(20), rng.randrange(9), rng.choice(["user", "assistant", "human", "system", "", None]), rng.choice([None, "", 'a "q" \\ b', "é\U0001f600", "x" * 100])) for _ in range(300)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.as_records(table)
+    layouts = {r.layout for r in chat.canonical_turns(records, ("conv_id", "turn"), "record").collect()}
+    assert layouts == {"messages", "conversations", "turn-rows"}
+    got = sorted(tuple(r) for r in chat.table_of(records).collect())
+    assert got == sorted((c, t, r or "", x or "") for c, t, r, x in rows)
+
+
+def test_no_record_breaks_the_job(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    bad = [
+        '{"messages": [{"role": "user", "content": "a"}, null]}', '{"messages": [{"role": "user", "content": "a"}, "b"]}', '{"messages[].role": "x", "messages[].content": "y"}', deep, '{"a":' * 5000 + "1" + "}" * 5000,
+        "{", "", None, "[]", "7", '{"messages": []}', '{"messages": null}', '{"messages.role": 1}',
+    ]
+    rows = [*enumerate(bad), (100, '{"prompt": "a\\ud800b", "response": null}'), (101, '{"messages": [{"role": "user", "content": 7}], "other": {"x": [null]}}')]
+    got = {r.i: (r.layout, [tuple(t) for t in r.turns]) for r in chat.canonical_turns(spark.createDataFrame(rows, "i long, record string"), ("i",), "record").collect()}
+    assert all(got[i] == (None, []) for i in range(len(bad)))
+    assert got[100] == ("prompt-response", [("user", "a�b"), ("assistant", "")])
+    assert got[101] == ("messages", [("user", "7")])
+
+
+def test_top_k_with_tiles_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(2500)], "vec_id long, embedding array<double>")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(topk.top_k(table)) == key(topk.top_k(table, query_block=7, shard=90))
+
+
+# ---- URLs: trees against a plain computation, quality on urls that no rule fits, repeated rows
+
+
+def url_rows(spark, rows):
+    df = spark.createDataFrame(rows, "i long, url string, y int").withColumns({"host": urlfilter.host_of(F.col("url")), "path": urlfilter.path_of(F.col("url")), "_url": F.col("url")})
+    return urlfilter.lexical(df, "url")
+
+
+def test_features_and_trees_against_plain_ones(spark):
+    rng = random.Random(11)
+    rows = [(i, f"http://h{rng.randrange(30)}.{rng.choice(['aa', 'bb.cc', 'dd'])}/{'/'.join(rng.choice(['x9', 'abc', '77', 'q-r']) for _ in range(rng.randrange(6)))}?{'&'.join('k=1' for _ in range(rng.randrange(4)))}") for i in range(500)]
+    rows = [(i, u, int(("77" in u) != (".dd" in u))) for i, u in enumerate(sorted({u for _, u in rows}))]  # repeated urls count once
+    df = url_rows(spark, rows)
+    model = urlfilter.train(df)
+    found = {r.i: r for r in model.with_suffixes(df).withColumn("p", model.score()).collect()}
+    blocked = sum(y for *_, y in rows)
+
+    def walk(t, x):
+        while not isinstance(t, float):
+            t = t[3] if x[t[0]] > t[1] else t[2]
+        return t
+
+    for i, u, y in rows:
+        r = found[i]
+        host, rest = u.split("://")[1].split("/", 1)
+        n, query = len(u), u.partition("?")[2]
+        want = {"length": n, "depth": ("/" + rest.partition("?")[0]).count("/"), "digits": sum(c.isdigit() for c in u) / n, "parameters": query.count("&") + 1 if query else 0, "labels": host.count(".") + 1, "hyphens": host.count("-")}
+        want["entropy"] = round(-sum(u.count(c) / n * np.log2(u.count(c) / n) for c in set(u)), 6)
+        for k in (1, 2):
+            same = [z for j, _, z in rows if found[j][f"tail{k}"] == r[f"tail{k}"]]
+            want[f"suffix{k}"] = (sum(same) + 10 * blocked / len(rows)) / (len(same) + 10)
+        for f, v in want.items():
+            assert r[f] == pytest.approx(v, abs=1e-5), f
+        total = np.log(model.prior / (1 - model.prior)) + sum(walk(t, {f: r[f] for f in urlfilter.FEATURES}) for t in model.trees)
+        assert r.p == pytest.approx(1 / (1 + np.exp(-total)))
+    assert sum((found[i].p >= 0.5) == (y == 1) for i, _, y in rows) >= 0.85 * len(rows)
+    # the first split of the first tree is the best of all bins, by the gain of the logistic loss
+    feature, at, *_ = model.trees[0]
+    g = np.array([model.prior - y for *_, y in rows])
+    h = model.prior * (1 - model.prior)
+    gain = lambda right: sum(g[m].sum() ** 2 / (h * m.sum() + urlfilter.SHRINK) for m in (right, ~right))
+    own = gain(np.array([found[i][feature] > at for i, *_ in rows]))
+    marks = [k / urlfilter.BINS for k in range(1, urlfilter.BINS)]
+    cuts = model.with_suffixes(df).agg(*(F.percentile_approx(f, marks, 10_000).alias(f) for f in urlfilter.FEATURES)).first()
+    for f in urlfilter.FEATURES:
+        values = np.array([found[i][f] for i, *_ in rows])
+        for cut in cuts[f]:
+            right = values > cut
+            assert not urlfilter.LEAST <= h * right.sum() <= h * len(rows) - urlfilter.LEAST or gain(right) <= own + 1e-6
+
+
+def test_rules_judge_whole_hosts_and_repeated_urls(spark):
+    urls = [f"http://s{i % 40}.{('net' if i % 2 else 'com')}/{'es' if i % 4 == 1 else 'xx'}/{'9' * (i % 5)}p{i}" for i in range(400)] + ["http://hot.net/fr/1"] * 800 + ["http://a.com/" + "y" * 200_000]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host, path = re.match(r"http://([^/]*)(.*)", u).groups()
+        rule = next((r for r in sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2])) if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])), None)
+        assert got[i].rule == (rule and rule[1] + rule[2]) and (not rule or got[i].verdict == rule[0])
+    assert len({(got[i].verdict, got[i].score) for i in range(400, 1200)}) == 1

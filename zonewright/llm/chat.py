@@ -1,8 +1,9 @@
 r"""Chat formatting: schema fingerprints choose declarative mappings from heterogeneous layouts to canonical turns.
 
 A record's nested field paths (arrays as `[]`) that some mapping knows are sorted and hashed; the hash selects the mapping. A mapping is
-plain data: which paths it needs, which it may have, and where its turns come from. `canonical_turns` applies this to JSON records of
-any mix of layouts, one per row; `schema_fingerprint` does the same once for a table whose rows are turns.
+plain data: which paths it needs, which it may have, where its turns come from, and what its roles are called. `canonical_turns` applies this to JSON
+records of any mix of layouts, one per row; `turn_rows` does the same once for a table whose rows are turns. `as_records` writes turns as
+records of three layouts, as a corpus from several origins holds them.
 
 `format_turns` writes each conversation as a string: a turn is `<turn>`, its role, a newline, its text, `</turn>` and a newline. Backslashes
 and the two marks inside roles and texts are preceded by a backslash, as are newlines inside roles, so any text comes back as it was.
@@ -12,7 +13,8 @@ Conversations are dealt by id and sorted by turn; a conversation streams through
 conversation is held in memory as a whole. Digests of a sequence are sequential by nature, so one conversation stays in one task.
 
 Defined results: null text or role: empty; null turn: before all others; equal turns: by role, then text; null conv_id: one conversation; an empty
-table: no conversations. Other columns are ignored.
+table: no conversations. Other columns are ignored. JSON that is broken, nested beyond reading, not an object, of no known layout, or with something else
+than records among its turns, gives a null layout and no turns; a lone surrogate becomes U+FFFD. A text of any length is one string in its task.
 """
 
 from __future__ import annotations
@@ -32,26 +34,32 @@ PART = 1 << 20
 
 # ---- fingerprints and mappings ------------------------------------------------------------------------
 
-#: turns: "row" (the record is a turn of a table), "list" (a list of turns at `at`), "fields" (a fixed sequence of (role, path)).
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
+#: turns: "row" (the record is a turn of a table), "list" (a list of turns at `at`), "fields" (a fixed sequence of (role, path)); roles: other names of roles.
 MAPPINGS = (
     {"name": "turn-rows", "need": ["conv_id", "turn", "role", "text"], "may": [], "turns": "row", "role": "role", "text": "text"},
     {"name": "messages", "need": ["messages[].role", "messages[].content"], "may": ["messages[].name"], "turns": "list", "at": "messages", "role": "role", "text": "content"},
-    {"name": "conversations", "need": ["conversations[].from", "conversations[].value"], "may": ["id", "system"], "turns": "list", "at": "conversations", "role": "from", "text": "value", "first": [("system", "system")]},
+    {"name": "conversations", "need": ["conversations[].from", "conversations[].value"], "may": ["id", "system"], "turns": "list", "at": "conversations", "role": "from", "text": "value", "first": [("system", "system")], "roles": ROLES},
     {"name": "instruction", "need": ["instruction", "output"], "may": ["input", "system"], "turns": "fields", "fields": [("system", "system"), ("user", "instruction", "input"), ("assistant", "output")]},
     {"name": "prompt-response", "need": ["prompt", "response"], "may": ["system"], "turns": "fields", "fields": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
     {"name": "prompt-completion", "need": ["prompt", "completion"], "may": [], "turns": "fields", "fields": [("user", "prompt"), ("assistant", "completion")]},
     {"name": "question-answer", "need": ["question", "answer"], "may": ["context"], "turns": "fields", "fields": [("user", "context", "question"), ("assistant", "answer")]},
 )
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
+_MARKS = re.compile(r"[\\.\[\]]")
 
 
-def paths_of(value, at: str = "") -> set[str]:
-    """The paths of a JSON value's leaves; an array's elements count together; nulls are leaves."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in paths_of(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in paths_of(v, f"{at}[]")} or {f"{at}[]"}
-    return {at}
+def paths_of(value) -> set[str]:
+    """The paths of a JSON value's leaves; an array's elements count together; nulls are leaves. Dots and brackets of a key are escaped, so that it is no path."""
+    found, todo = set(), [(value, "")]
+    while todo:
+        v, at = todo.pop()
+        if isinstance(v, dict) and v:
+            todo += ((x, f"{at}.{k}" if at else k) for k, x in ((_MARKS.sub(r"\\\g<0>", k), x) for k, x in v.items()))
+        elif isinstance(v, list) and v:
+            todo += ((x, f"{at}[]") for x in v)
+        else:
+            found.add(f"{at}[]" if isinstance(v, list) else at)
+    return found
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
@@ -66,6 +74,11 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
+def _whole(s: str) -> str:
+    """Without lone surrogates, which no UTF-8 holds."""
+    return s if s.isascii() else s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 class Mappings:
     """Fingerprint to mapping. Paths that no mapping knows don't count, so extra columns change nothing."""
 
@@ -85,8 +98,10 @@ class Mappings:
         m = self.find(paths_of(record))
         if m is None:
             return None, []
-        text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-        role = lambda v: ROLES.get(text(v), text(v))
+        text = lambda v: "" if v is None else _whole(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False))
+        role = lambda v: m.get("roles", {}).get(text(v), text(v))
+        if m["turns"] == "list" and not all(isinstance(x, dict) for x in record[m["at"]]):
+            return None, []
         if m["turns"] == "row":
             return m["name"], [(role(record[m["role"]]), text(record[m["text"]]))]
         fields = m.get("fields", m.get("first", []))
@@ -97,25 +112,44 @@ class Mappings:
         return m["name"], found
 
 
-def canonical_turns(records: DataFrame, ident: str, column: str, mappings=MAPPINGS) -> DataFrame:
-    """JSON records to (id, layout, turns array<struct<role, text>>). Broken JSON and unknown layouts: null layout, no turns."""
-    kind = records.schema[ident].dataType.simpleString()
+def canonical_turns(records: DataFrame, keep: tuple[str, ...], column: str, mappings=MAPPINGS) -> DataFrame:
+    """JSON records to (kept columns, layout, turns array<struct<role, text>>)."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keep).schema)
 
     def run(batches):
         m = Mappings(mappings)
         for b in batches:
             rows = []
-            for x in b.column(1).to_pylist():
+            for x in b.column(len(keep)):
                 try:
-                    value = json.loads(x) if x else None
-                except ValueError:
+                    value = json.loads(x.as_py() or "null")
+                except (ValueError, RecursionError):
                     value = None
                 name, turns = m.turns(value) if isinstance(value, dict) else (None, [])
                 rows.append((name, [{"role": r, "text": t} for r, t in turns]))
             turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], turn)], names=[ident, "layout", "turns"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], turn)], names=[*keep, "layout", "turns"])
+
+    return records.select(*keep, F.col(column)).mapInArrow(run, f"{kinds}, layout string, turns array<struct<role string, text string>>")
+
+
+def as_records(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, record): each turn as a JSON record of one of three layouts, dealt by a hash of the row: a message list, a list of speakers with their own
+    names of the roles (only where these can be told back), or a row."""
+    spoken = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))[F.col("role")]
+    part = F.pmod(F.xxhash64("conv_id", "turn", "role"), F.lit(3))
+    written = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    one = lambda name, role, text: F.array(F.struct(role, text)).alias(name)
+    record = F.when(part == 0, written(one("messages", F.col("role"), F.col("text").alias("content")))).when(
+        (part == 1) & spoken.isNotNull(), written(one("conversations", spoken.alias("from"), F.col("text").alias("value")))
+    ).otherwise(written("conv_id", "turn", "role", "text"))
+    return turns.select("conv_id", "turn", record.alias("record"))
+
 
-    return records.select(ident, column).mapInArrow(run, f"`{ident}` {kind}, layout string, turns array<struct<role string, text string>>")
+def table_of(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
+    """Records of any known layouts as a table of turns, those of one record in their order."""
+    turns = canonical_turns(records, ("conv_id", "turn"), "record", mappings)
+    return turns.select("conv_id", "turn", F.inline("turns")).select("conv_id", "turn", "role", "text")
 
 
 def turn_rows(table: DataFrame, mappings=MAPPINGS) -> DataFrame:

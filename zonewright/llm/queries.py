@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return transport_stream.stream_index(stored(transport_stream.media_column(_table(spark, sf_dir, "documents")), "media")).drop("packets", "continuity_errors", "crc_errors", "sync_errors")
+    return transport_stream.stream_index(stored(transport_stream.media_column(_table(spark, sf_dir, "documents")), "media")).drop("packets", "continuity_errors", "crc_errors", "sync_errors", "pes_errors")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return chat.read_formatted(stored(chat.format_turns(chat.with_probe(_table(spark, sf_dir, "conversations"))), "formatted"))
+    return chat.read_formatted(stored(chat.format_turns(chat.table_of(chat.as_records(chat.with_probe(_table(spark, sf_dir, "conversations"))))), "formatted"))
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

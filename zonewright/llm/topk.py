@@ -1,6 +1,7 @@
 r"""Exact top-k search by inner product: tiled matrix products, a partial selection in each tile, and a tree of merges.
 
-Queries are dealt into blocks of about `query_block` rows and candidates into shards of about `shard` rows, both by a hash of the id. Each tile
+Queries are dealt into blocks and candidates into shards, both by a hash of the id and as large as TILE_BYTES of components allow, since each query is sent to
+every shard and each candidate to every block; small tables are cut finer, for all cores to work. Each tile
 (block, shard) is one matrix product in one task; it keeps the k best of the shard for each of its queries. The lists of a query are then merged
 in a tree, `FAN_IN` shards at a time, so no task sees more than k * FAN_IN rows of a query per round. Both sides are dealt out by the tile's key;
 nothing is broadcast or collected.
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK, SHARD, FAN_IN = 2048, 4096, 16
+#: Bytes of one side of a tile, as doubles; rows below which a shard isn't cut finer; shards merged at a time.
+TILE_BYTES, LEAST, FAN_IN = 1 << 25, 1024, 16
 _EXACT, _LONG = 2.0**53, (1 << 63) - 1
 
 
@@ -89,11 +91,14 @@ def _tile_of(key, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64()), "_s": pa.array(shard, pa.int32())})
 
 
-def top_k(table: DataFrame, k: int = 5, every: int = 50, ident: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, shard: int = SHARD) -> DataFrame:
+def top_k(table: DataFrame, k: int = 5, every: int = 50, ident: str = "vec_id", vector: str = "embedding", query_block: int | None = None, shard: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row whose id is divisible by `every`."""
     rows = table.select(F.col(ident).cast("long").alias("_i"), F.col(vector).alias("_v")).filter(F.col("_i").isNotNull() & usable(F.col("_v")))
-    n, m = table.agg(F.count("*"), F.count_if(F.col(ident) % every == 0)).first()
-    blocks, shards = max(1, -(-m // query_block)), max(1, -(-n // shard))
+    n, m, width = rows.agg(F.count("*"), F.count_if(F.col("_i") % every == 0), F.max(F.size("_v"))).first()
+    room = max(256, TILE_BYTES // (8 * max(1, width or 1)))
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-m // (query_block or room)))
+    shards = max(1, -(-n // shard) if shard else max(-(-n // room), min(2 * cores, -(-n // LEAST))))
     deal = lambda seed, parts: F.pmod(F.xxhash64("_i", F.lit(seed)), F.lit(parts)).cast("int")
     rows = rows.withColumn("_dim", F.size("_v"))
     queries = rows.filter(F.col("_i") % every == 0).withColumns({"_q": deal(1, blocks), "_s": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})

@@ -3,8 +3,8 @@ r"""MPEG transport streams as a media column: multiplexing, demultiplexing, time
 `mux` packs a payload into 188-byte packets: a PAT, a PMT, and one elementary stream (private data, stream type 0x06) whose
 access units of `unit` bytes each go into one PES packet with a PTS; the first packet of a unit carries an adaptation field
 with the PCR, and the random-access indicator on every `gop`-th unit. `demux` reads any such stream back: it parses the
-program tables (CRC-checked), checks the continuity counters of each PID, reassembles the PES packets and reports
-timestamps and random-access points.
+program tables (CRC-checked, over as many packets as a section takes), checks the continuity counters of each PID, reassembles the PES packets
+and reports timestamps and random-access points. Damaged streams give counts of errors and what can be read.
 
 Defined results: a null text counts as an empty one; an empty payload is padded to one block; equal payloads give equal
 streams. Rows are independent: ties, repeated rows, empty tables and other columns of the input do not matter. Each row's
@@ -114,20 +114,59 @@ class Stream:
     continuity_errors: int = 0
     crc_errors: int = 0
     sync_errors: int = 0
+    pes_errors: int = 0
 
 
-def _table(data: bytes, s: Stream) -> bytes | None:
-    """The section in a packet's payload; None if it isn't whole or its CRC is wrong."""
-    at = 1 + data[0]
-    length = int.from_bytes(data[at + 1 : at + 3], "big") & 0xFFF
-    whole = data[at : at + 3 + length]
-    if len(whole) < 3 + length or length < 9 or crc32_mpeg(whole):
-        s.crc_errors += 1
-        return None
-    return whole
+def _payloads(p: np.ndarray, s: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """The packets of one PID that carry a payload, without repeated ones, and where their payloads begin. Counts breaks in their continuity counters."""
+    control = p[:, 3] >> 4 & 3
+    start = np.where(control == 3, 5 + p[:, 4].astype(np.int64), 4)
+    bad = (control & 1 == 1) & (start > PACKET)  # an adaptation field beyond its packet
+    s.sync_errors += int(bad.sum())
+    has = (control & 1 == 1) & ~bad
+    p, start = p[has], start[has]
+    count = (p[:, 3] & 15).astype(np.int16)
+    repeat = np.append(False, (np.diff(count) == 0) & (p[1:] == p[:-1]).all(1)) if len(p) > 1 else np.zeros(len(p), bool)
+    p, start, count = p[~repeat], start[~repeat], count[~repeat]
+    s.continuity_errors += int(((np.diff(count) & 15) != 1).sum())
+    return p, start
+
+
+def _sections(p: np.ndarray, s: Stream):
+    """Yields the whole sections of one PID whose CRC holds, over as many packets as they take; counts the others."""
+    p, start = _payloads(p, s)
+    buffer: bytes | None = None  # None: not within a section
+
+    def cut():
+        nonlocal buffer
+        while buffer and buffer[0] != 0xFF and len(buffer) >= 3:
+            size = 3 + (int.from_bytes(buffer[1:3], "big") & 0xFFF)
+            if len(buffer) < size:
+                return
+            whole, buffer = buffer[:size], buffer[size:]
+            if size < 12 or crc32_mpeg(whole):
+                s.crc_errors += 1
+            else:
+                yield whole
+        if buffer is not None and (not buffer or buffer[0] == 0xFF):
+            buffer = None
+
+    for row, at in zip(p, start.tolist()):
+        data = row[at:].tobytes()
+        if row[1] & 0x40 and data:
+            if buffer is not None:
+                buffer += data[1 : 1 + data[0]]
+                yield from cut()
+                s.crc_errors += buffer is not None
+            buffer = data[1 + data[0] :]
+        elif buffer is not None:
+            buffer += data
+        yield from cut()
+    s.crc_errors += buffer is not None
 
 
 def demux(data: bytes) -> Stream:
+    """Any bytes: what can't be read is counted, nothing raises."""
     s = Stream()
     n = len(data) // PACKET
     p = np.frombuffer(data, np.uint8, n * PACKET).reshape(n, PACKET)
@@ -136,16 +175,16 @@ def demux(data: bytes) -> Stream:
     p = p[ok]
     s.packets = len(p)
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
-    for row in p[pid == 0]:
-        if (x := _table(row[4:].tobytes(), s)) and x[0] == 0:
-            for i in range(8, len(x) - 4, 4):
+    for x in _sections(p[pid == 0], s):
+        if x[0] == 0:
+            for i in range(8, len(x) - 7, 4):
                 if number := int.from_bytes(x[i : i + 2], "big"):
                     s.programs[number] = int.from_bytes(x[i + 2 : i + 4], "big") & 0x1FFF
-    for table_pid in set(s.programs.values()):
-        for row in p[pid == table_pid]:
-            if (x := _table(row[4:].tobytes(), s)) and x[0] == 2:
+    for table_pid in sorted(set(s.programs.values())):
+        for x in _sections(p[pid == table_pid], s):
+            if x[0] == 2:
                 i = 12 + (int.from_bytes(x[10:12], "big") & 0xFFF)
-                while i < len(x) - 4:
+                while i + 5 <= len(x) - 4:
                     s.streams[int.from_bytes(x[i + 1 : i + 3], "big") & 0x1FFF] = x[i]
                     i += 5 + (int.from_bytes(x[i + 3 : i + 5], "big") & 0xFFF)
     for es in s.streams:
@@ -153,32 +192,38 @@ def demux(data: bytes) -> Stream:
     return s
 
 
+#: Stream ids whose PES packets have no optional header.
+_BARE = frozenset([0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF])
+
+
 def _elementary(p: np.ndarray, es: int, s: Stream) -> None:
-    """Continuity, reassembly, timestamps and random-access points of one PID."""
-    control = p[:, 3] >> 4 & 3
-    has = (control & 1) == 1
-    count = p[:, 3] & 15
-    p, control, count = p[has], control[has], count[has].astype(np.int16)
-    repeat = np.append(False, (np.diff(count) == 0) & (p[1:] == p[:-1]).all(1)) if len(p) > 1 else np.zeros(len(p), bool)
-    p, control, count = p[~repeat], control[~repeat], count[~repeat]
-    s.continuity_errors += int(((np.diff(count) & 15) != 1).sum())
-    start = np.where(control == 3, 5 + p[:, 4].astype(np.int64), 4)
+    """Reassembly, timestamps and random-access points of one PID. A PES packet that is too short for what its header says counts as an error."""
+    p, start = _payloads(p, s)
     flat = p[np.arange(PACKET)[None, :] >= start[:, None]]
-    ends = np.cumsum(PACKET - np.minimum(start, PACKET))
+    at = np.append(0, np.cumsum(PACKET - start))
     begins = np.flatnonzero(p[:, 1] & 0x40)
     s.timestamps[es], s.random_access[es], parts = [], [], []
-    flat, at = flat.tobytes(), np.append(0, ends)
+    flat = flat.tobytes()
     for k, b in enumerate(begins):
         pes = flat[at[b] : at[begins[k + 1]] if k + 1 < len(begins) else len(flat)]
-        if pes[:3] != b"\x00\x00\x01":
-            s.sync_errors += 1
+        if pes[:3] != b"\x00\x00\x01" or len(pes) < 6:
+            s.pes_errors += 1
             continue
         length = int.from_bytes(pes[4:6], "big")
-        if pes[7] & 0x80:
-            s.timestamps[es].append(_read_stamp(pes[9:14]))
-        if control[b] == 3 and p[b, 4] and p[b, 5] & 0x40:
+        body = pes[6 : 6 + length] if length else pes[6:]
+        s.pes_errors += len(body) < length
+        if pes[3] not in _BARE:
+            if len(body) < 3 or len(body) < 3 + body[2] or (body[1] & 0x80 and body[2] < 5):
+                s.pes_errors += len(body) >= length
+                continue
+            if body[1] & 0x80:
+                s.timestamps[es].append(_read_stamp(body[3:8]))
+            body = body[3 + body[2] :]
+        elif pes[3] == 0xBE:  # padding
+            continue
+        if p[b, 3] & 0x20 and p[b, 4] and p[b, 5] & 0x40:
             s.random_access[es].append(len(parts))
-        parts.append(pes[9 + pes[8] : 6 + length if length else None])
+        parts.append(body)
     s.payload[es] = b"".join(parts)
 
 
@@ -211,7 +256,7 @@ def stream_index(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_media")
     schema += (
         ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, continuity_errors long, "
-        "crc_errors long, sync_errors long, timestamps array<long>, random_access array<long>, feature string"
+        "crc_errors long, sync_errors long, pes_errors long, timestamps array<long>, random_access array<long>, feature string"
     )
     out = schema.split(", ", len(names))[len(names)]
     fields = [x.split(" ")[0] for x in out.split(", ")]
@@ -227,7 +272,7 @@ def stream_index(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")
             f"programs={len(s.programs)};pid={es};type={s.streams.get(es, -1)};packets={s.packets};pes={len(pts)};cc={s.continuity_errors}"
             f";pts={pts[0] if pts else -1}-{pts[-1] if pts else -1};rap={len(rap)}"
         )
-        return (len(payload), at, zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), s.packets, s.continuity_errors, s.crc_errors, s.sync_errors, pts, rap, feature)
+        return (len(payload), at, zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), s.packets, s.continuity_errors, s.crc_errors, s.sync_errors, s.pes_errors, pts, rap, feature)
 
     def run(batches):
         for b in batches:

@@ -4,13 +4,14 @@ Rules are (verdict, host, path): a rule fits its host and all subdomains of it i
 label the urls they fit; the trees are trained on those and judge the others.
 
 Features: length, path depth, digit ratio, character entropy, number of parameters, host labels, hyphens in the host, and for the last
-one and two host labels the share of blocked urls among the labelled. Training reads all labelled rows once to count them and to take about TRAIN_ROWS of
-them by a hash of the url; their features are cut into at most BINS bins, equal rows are merged, and each level of each tree is one grouped
-aggregate of gradients by (node, feature, bin). What comes to the driver are those histograms, whose size the parameters fix. The finished trees are CASE
-expressions, so a prediction is a projection without a shuffle.
+one and two host labels the share of blocked urls among the labelled. Those shares are counted over all labelled rows, by hash: the suffixes of a bucket
+share it, so the table has SUFFIXES rows at most and is broadcast. The trees are fitted on about TRAIN_ROWS different labelled urls, chosen by a hash of the
+url; however often a url is repeated it counts once. Their features are cut into at most BINS bins, equal rows are merged, and each level of each
+tree is one grouped aggregate of gradients by (node, feature, bin). What comes to the driver are those histograms, whose size the parameters fix. The
+finished trees are CASE expressions, so a prediction is a projection without a shuffle.
 
 Defined results: a null url, or one without `://`, has an empty host and path; no labelled rows: all are allowed, with score 0; labels of one kind
-only: that verdict. Repeated rows get equal results; other columns are ignored.
+only: that verdict. Repeated rows get equal results; other columns are ignored. A url of any length is one string in generated code.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stored
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-TRAIN_ROWS, BINS, TREES, DEPTH, RATE, SHRINK, LEAST, SUFFIXES = 20_000, 16, 10, 3, 0.4, 1.0, 1.0, 128
+TRAIN_ROWS, BINS, TREES, DEPTH, RATE, SHRINK, LEAST, SUFFIXES, PRIOR_ROWS = 20_000, 16, 10, 3, 0.4, 1.0, 1.0, 1 << 12, 10
 FEATURES = ("length", "depth", "digits", "entropy", "parameters", "labels", "hyphens", "suffix1", "suffix2")
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -67,24 +68,28 @@ def lexical(df: DataFrame, url: str) -> DataFrame:
             "parameters": F.when(query == "", 0).otherwise(count_of(query, "&") + 1).cast("double"),
             "labels": F.when(F.col("host") == "", 0).otherwise(count_of(F.col("host"), ".") + 1).cast("double"),
             "hyphens": count_of(F.col("host"), "-").cast("double"),
-            "tail1": F.substring_index("host", ".", -1),
-            "tail2": F.substring_index("host", ".", -2),
+            **{f"tail{k}": F.pmod(F.xxhash64(F.lit(k), F.substring_index("host", ".", -k)), F.lit(SUFFIXES)) for k in (1, 2)},
         }
     )
 
 
 @dataclass
 class Trees:
-    """suffixes: for each of tail1 and tail2, suffix to share of blocked; trees: nested (feature, threshold, left, right) or leaf values."""
+    """shares: the table (k, tail, share) of suffix buckets, None for none; trees: nested (feature, threshold, left, right) or leaf values."""
 
     prior: float
-    suffixes: tuple[dict[str, float], dict[str, float]]
+    shares: DataFrame | None
     trees: list
 
-    def suffix(self, k: int) -> Column:
-        shares = self.suffixes[k - 1]
-        at = F.create_map(*(F.lit(x) for kv in sorted(shares.items()) for x in kv))[F.col(f"tail{k}")] if shares else F.lit(None).cast("double")
-        return F.coalesce(at, F.lit(self.prior))
+    def with_suffixes(self, df: DataFrame) -> DataFrame:
+        """Adds suffix1 and suffix2, the shares of blocked urls in a row's suffix buckets."""
+        for k in (1, 2):
+            if self.shares is None:
+                df = df.withColumn(f"suffix{k}", F.lit(self.prior))
+                continue
+            own = self.shares.filter(F.col("k") == k).select(F.col("tail").alias(f"_tail{k}"), F.col("share").alias(f"_share{k}"))
+            df = df.join(F.broadcast(own), F.col(f"tail{k}") == F.col(f"_tail{k}"), "left").withColumn(f"suffix{k}", F.coalesce(f"_share{k}", F.lit(self.prior))).drop(f"_tail{k}", f"_share{k}")
+        return df
 
     def score(self) -> Column:
         """The probability of block, over columns named as FEATURES."""
@@ -104,21 +109,21 @@ def _case(tree, goes_right) -> Column:
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """labelled: lexical() columns, _url, and y, 1 for block."""
-    n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    """labelled: lexical() columns, _url, and y, 1 for block, the same for equal urls."""
+    n, blocked, urls = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0)), F.approx_count_distinct("_url")).first()
     if not n or blocked in (0, n):
-        return Trees(float(bool(n and blocked)), ({}, {}), [])
+        return Trees(float(bool(n and blocked)), None, [])
+    prior = blocked / n
+    tails = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"tail{k}").alias("tail")) for k in (1, 2))))
+    share = (F.sum("y") + PRIOR_ROWS * prior) / (F.count("*") + PRIOR_ROWS)
+    out = Trees(prior, stored(labelled.select("y", tails.alias("x")).groupBy("x.k", "x.tail").agg(share.alias("share")).coalesce(1), "url-suffixes"), [])
     chance = F.pmod(F.xxhash64(F.lit("urls"), "_url"), F.lit(1 << 30)) / float(1 << 30)
-    sample = stored(labelled.filter(chance < rows / n).coalesce(4), "url-sample")
+    once = labelled.filter(chance < rows / urls).groupBy("_url").agg(*(F.first(c).alias(c) for c in ("y", *FEATURES[:-2], "tail1", "tail2")))
+    sample = stored(out.with_suffixes(once).coalesce(4), "url-sample")
     size, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not size or ones in (0, size):
-        return Trees(float(blocked * 2 >= n), ({}, {}), [])
-    prior, shares = ones / size, []
-    for k in (1, 2):
-        top = sample.groupBy(f"tail{k}").agg(F.count("*").alias("n"), F.sum("y").alias("s")).orderBy(F.desc("n"), f"tail{k}").limit(SUFFIXES).collect()
-        shares.append({r[0]: (r["s"] + 10 * prior) / (r["n"] + 10) for r in top})
-    out = Trees(prior, tuple(shares), [])
-    sample = sample.withColumns({f"suffix{k}": out.suffix(k) for k in (1, 2)})
+        return Trees(float(blocked * 2 >= n), None, [])
+    out.prior = prior = ones / size
     marks = [i / BINS for i in range(1, BINS)]
     cuts = sample.agg(*(F.percentile_approx(f, marks, 10_000).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted(set(cuts[f])) for f in FEATURES}
@@ -189,5 +194,5 @@ def judge(pages: DataFrame, ident: str = "page_id", url: str = "url", rules=RULE
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     df = lexical(df.withColumns({"rule": rule, "_verdict": verdict}), "_url")
     model = train(df.filter(F.col("rule").isNotNull()).withColumn("y", (F.col("_verdict") == "block").cast("int")), rows)
-    df = df.withColumns({f"suffix{k}": model.suffix(k) for k in (1, 2)}).withColumn("score", model.score())
+    df = model.with_suffixes(df).withColumn("score", model.score())
     return df.select(ident, "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
