@@ -717,3 +717,44 @@ def test_rules_judge_whole_hosts_and_repeated_urls(spark):
         rule = next((r for r in sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2])) if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])), None)
         assert got[i].rule == (rule and rule[1] + rule[2]) and (not rule or got[i].verdict == rule[0])
     assert len({(got[i].verdict, got[i].score) for i in range(400, 1200)}) == 1
+
+
+# ---- licences: notices in order, against a plain search
+
+
+def test_longest_ascending_run():
+    rng = random.Random(1)
+    for _ in range(200):
+        pairs = [(rng.randrange(8), rng.randrange(12)) for _ in range(rng.randrange(10))]
+        best = [0] * len(pairs)
+        for k, (t, p) in sorted(enumerate(pairs), key=lambda x: x[1]):
+            best[k] = 1 + max((best[j] for j, (u, q) in enumerate(pairs) if u < t and q < p), default=0)
+        got = license_scan.ascending(np.array([t for t, _ in pairs], int), np.array([p for _, p in pairs], int))
+        assert got == max(best, default=0)
+
+
+def test_notices_must_stand_in_order(spark):
+    notice = next(iter(license_scan.TEMPLATES)).split()
+    rng = random.Random(2)
+    docs, want = [], []
+    for i in range(60):
+        lost = sorted(rng.sample(range(len(notice)), i % 4 // 2))
+        own = [w for k, w in enumerate(notice) if k not in lost]
+        shuffled = i % 3 == 0
+        if shuffled:  # the same runs of words, in the wrong order
+            cut = len(own) // 2
+            own = own[cut:] + own[:cut]
+        docs.append((i if i else None, " ".join([f"x{k}" for k in range(i)] + own + ["end"])))
+        grams = {tuple(notice[k : k + 3]): k for k in range(len(notice) - 2)}
+        words_ = docs[-1][1].split()
+        seen = [grams[g] for k in range(len(words_) - 2) if (g := tuple(words_[k : k + 3])) in grams]
+        run = []
+        for t in seen:
+            run.append(1 + max((r for r, u in zip(run, seen) if u < t), default=0))
+        want.append(max(run, default=0) / (len(notice) - 2) >= license_scan.COVER)
+    table = spark.createDataFrame([*docs, docs[1], (99, "é" * 1_200_000 + " cc by")], "doc_id long, text string").withColumns({"hits": F.lit(1), "gram": F.lit(1), "_t": F.lit(1)})
+    got = license_scan.scan(table).collect()
+    assert len(got) == 62
+    by = {r.doc_id: r for r in got}
+    assert [by[i].labels == "mit" for i, _ in docs] == want and True in want and False in want
+    assert (by[99].n_base, by[99].first_word) == (1, 1)

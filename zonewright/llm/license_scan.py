@@ -1,23 +1,28 @@
 r"""License scans by diagonal voting.
 
 All rolling word k-grams of a text are hashed; Spark joins them to the positions of the templates' k-grams, each match votes for its
-diagonal (place in the text minus place in the template), neighbouring diagonals are merged, and the spans that have enough of a template's
-k-grams are kept. Before the join, grams that occur in no template are dropped by a bitmap of the templates' hashes (a runtime filter: no
-template's gram is lost). The templates' table is broadcast; it has one row per k-gram of TEMPLATES and PHRASES, a few hundred.
+diagonal (place in the text minus place in the template), neighbouring diagonals are merged, and spans are verified: what counts is the longest run of
+matches that ascends in the text and in the template alike, and it must hold enough of the template's k-grams. Before the join, grams that
+occur in no template are dropped by a bitmap of the templates' hashes, sized to their number (a runtime filter: no template's gram is lost). The
+templates' table has one row per k-gram; up to BROADCAST rows it is broadcast, beyond that the join shuffles.
 
 PHRASES are exact: a place counts if all its words stand consecutively. TEMPLATES are notices found by votes: up to SLACK words may be
-inserted or lost between neighbours, and COVER of the notice's grams must be there.
+inserted or lost between neighbours, and COVER of the notice's grams must be there, in order. Both are parameters of scan().
 
 Defined results: a null text has no words; overlapping places all count; rows that repeat an id and text get equal results, and rows of one id with
-different texts are kept apart by a hash of the text. Other columns are ignored; an empty table gives no rows.
+different texts are kept apart by a hash of the text; a null id is an id. Other columns are ignored; an empty table gives no rows. A text of any
+length is hashed in pieces, and its matches are one row's list: those of its grams that occur in a template.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import Words, rolling, stored
@@ -38,7 +43,7 @@ TEMPLATES = {
     "released under the mit license": "mit",
     "licensed under the apache license": "apache-2.0",
 }
-K_PHRASE, K_TEMPLATE, SLACK, COVER = 2, 3, 2, 0.75
+K_PHRASE, K_TEMPLATE, SLACK, COVER, BROADCAST = 2, 3, 2, 0.75, 100_000
 
 
 def _table(phrases: dict[str, str], templates: dict[str, str]) -> list[tuple[int, int, int, int, str, bool]]:
@@ -57,24 +62,30 @@ def _grams(docs: DataFrame, grams: list[int], ident: str, text: str) -> DataFram
     """Per row: id, hash of the text, n_words, and the (position, gram) pairs that pass the bitmap."""
     kind = docs.schema[ident].dataType.simpleString()
     cols = docs.select(F.col(ident).alias("_i"), F.xxhash64(text).alias("_h"), F.col(text).cast("binary").alias("_t"))
-    bits = np.zeros(1 << 16, bool)
-    bits[np.array(grams, np.int64).view(np.uint64) >> np.uint64(48)] = True
+    places = min(26, max(16, (64 * len(grams)).bit_length()))
+    shift = np.uint64(64 - places)
+    bits = np.zeros(1 << places, bool)
+    bits[np.array(grams, np.int64).view(np.uint64) >> shift] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches):
-        words = Words(SEPARATORS)
-        pair = pa.struct([("pos", pa.int64()), ("gram", pa.int64())])
+        words, known = Words(SEPARATORS), np.unpackbits(sent.value).view(bool)
         for b in batches:
-            n, hits = [], []
+            n, sizes, pos, gram = [], [0], [], []
             for _, arrays in words.of([x.as_py() for x in b.column("_t")]):
                 for h in arrays:
                     n.append(len(h))
-                    own = []
+                    found = 0
                     for k in (K_PHRASE, K_TEMPLATE):
                         g = rolling(h, k)
-                        at = np.flatnonzero(bits[g >> np.uint64(48)])
-                        own += ({"pos": p, "gram": x} for p, x in zip(at.tolist(), g[at].view(np.int64).tolist()))
-                    hits.append(own)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pair))], names=["_i", "_h", "n_words", "hits"])
+                        at = np.flatnonzero(known[g >> shift])
+                        found += len(at)
+                        pos.append(at)
+                        gram.append(g[at].view(np.int64))
+                    sizes.append(found)
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x or [np.empty(0, np.int64)]), pa.int64()) for x in (pos, gram)], ["pos", "gram"])
+            hits = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), hits], names=["_i", "_h", "n_words", "hits"])
 
     return cols.mapInArrow(run, f"_i {kind}, _h long, n_words long, hits array<struct<pos: long, gram: long>>")
 
@@ -83,19 +94,37 @@ def template_table(spark: SparkSession, phrases: dict[str, str] = PHRASES, templ
     return spark.createDataFrame(_table(phrases, templates), "gram long, template int, tpos int, grams int, label string, exact boolean")
 
 
-def spans(scan: DataFrame, table: DataFrame) -> DataFrame:
-    """The verified places: _i, _h, template, label, exact, first (the word where the template would begin), cover."""
-    votes = scan.select("_i", "_h", F.explode("hits").alias("x")).select("_i", "_h", "x.pos", "x.gram").join(F.broadcast(table), "gram")
+def ascending(tpos: np.ndarray, pos: np.ndarray) -> int:
+    """The length of the longest run of matches that ascends strictly in both places."""
+    ends: list[int] = []  # the smallest last place of a run of each length
+    for p in pos[np.lexsort((-pos, tpos))].tolist():
+        k = bisect_left(ends, p)
+        ends[k : k + 1] = [p]
+    return len(ends)
+
+
+def spans(scan: DataFrame, table: DataFrame, small: bool = True) -> DataFrame:
+    """The verified places: _i, _h, template, label, exact, first (the word where the template would begin), cover. small: whether the table may be broadcast."""
+    votes = scan.select("_i", "_h", F.explode("hits").alias("x")).select("_i", "_h", "x.pos", "x.gram").join(F.broadcast(table) if small else table, "gram")
     votes = votes.withColumn("diagonal", F.col("pos") - F.col("tpos"))
     lines = votes.groupBy("_i", "_h", "template", "label", "exact", "grams", "diagonal").agg(F.collect_set("tpos").alias("at"))
     order = Window.partitionBy("_i", "_h", "template").orderBy("diagonal")
     far = F.when(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK), 1).otherwise(0)
     groups = lines.withColumn("_new", far).withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = groups.groupBy("_i", "_h", "template", "label", "exact", "grams", "_g").agg(
-        F.min_by("diagonal", F.struct(-F.size("at"), "diagonal")).alias("first"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n")
+        F.min_by("diagonal", F.struct(-F.size("at"), "diagonal")).alias("first"), F.flatten(F.collect_list(F.transform("at", lambda t: F.struct(t.alias("tpos"), (t + F.col("diagonal")).alias("pos"))))).alias("pairs")
     )
+    enough = F.size(F.array_distinct(F.transform("pairs", lambda x: x["tpos"]))) >= F.when(F.col("exact"), F.col("grams")).otherwise(COVER * F.col("grams"))
+    merged = merged.filter(enough)  # a bound of what verification can find
+
+    def run(batches):
+        for b in batches:
+            n = [ascending(*(x.values.field(k).to_numpy() for k in range(2))) for x in b.column("pairs")]
+            yield b.drop_columns(["pairs"]).append_column("n", pa.array(n, pa.int64()))
+
+    found = merged.mapInArrow(run, T.StructType([*(f for f in merged.schema if f.name != "pairs"), T.StructField("n", T.LongType())]))
     cover = F.col("n") / F.col("grams")
-    return merged.withColumn("cover", cover).filter(F.when(F.col("exact"), F.col("n") == F.col("grams")).otherwise(cover >= COVER))
+    return found.withColumn("cover", cover).filter(F.when(F.col("exact"), F.col("n") == F.col("grams")).otherwise(cover >= COVER))
 
 
 def scan(docs: DataFrame, ident: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -104,7 +133,7 @@ def scan(docs: DataFrame, ident: str = "doc_id", text: str = "text", phrases: di
     table = template_table(docs.sparkSession, phrases, templates)
     grams = stored(_grams(docs, [r[0] for r in rows], ident, text), "license-grams")
     base = F.col("exact")
-    found = spans(grams.filter(F.size("hits") > 0), table).groupBy("_i", "_h").agg(
+    found = spans(grams.filter(F.size("hits") > 0), table, len(rows) <= BROADCAST).groupBy("_i", "_h").agg(
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("first"))).alias("first_word"),
         F.max(F.when(base, F.col("first"))).alias("last_word"),
