@@ -758,3 +758,86 @@ def test_notices_must_stand_in_order(spark):
     by = {r.doc_id: r for r in got}
     assert [by[i].labels == "mit" for i, _ in docs] == want and True in want and False in want
     assert (by[99].n_base, by[99].first_word) == (1, 1)
+
+
+def test_pairs_to_verify_stay_near_linear_in_a_hot_bucket(spark, monkeypatch):
+    """Near copies around the threshold, all of one base text: in one component by brute force, and far fewer pairs are verified than there are."""
+    rng = random.Random(13)
+    base = [f"b{j}" for j in range(80)]
+    rows = []
+    for i in range(700):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(base[: 40 + i % 30] + [f"t{i}x{j}" for j in range(40)])) for i in range(100)]
+    seen = []
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, sets, percent: seen.append(pairs.count()) or verified(pairs, sets, percent))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_join(rows)
+    assert sum(seen) < 8 * len(rows)
+
+
+def test_join_with_edges_against_brute_force(spark):
+    docs = edge_docs(spark).filter("doc_id is not null")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(docs).collect()}
+    assert got == brute_join(dict(rows).items())
+
+
+# ---- queries on edge tables against brute force
+
+
+def test_mix_edges_against_brute_force(spark):
+    docs = edge_docs(spark).select("doc_id", "text", "source").collect()
+    size, total, target = brute_mix(docs)
+    got = mixing.mix(edge_docs(spark)).collect()
+    assert sorted((str(r.doc_id), r.size, r.source_size, round(r.target, 6)) for r in got) == sorted((str(d.doc_id), n, total[d.source], round(target[d.source], 6)) for d, n in zip(docs, size))
+    for s in total:
+        assert sum(r.taken for r in got if r.source == s) == int(target[s] + 1e-9)
+
+
+def test_tokens_of_the_query_equal_the_library(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from zonewright.llm import queries
+
+    lib = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(21)
+    rows = [(i, "".join(rng.choice(["word ", "  ", "\n", "é", "中文", "123", "<|endoftext|>", "don't ", ".\n\n", "\t x"]) for _ in range(rng.randrange(60)))) for i in range(80)]
+    rows += [(100, None), (101, ""), (102, "long " * 300_000), (103, "z" * 20_000), (0, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_bpe(spark, str(tmp_path)).collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for i, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))))
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
+
+
+def test_stored_streams_against_single_ones(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in edge_docs(spark).collect()}
+    for r in transport_stream.stream_index(transport_stream.media_column(edge_docs(spark))).collect():
+        data = transport_stream.mux(transport_stream.padded(texts[r.doc_id]))
+        units = -(-r.payload_bytes // transport_stream.UNIT)
+        assert (r.media_bytes, r.media_sha256, r.packets) == (len(data), hashlib.sha256(data).hexdigest(), len(data) // 188)
+        assert r.feature == f"programs=1;pid=256;type=6;packets={r.packets};pes={units};cc=0;pts=90000-{90000 + 3600 * (units - 1)};rap={-(-units // 8)}"
+        assert (r.continuity_errors, r.crc_errors, r.sync_errors, r.pes_errors) == (0, 0, 0, 0)
+
+
+def test_language_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(i, "abc abd " * (i % 5 + 1) if i % 2 else "xyz xzz " * (i % 7 + 1), "aa" if i % 2 else "bb") for i in range(90)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("lang_pred", "score", "rejected", "held_out", "c0", "has", "_l", "_t")})
+    got = langid.identify(docs).collect()
+    assert len(got) == 180 and all(r.lang_pred == ("aa" if r.doc_id % 2 else "bb") and 0 <= r.score <= 1 for r in got)
+    assert len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 90
+
+
+def test_a_very_long_turn(spark):
+    text = "</turn> \\ " * 300_000
+    table = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", "x"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_formatted(chat.format_turns(chat.table_of(chat.as_records(table)))).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert (got[None].n_turns, got[None].loss_chars) == (1, 0)

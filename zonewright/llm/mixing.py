@@ -10,7 +10,8 @@ and the excess is shared again until none is above. That fixed point is found in
 sources in the order of the weight each size can carry.
 
 Defined results: null source is a source of its own, after all others; null text has size 0; a source of size 0 has target 0; rows equal in
-id and size are interchangeable and each is counted; no rows give no rows. Other columns of the input are ignored.
+id and size are interchangeable and each is counted; no rows give no rows. Other columns of the input are ignored. A text of any length is counted by one
+expression. All rows of one id have one key, so many rows with a null or repeated id meet in one leaf: ids should be unique and not null at scale.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_RE, stored
+from .common import WORD_RE, remove, stored
 
 WEIGHTS = (5, 2, 1)
 #: Share of all sizes to mix, as a fraction of integers, and the most epochs of a source.
@@ -60,13 +61,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     With level = (share of all sizes - caps of the full sources) / (weights of the others), a source is full if
     cap / weight is below the level; in the order of cap / weight the full ones come first.
     """
-    paths = [] if paths is None else paths
+    paths, own = [] if paths is None else paths, []
     num, den = share
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("long")
-    w = ranked(sizes, [F.col("source").asc_nulls_last()], "mix-sources", paths).select("source", "source_size", weight.alias("_weight"))
+    w = ranked(sizes, [F.col("source").asc_nulls_last()], "mix-sources", own).select("source", "source_size", weight.alias("_weight"))
     w = w.withColumn("_cap", F.col("source_size") * epochs)
     order = [F.col("_cap") / F.col("_weight"), F.col("source").asc_nulls_last()]
-    w = stored(running(running(ranked(w, order, "mix-order", paths), "_rank", "_cap", "_caps"), "_rank", "_weight", "_weights"), "mix-levels", paths)
+    w = stored(running(running(ranked(w, order, "mix-order", own), "_rank", "_cap", "_caps"), "_rank", "_weight", "_weights"), "mix-levels", paths)
+    remove(sizes.sparkSession, *own)
     total = w.agg(F.sum("source_size").alias("_size"), F.sum("_weight").alias("_all"))
     # den * level = top / under, from each source on as the first that isn't full
     w = w.join(F.broadcast(total)).withColumns({"_top": F.col("_size") * num - F.col("_caps") * den, "_under": F.col("_all") - F.col("_weights")})

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, remove, stored
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 TRAIN_ROWS, BINS, TREES, DEPTH, RATE, SHRINK, LEAST, SUFFIXES, PRIOR_ROWS = 20_000, 16, 10, 3, 0.4, 1.0, 1.0, 1 << 12, 10
@@ -119,7 +119,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     out = Trees(prior, stored(labelled.select("y", tails.alias("x")).groupBy("x.k", "x.tail").agg(share.alias("share")).coalesce(1), "url-suffixes"), [])
     chance = F.pmod(F.xxhash64(F.lit("urls"), "_url"), F.lit(1 << 30)) / float(1 << 30)
     once = labelled.filter(chance < rows / urls).groupBy("_url").agg(*(F.first(c).alias(c) for c in ("y", *FEATURES[:-2], "tail1", "tail2")))
-    sample = stored(out.with_suffixes(once).coalesce(4), "url-sample")
+    paths: list[str] = []
+    sample = stored(out.with_suffixes(once).coalesce(4), "url-sample", paths)
     size, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not size or ones in (0, size):
         return Trees(float(blocked * 2 >= n), None, [])
@@ -128,12 +129,13 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     cuts = sample.agg(*(F.percentile_approx(f, marks, 10_000).alias(f) for f in FEATURES)).first()
     cuts = {f: sorted(set(cuts[f])) for f in FEATURES}
     binned = sample.select("y", *(sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)).alias(f) for f in FEATURES))
-    data = stored(binned.groupBy("y", *FEATURES).agg(F.count("*").alias("n")).coalesce(1), "url-bins")
+    data = stored(binned.groupBy("y", *FEATURES).agg(F.count("*").alias("n")).coalesce(1), "url-bins", paths)
     total = F.lit(math.log(prior / (1 - prior)))
     for _ in range(TREES):
         grown = _grow(data, total, cuts)
         total = total + _case(grown, lambda f, at: F.col(f) > cuts[f].index(at))
         out.trees.append(grown)
+    remove(labelled.sparkSession, *paths)
     return out
 
 
