@@ -15,7 +15,7 @@ Documents with equal sets are one class; all that follows is about classes, each
    sizes are on the same or the next rung, and each set indexes both. A set leaves the buckets in which no other could overlap it enough.
 3. Verify. In rounds, each class is paired with one leader of a bucket it shares, and links are verified exactly on whole sets and contracted; a round
    looks only at buckets that still hold more than one component, and takes other leaders. What members of different components are left in a
-   bucket after ROUNDS are compared by signatures, a byte for each of 4 (H + 1) token classes of which linked sets differ in at most H, tile by tile,
+   bucket after the last round are compared by signatures, a byte for each of 4 (H + 1) token classes of which linked sets differ in at most H, tile by tile,
    and the pairs that pass are verified. So a bucket of linked texts is never expanded into pairs, and no link between different components
    is lost. What stays quadratic is the comparison of signatures, in bounded tiles, within buckets of many unlinked but similar texts.
 4. Components by contraction and pointer jumping over the links.
@@ -42,8 +42,9 @@ from .common import Words, mix, remove, shingle_set, stored
 WORDS, PERCENT, SCREEN = 4, 85, 0.25
 #: Tokens of a combination.
 K = 5
-#: Members of a bucket that one tile compares with as many others, screens on whole sets, rounds of leaders, and the parts in which a bucket's members meet its size.
-BLOCK, SCREENS, ROUNDS, SALTS = 1024, 2, 4, 16
+#: Members of a bucket that one tile compares with as many others, screens on whole sets, rounds of leaders at most, and the parts in which a bucket's members
+#: meet its leader or size; a round in which fewer than one of USEFUL pairs link is the last.
+BLOCK, SCREENS, ROUNDS, SALTS, USEFUL = 1024, 2, 4, 16, 10
 _K = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -334,11 +335,14 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: i
         index = index.drop("label")
         if now.isEmpty() or r == ROUNDS:
             break
-        more = stored(_verified(_stars(now, F.struct(F.xxhash64(F.lit(r), "d").alias("o"), "d", "n", "s", "label"), percent), whole, percent), "join-links", paths)
-        if more.isEmpty():
+        pairs = stored(_stars(now, F.struct(F.xxhash64(F.lit(r), "d").alias("o"), "d", "n", "s", "label"), percent), "join-pairs", paths)
+        more = stored(_verified(pairs, whole, percent), "join-links", paths)
+        found, tried = more.count(), pairs.count()
+        if found:
+            edges = edges.unionByName(more)
+            labels = components(edges, paths)
+        if found * USEFUL < tried:  # what is left is mostly not linked; that some labels of now are older ones costs a few comparisons
             break
-        edges = edges.unionByName(more)
-        labels = components(edges, paths)
     if not now.isEmpty():
         marks = _signed(whole.join(now.select("d").distinct().hint("merge"), "d", "left_semi"), percent)
         pairs = stored(_tiles(now.join(marks.hint("merge"), ["d", "c"]), percent), "join-pairs", paths)
