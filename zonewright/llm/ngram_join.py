@@ -8,9 +8,9 @@ Documents with equal sets are one class; all that follows is about classes, each
    above count as frequent, so the order stays the same for all), the next ones all tokens of the classes left. What isn't unique in a class bounds its
    overlap with any other, a filter for all later pairs.
 2. Index. A rare token names its two classes: single tokens suffice for classes whose prefix ends among the rare. Where it reaches the frequent
-   tokens, the prefix is extended: tokens are dealt by hash into M token classes, the prefix takes the first K tokens of each in the global order, and the
-   combination of those K is indexed (of all there are, where a class has fewer). Two linked sets differ in at most H = 15/185 of their joint size (for
-   t = 0.85), so with M > H + E at least E + 1 classes are without a difference and their combinations agree. Only sets with more than E empty
+   tokens, the prefix is extended to the whole set and dealt by hash into M token classes, and the combination of the tokens in each is indexed (six or
+   so). Two linked sets differ in at most H = 15/185 of their joint size (for t = 0.85), so with M > H + E at least E + 1 classes are without a
+   difference and their combinations agree. Only sets with more than E empty
    classes could agree in empty ones alone; those index their empty classes too. M belongs to a ladder of set sizes in steps of 1/t; linked
    sizes are on the same or the next rung, and each set indexes both. A set leaves the buckets in which no other could overlap it enough.
 3. Verify. In rounds, each class is paired with one leader of a bucket it shares, and links are verified exactly on whole sets and contracted; a round
@@ -40,11 +40,9 @@ from .common import Words, mix, remove, shingle_set, stored
 
 #: Words of a shingle, least similarity in percent, and the fraction of the hash range that the screen counts.
 WORDS, PERCENT, SCREEN = 4, 85, 0.25
-#: Tokens of a combination.
-K = 5
-#: Members of a bucket that one tile compares with as many others, screens on whole sets, rounds of leaders at most, and the parts in which a bucket's members
-#: meet its leader or size; a round in which fewer than one of USEFUL pairs link is the last.
-BLOCK, SCREENS, ROUNDS, SALTS, USEFUL = 1024, 2, 4, 16, 10
+#: Members of a bucket that one tile compares with as many others, screens on whole sets, and rounds of leaders at most; a round in which fewer than one of
+#: USEFUL pairs link is the last.
+BLOCK, SCREENS, ROUNDS, USEFUL = 1024, 2, 4, 10
 _K = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -71,28 +69,23 @@ class Ladder:
         return h + 1 + spare, spare
 
 
-def _sums(tokens: np.ndarray, m: int, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The token classes in use, of m, and a hash of the combination of each one's first k tokens (all, without k). Tokens come in order."""
+def _sums(tokens: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token classes in use, of m, and a hash of the combination of tokens in each."""
     j = (mix(tokens ^ _K[1]) % np.uint64(m)).astype(np.int64)
     order = np.argsort(j, kind="stable")
-    j = j[order]
-    first = np.flatnonzero(np.append(True, np.diff(j) != 0))
-    if k is not None:
-        nth = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j))))
-        order, j = order[nth < k], j[nth < k]
-        first = np.flatnonzero(np.append(True, np.diff(j) != 0))
-    return j[first], np.add.reduceat(mix(tokens ^ _K[0])[order], first)
+    first = np.flatnonzero(np.append(True, np.diff(j[order]) != 0))
+    return j[order][first], np.add.reduceat(mix(tokens ^ _K[0])[order], first)
 
 
 def combination_keys(tokens: np.ndarray, ladder: Ladder) -> tuple[np.ndarray, np.ndarray]:
-    """The index keys of a set and their rungs: one for the combination of K tokens in each token class, on its rung and the next."""
+    """The index keys of a set and their rungs: one for the combination of its tokens in each token class, on its rung and the next."""
     keys, rungs, c0 = [], [], ladder.rung(len(tokens))
     for c in (c0, c0 + 1):
         if not ladder.differ(c):
             continue  # on this rung only equal sets link
         m, spare = ladder.classes(c)
         salt = np.array([c], np.uint64) * _K[3]
-        used, sums = _sums(tokens, m, K)
+        used, sums = _sums(tokens, m)
         own = [mix(sums + used.astype(np.uint64) * _K[2] + salt)]
         if m - len(used) > spare:
             own.append(mix(np.setdiff1d(np.arange(m), used).astype(np.uint64) * _K[2] + salt + _K[1]))
@@ -196,8 +189,8 @@ def _signed(sets: DataFrame, percent: int) -> DataFrame:
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket, of different labels, whose signatures allow a link. Buckets beyond BLOCK members are cut into blocks and tiles."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = members.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(sizes, ["key", "salt"]).withColumn("at", F.pmod(F.xxhash64("d", F.lit(11)), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(sizes, "key").withColumn("at", F.pmod(F.xxhash64("d", F.lit(11)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "d", "n", "s", "label", "sig")
 
@@ -275,10 +268,9 @@ def _may_link(n: Column, s: Column, m: Column, t: Column, percent: int) -> Colum
 
 def _stars(rows: DataFrame, order: Column, percent: int) -> DataFrame:
     """Pairs (a, b): each class with the first leader among those of its buckets, of another label, that it may link with. The leader of a bucket is its first
-    member by the order, and is met in parts of the bucket."""
-    parts = lambda x: F.pmod(F.xxhash64(x), F.lit(SALTS)).cast("int")
-    lead = rows.groupBy("key").agg(F.min(order).alias("l")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = rows.withColumn("salt", parts("d")).join(lead.hint("merge"), ["key", "salt"]).filter(F.col("label") != F.col("l.label"))
+    member by the order."""
+    lead = rows.groupBy("key").agg(F.min(order).alias("l"))
+    met = rows.join(lead.hint("merge"), "key").filter(F.col("label") != F.col("l.label"))
     met = met.filter(_may_link(F.col("n"), F.col("s"), F.col("l.n"), F.col("l.s"), percent))
     return met.groupBy(F.col("d").alias("a")).agg(F.min("l").alias("l")).select("a", F.col("l.d").alias("b"))
 
