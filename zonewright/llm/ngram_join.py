@@ -8,23 +8,21 @@ Documents with equal sets are one class; all that follows is about classes, each
    above count as frequent, so the order stays the same for all), the next ones all tokens of the classes left. What isn't unique in a class bounds its
    overlap with any other, a filter for all later pairs.
 2. Index. A rare token names its two classes: single tokens suffice for classes whose prefix ends among the rare. Where it reaches the frequent
-   tokens, the prefix is extended to the whole set and dealt by hash into M token classes, and the combination of the tokens in each is indexed (six or
-   so). Two linked sets differ in at most H = 15/185 of their joint size (for t = 0.85), so with M > H + E at least E + 1 classes are without a
-   difference and their combinations agree. Only sets with more than E empty
+   tokens, the prefix is extended to the whole set and cut by hash into M token classes, and the combination of the tokens in each is indexed: two
+   linked sets differ in at most H = 15/185 of their joint size (for t = 0.85), so with M > H + E at least E + 1 combinations agree. Only sets with more than E empty
    classes could agree in empty ones alone; those index their empty classes too. M belongs to a ladder of set sizes in steps of 1/t; linked
    sizes are on the same or the next rung, and each set indexes both. A set leaves the buckets in which no other could overlap it enough.
-3. Verify. In rounds, each class is paired with one leader of a bucket it shares, and links are verified exactly on whole sets and contracted; a round
-   looks only at buckets that still hold more than one component, and takes other leaders. What members of different components are left in a
-   bucket after the last round are compared by signatures, a byte for each of 4 (H + 1) token classes of which linked sets differ in at most H, tile by tile,
-   and the pairs that pass are verified. So a bucket of linked texts is never expanded into pairs, and no link between different components
-   is lost. What stays quadratic is the comparison of signatures, in bounded tiles, within buckets of many unlinked but similar texts.
+3. Verify. Within a bucket each class is first paired with one leader, and links are verified exactly on whole sets. Members of buckets that
+   then still hold more than one component are compared by signatures, a byte for each of 4 (H + 1) token classes of which linked sets differ in at most H,
+   tile by tile, and the pairs of different components that pass are verified. So a bucket of linked texts is not expanded into
+   pairs, and no link between different components is lost. What stays quadratic is a bucket of many similar texts that don't link: its
+   signatures are compared pairwise, in bounded tiles, and those pairs pass that are near the threshold.
 4. Components by contraction and pointer jumping over the links.
 
 Defined results: a null text, or one without words, has no shingles and links with nothing; shorter texts than k words are one
 shingle; equal texts are in one component; rows that repeat an id are classified by their own texts; null ids take part and lose against others
-as names. Other columns are ignored. A text of any length is one set; ties between leaders go by digest. No side of these joins has a proven bound, so the
-large ones are hinted as sort-merge joins, at every size alike; none is hinted as broadcast, which the session's threshold alone may choose for small ones.
-Tables between steps lie in the shared folder and are deleted when they are used up.
+as names. Other columns are ignored. A text of any length is one set; ties between leaders go by digest. No side of these joins has a proven bound: the large ones are
+hinted as sort-merge joins at every size alike, and none is hinted as broadcast. Tables between steps lie in the shared folder and are deleted when they are used up.
 """
 
 from __future__ import annotations
@@ -40,9 +38,8 @@ from .common import Words, mix, remove, shingle_set, stored
 
 #: Words of a shingle, least similarity in percent, and the fraction of the hash range that the screen counts.
 WORDS, PERCENT, SCREEN = 4, 85, 0.25
-#: Members of a bucket that one tile compares with as many others, screens on whole sets, and rounds of leaders at most; a round in which fewer than one of
-#: USEFUL pairs link is the last.
-BLOCK, SCREENS, ROUNDS, USEFUL = 1024, 2, 4, 10
+#: Members of a bucket that one tile compares with as many others, and screens on whole sets.
+BLOCK, SCREENS = 1024, 2
 _K = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -266,15 +263,6 @@ def _may_link(n: Column, s: Column, m: Column, t: Column, percent: int) -> Colum
     return F.least(s, t) * (100 + percent) >= (n + m) * percent
 
 
-def _stars(rows: DataFrame, order: Column, percent: int) -> DataFrame:
-    """Pairs (a, b): each class with the first leader among those of its buckets, of another label, that it may link with. The leader of a bucket is its first
-    member by the order."""
-    lead = rows.groupBy("key").agg(F.min(order).alias("l"))
-    met = rows.join(lead.hint("merge"), "key").filter(F.col("label") != F.col("l.label"))
-    met = met.filter(_may_link(F.col("n"), F.col("s"), F.col("l.n"), F.col("l.s"), percent))
-    return met.groupBy(F.col("d").alias("a")).agg(F.min("l").alias("l")).select("a", F.col("l.d").alias("b"))
-
-
 def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, screen: float = SCREEN) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id of the component), and set_id, the digest of its set."""
     spark = docs.sparkSession
@@ -316,25 +304,16 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: i
         bucket = index.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("n").alias("nb"), F.max("s").alias("sb")).filter("lo < hi").select("key", "nb", "sb")
         index = stored(index.join(bucket.hint("merge"), "key").filter(_may_link(F.col("n"), F.col("s"), F.col("nb"), F.col("sb"), percent)).select("key", "c", "d", "n", "s"), "join-index", paths)
 
-    # 3: leaders: first those with the largest share of tokens in common with others, then others
-    central = F.struct((-F.col("s") / F.col("n")).alias("o"), "d", "n", "s", F.col("d").alias("label"))
-    edges = stored(_verified(singles.unionByName(_stars(index.withColumn("label", F.col("d")), central, percent)), whole, percent), "join-links", paths)
+    # 3: leaders, those with the largest share of tokens in common with others
+    order = F.struct((-F.col("s") / F.col("n")).alias("o"), "d", "n", "s")
+    lead = index.groupBy("key").agg(F.min(order).alias("l"))
+    stars = index.join(lead.hint("merge"), "key").filter(F.col("d") != F.col("l.d")).filter(_may_link(F.col("n"), F.col("s"), F.col("l.n"), F.col("l.s"), percent))
+    stars = stars.groupBy(F.col("d").alias("a")).agg(F.min("l").alias("l")).select("a", F.col("l.d").alias("b"))
+    edges = stored(_verified(singles.unionByName(stars), whole, percent), "join-links", paths)
     labels = components(edges, paths)
-    for r in range(1, ROUNDS + 1):
-        now = index.join(labels.withColumnRenamed("node", "d").hint("merge"), "d", "left").select("key", "c", "d", "n", "s", F.coalesce("label", "d").alias("label"))
-        mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-        now = index = stored(now.join(mixed.hint("merge"), "key"), "join-mixed", paths)
-        index = index.drop("label")
-        if now.isEmpty() or r == ROUNDS:
-            break
-        pairs = stored(_stars(now, F.struct(F.xxhash64(F.lit(r), "d").alias("o"), "d", "n", "s", "label"), percent), "join-pairs", paths)
-        more = stored(_verified(pairs, whole, percent), "join-links", paths)
-        found, tried = more.count(), pairs.count()
-        if found:
-            edges = edges.unionByName(more)
-            labels = components(edges, paths)
-        if found * USEFUL < tried:  # what is left is mostly not linked; that some labels of now are older ones costs a few comparisons
-            break
+    now = index.join(labels.withColumnRenamed("node", "d").hint("merge"), "d", "left").select("key", "c", "d", "n", "s", F.coalesce("label", "d").alias("label"))
+    mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    now = stored(now.join(mixed.hint("merge"), "key"), "join-mixed", paths)
     if not now.isEmpty():
         marks = _signed(whole.join(now.select("d").distinct().hint("merge"), "d", "left_semi"), percent)
         pairs = stored(_tiles(now.join(marks.hint("merge"), ["d", "c"]), percent), "join-pairs", paths)
