@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, license_scan, merkle, mixing, ngram_join, topk, transport_stream, urlfilter, vector_codes, warc
+from . import bpe, chat, langid, license_scan, merkle, minhash, mixing, ngram_join, topk, transport_stream, urlfilter, vector_codes, warc
 from .common import ship, stored
 
 
@@ -69,6 +69,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return vector_codes.encode(_table(spark, sf_dir, "embeddings"))
@@ -78,5 +83,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_stream, op2_mixing, op3_warc, op4_chat, op5_top_k, op6_bpe, op7_url_filter, op8_ngram_join, op9_language_id, op10_license_scan, op12_vector_codes, op13_merkle_manifest)}
-ORACLES = {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_chat": chat.SQL, "op5_top_k": topk.SQL, "op8_ngram_join": ngram_join.SQL, "op12_vector_codes": vector_codes.SQL, "op13_merkle_manifest": merkle.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_transport_stream, op2_mixing, op3_warc, op4_chat, op5_top_k, op6_bpe, op7_url_filter, op8_ngram_join, op9_language_id, op10_license_scan, op11_minhash, op12_vector_codes, op13_merkle_manifest)}
+ORACLES = {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_chat": chat.SQL, "op5_top_k": topk.SQL, "op8_ngram_join": ngram_join.SQL, "op11_minhash": minhash.SQL, "op12_vector_codes": vector_codes.SQL, "op13_merkle_manifest": merkle.SQL}
