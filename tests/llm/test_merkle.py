@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from zonewright.llm import merkle
 
-from .test_llm import DOCS, edge_docs, empty_docs
+from test_llm import DOCS, edge_docs, empty_docs
 
 
 def digest(*parts):

@@ -8,7 +8,7 @@ import pytest
 from zonewright.llm import linkage, minhash
 from zonewright.llm.common import Words, ship, shingle_set
 
-from .test_llm import DOCS, brute_join, edge_docs, empty_docs, words
+from test_llm import DOCS, brute_join, edge_docs, empty_docs, words
 
 
 @pytest.fixture(scope="module", autouse=True)
