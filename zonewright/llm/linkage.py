@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Words, mix, shingle_set, stored
 
 #: Members of a block and their tokens, at most (in the mean: the hash deals them out).
 BLOCK, TOKENS = 1024, 1 << 20
@@ -23,10 +23,39 @@ BLOCK, TOKENS = 1024, 1 << 20
 Test = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+_K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)]
+
+
 def tokens_of(x: pa.ListScalar) -> np.ndarray:
     return x.values.to_numpy().view(np.uint64)
 
 
+def digest_of(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sorted set, as two signed numbers; (0, 0) of the empty one."""
+    if not len(tokens):
+        return 0, 0
+    sums = np.array([mix(tokens ^ _K[1]).sum(dtype=np.uint64), mix(tokens * _K[2]).sum(dtype=np.uint64)], np.uint64)
+    a, b = mix(sums + np.array([len(tokens)], np.uint64) * _K[0]).view(np.int64)
+    return int(a), int(b)
+
+
+def sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """(d, a, b, t) to whole sets (d, n, tokens). A row whose text isn't the class's (an id given twice) is dropped."""
+
+    def run(batches):
+        split = Words()
+        for b in batches:
+            d, want = b.column("d").to_pylist(), list(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+            for first, arrays in split.of([x.as_py() for x in b.column("t")]):
+                rows = [(d[i], s) for i, s in enumerate((shingle_set(h, words) for h in arrays), first) if digest_of(s) == want[i]]
+                if rows:
+                    ids, sets = zip(*rows)
+                    ends = np.cumsum([0, *map(len, sets)])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))], names=["d", "n", "tokens"])
+
+    return texts.select("d", "a", "b", F.col("t").cast("binary").alias("t")).mapInArrow(run, "d long, n long, tokens array<long>")
+
+
 def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets overlap enough."""
     if len(x) > len(y):

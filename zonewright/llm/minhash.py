@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from . import ngram_join
 from .common import Words, mix, remove, shingle_set, stored
-from .linkage import components, mixed, tile_links, verified
+from .linkage import components, digest_of, mixed, sets_of, tile_links, verified
 
 #: Words of a shingle, least similarity in percent, coordinates, and collisions of a pair that is verified.
 WORDS, PERCENT, COORDINATES, MATCHES = 4, 80, 64, 30
 #: Tokens hashed at once, and passes of the screen on all coordinates.
 RUN, SCREENS = 1024, 2
-_K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA3AAACB1D1C5D7F5, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)]
+_K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA3AAACB1D1C5D7F5)]
 
 
 def _seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,15 +69,6 @@ def signatures(sets: list[np.ndarray], k: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def digest_of(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits of a sorted set, as two signed numbers; (0, 0) of the empty one."""
-    if not len(tokens):
-        return 0, 0
-    sums = np.array([mix(tokens ^ _K[2]).sum(dtype=np.uint64), mix(tokens * _K[3]).sum(dtype=np.uint64)], np.uint64)
-    a, b = mix(sums + np.array([len(tokens)], np.uint64) * _K[0]).view(np.int64)
-    return int(a), int(b)
-
-
 def smallest(percent: int) -> int:
     """The least size of a set that can link with a different one."""
     n = 1
@@ -106,23 +97,6 @@ def _signed(docs: DataFrame, ident: str, text: str, words: int, percent: int) ->
     return docs.select(F.col(ident), F.col(text).cast("binary")).mapInArrow(run, f"id {kind}, a long, b long, n long, sig array<int>")
 
 
-def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(d, a, b, t) to whole sets (d, tokens). A row whose text isn't the class's (an id given twice) is dropped."""
-
-    def run(batches):
-        split = Words()
-        for b in batches:
-            d, want = b.column("d").to_pylist(), list(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
-            for first, arrays in split.of([x.as_py() for x in b.column("t")]):
-                rows = [(d[i], s) for i, s in enumerate((shingle_set(h, words) for h in arrays), first) if digest_of(s) == want[i]]
-                if rows:
-                    ids, sets = zip(*rows)
-                    ends = np.cumsum([0, *map(len, sets)])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))], names=["d", "tokens"])
-
-    return texts.select("d", "a", "b", F.col("t").cast("binary").alias("t")).mapInArrow(run, "d long, tokens array<long>")
-
-
 def _posts(classes: DataFrame, coordinates: int) -> DataFrame:
     """(d, at, key): a posting for each of the first coordinates."""
     posts = classes.select("d", F.posexplode(F.slice("sig", 1, coordinates)).alias("at", "v"))
@@ -190,7 +164,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: i
     index = left.select("d", "n", F.explode(first).alias("p"), "sig").select("d", "n", F.col("p.own").alias("own"), (F.shiftleft(F.col("p.at").cast("long"), 32) + F.get("sig", F.col("p.at")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     index = stored(index, "minhash-index", paths)
     texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(left.select("d", "rep", "a", "b").hint("merge"), F.col("_id").eqNullSafe(F.col("rep"))).select("d", "a", "b", "t")
-    sets = stored(_sets(texts, words), "minhash-sets", paths)
+    sets = stored(sets_of(texts, words), "minhash-sets", paths)
     if not sets.groupBy("d").count().filter("count > 1").isEmpty():  # rows given twice
         sets = stored(sets.dropDuplicates(["d"]), "minhash-sets", paths)
 

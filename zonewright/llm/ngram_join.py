@@ -1,6 +1,6 @@
 r"""N-gram Jaccard join by token-combination prefixes: components of documents whose shingle sets overlap enough.
 
-Documents with equal sets are one class; all that follows is about classes, each named by a 64-bit digest of its set.
+Documents with equal sets are one class, told apart by 128-bit digests and numbered; all that follows is about classes.
 
 1. Screen. Tokens (hashed shingles) are ordered: first those that only one class has (unique), then those that exactly two have (rare), then all
    others (frequent), by hash within each. Two linked classes share a token of their prefixes of n - ceil(t n) + 1 tokens, and not
@@ -8,62 +8,66 @@ Documents with equal sets are one class; all that follows is about classes, each
    above count as frequent, so the order stays the same for all), the next ones all tokens of the classes left. What isn't unique in a class bounds its
    overlap with any other, a filter for all later pairs.
 2. Index. A rare token names its two classes: single tokens suffice for classes whose prefix ends among the rare. Where it reaches the frequent
-   tokens, the prefix is extended to the whole set and cut by hash into M token classes, and the combination of the tokens in each is indexed: two
-   linked sets differ in at most H = 15/185 of their joint size (for t = 0.85), so with M > H + E at least E + 1 combinations agree. Only sets with more than E empty
-   classes could agree in empty ones alone; those index their empty classes too. M belongs to a ladder of set sizes in steps of 1/t; linked
-   sizes are on the same or the next rung, and each set indexes both. A set leaves the buckets in which no other could overlap it enough.
-3. Verify. Within a bucket each class is first paired with one leader, and links are verified exactly on whole sets. Members of buckets that
-   then still hold more than one component are compared by signatures, a byte for each of 4 (H + 1) token classes of which linked sets differ in at most H,
-   tile by tile, and the pairs of different components that pass are verified. So a bucket of linked texts is not expanded into
-   pairs, and no link between different components is lost. What stays quadratic is a bucket of many similar texts that don't link: its
-   signatures are compared pairwise, in bounded tiles, and those pairs pass that are near the threshold.
+   tokens, tokens are dealt by hash into token classes, and the prefix is extended: a token class with c tokens of the prefix counts c - K + 1, and the prefix ends
+   where these counts reach p = n - ceil(t n) + 1. Were fewer than K tokens of each token class shared, p tokens of the shorter prefix would be missing in the other set, one
+   more than a link allows; so linked sets share K tokens of one token class, both within their prefixes, and the combinations of K tokens in each token class are indexed.
+   The number of token classes belongs to a ladder of set sizes in steps of two; a set that may link with the next rung indexes that one too. A set leaves the
+   buckets in which no other could overlap it enough.
+3. Verify. Within a bucket each class is first paired with one leader, and links are verified exactly on whole sets. Buckets that then still hold more than one
+   component are linked in tiles (see linkage): first the largest bucket of each class, which joins families at once, then all others. Candidates there are pairs of different
+   components whose signatures allow a link: a byte for each of 4 (H + 1) token classes, of which linked sets differ in at most H. So a bucket of linked texts is
+   not expanded into pairs, and no link between different components is lost. What stays quadratic is the comparison of signatures in a bucket of many similar texts that don't link.
 4. Components by contraction and pointer jumping over the links.
 
 Defined results: a null text, or one without words, has no shingles and links with nothing; shorter texts than k words are one
 shingle; equal texts are in one component; rows that repeat an id are classified by their own texts; null ids take part and lose against others
-as names. Other columns are ignored. A text of any length is one set; ties between leaders go by digest. No side of these joins has a proven bound: the large ones are
+as names. Other columns are ignored. A text of any length is one set; ties between leaders go by number. No side of these joins has a proven bound: the large ones are
 hinted as sort-merge joins at every size alike, and none is hinted as broadcast. Tables between steps lie in the shared folder and are deleted when they are used up.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mix, remove, shingle_set, stored
+from .linkage import components, digest_of, mixed, sets_of, tile_links
+from .linkage import tokens_of as _tokens
+from .linkage import verified as _verified
 
 #: Words of a shingle, least similarity in percent, and the fraction of the hash range that the screen counts.
 WORDS, PERCENT, SCREEN = 4, 85, 0.25
-#: Members of a bucket that one tile compares with as many others, and screens on whole sets.
-BLOCK, SCREENS = 1024, 2
+#: Tokens of a combination, token classes for each token that the prefix has without extension, and screens on whole sets.
+TOGETHER, SPREAD, SCREENS = 3, 1.85, 2
 _K = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
 class Ladder:
-    """Set sizes in steps of 100 / percent, with the parameters of each rung."""
+    """Set sizes in steps of two, with the parameters of each rung."""
 
     def __init__(self, percent: int = PERCENT):
-        self.percent, self.low = percent, [1]
+        self.percent, self.least = percent, 1
+        while 100 * self.least < percent * (self.least + 1):
+            self.least += 1  # smaller sets link with equal ones only
+
+    def rungs(self, n: int) -> list[int]:
+        """That of the size, and the next one if a linked set may be there."""
+        c = n.bit_length() - 1
+        return [c, c + 1] if 100 * n // self.percent >= 2 << c else [c]
 
-    def rung(self, n: int) -> int:
-        while self.low[-1] <= n:
-            self.low.append(100 * self.low[-1] // self.percent + 1)
-        return int(np.searchsorted(self.low, n, side="right")) - 1
+    def prefix(self, n: int) -> int:
+        return n - -(-self.percent * n // 100) + 1
 
     def differ(self, c: int) -> int:
         """The most tokens in which two linked sets differ whose larger one is on rung c."""
-        self.rung(100 * self.low[min(c, len(self.low) - 1)] // self.percent + 1)
-        return (200 - 2 * self.percent) * (self.low[c + 1] - 1) // (100 + self.percent)
+        return (200 - 2 * self.percent) * ((2 << c) - 1) // (100 + self.percent)
 
-    def classes(self, c: int) -> tuple[int, int]:
-        """(token classes M, empty ones E that need no index)."""
-        h = self.differ(c)
-        spare = 2 + math.ceil(0.03 * (h + 1))
-        return h + 1 + spare, spare
+    def classes(self, c: int) -> int:
+        """Token classes of a rung: few enough that every set there can extend its prefix far enough."""
+        n = max(self.least, -(-self.percent * (1 << c) // 100))
+        return max(1, min(int(SPREAD * self.prefix(n)), (n - self.prefix(n)) // (TOGETHER - 1)))
 
 
 def _sums(tokens: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,21 +78,44 @@ def _sums(tokens: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     return j[order][first], np.add.reduceat(mix(tokens ^ _K[0])[order], first)
 
 
+def _combined(hashes: np.ndarray, classes: np.ndarray, k: int) -> np.ndarray:
+    """Sums of every k hashes within one class; classes ascend."""
+    sums, last = hashes, np.arange(len(hashes))
+    for _ in range(k - 1):
+        parts, ends = [], []
+        step = 1
+        while True:
+            to = last + step
+            ok = to < len(hashes)
+            ok[ok] = classes[to[ok]] == classes[last[ok]]
+            if not ok.any():
+                break
+            parts.append(sums[ok] + hashes[to[ok]])
+            ends.append(to[ok])
+            step += 1
+        if not parts:
+            return np.empty(0, np.uint64)
+        sums, last = np.concatenate(parts), np.concatenate(ends)
+    return sums
+
+
 def combination_keys(tokens: np.ndarray, ladder: Ladder) -> tuple[np.ndarray, np.ndarray]:
-    """The index keys of a set and their rungs: one for the combination of its tokens in each token class, on its rung and the next."""
-    keys, rungs, c0 = [], [], ladder.rung(len(tokens))
-    for c in (c0, c0 + 1):
-        if not ladder.differ(c):
-            continue  # on this rung only equal sets link
-        m, spare = ladder.classes(c)
-        salt = np.array([c], np.uint64) * _K[3]
-        used, sums = _sums(tokens, m)
-        own = [mix(sums + used.astype(np.uint64) * _K[2] + salt)]
-        if m - len(used) > spare:
-            own.append(mix(np.setdiff1d(np.arange(m), used).astype(np.uint64) * _K[2] + salt + _K[1]))
-        keys += own
-        rungs.append(np.full(sum(map(len, own)), c, np.int64))
-    return (np.concatenate(keys), np.concatenate(rungs)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    """The index keys of a set (ascending tokens) and their rungs: the combinations of TOGETHER tokens in each token class of its extended prefix."""
+    keys, rungs = [], []
+    if len(tokens) < ladder.least:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    for c in ladder.rungs(len(tokens)):
+        j = (mix(tokens ^ _K[1]) % np.uint64(ladder.classes(c))).astype(np.int64)
+        order = np.argsort(j, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(j[order]) != 0))
+        place = np.empty(len(j), np.int64)
+        place[order] = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j))))  # of a token within its class
+        end = int(np.searchsorted(np.cumsum(place >= TOGETHER - 1), ladder.prefix(len(tokens)))) + 1
+        order = order[order < end]
+        own = _combined(mix(tokens[order] ^ _K[0]), j[order], TOGETHER)
+        keys.append(mix(own + np.array([c], np.uint64) * _K[3]))
+        rungs.append(np.full(len(own), c, np.int64))
+    return np.concatenate(keys), np.concatenate(rungs)
 
 
 def signature(tokens: np.ndarray, ladder: Ladder, c: int) -> bytes:
@@ -100,13 +127,6 @@ def signature(tokens: np.ndarray, ladder: Ladder, c: int) -> bytes:
     return out.tobytes()
 
 
-def digest_of(tokens: np.ndarray) -> int:
-    """Of a sorted set of tokens, signed."""
-    if not len(tokens):
-        return 0
-    return int(mix(mix(tokens ^ _K[2]).sum(dtype=np.uint64, keepdims=True) + np.array([len(tokens)], np.uint64) * _K[0]).view(np.int64)[0])
-
-
 def _lists(arrays: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
@@ -114,7 +134,7 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array
 
 
 def _screened(docs: DataFrame, ident: str, text: str, words: int, screen: float) -> DataFrame:
-    """Per row: id, digest of its set, size, and its tokens below the bound."""
+    """Per row: id, digest (a, b) of its set, size, and its tokens below the bound."""
     kind = docs.schema[ident].dataType.simpleString()
     bound = np.uint64(int(screen * 2.0**64) if screen < 1 else 2**64 - 1)
 
@@ -128,35 +148,9 @@ def _screened(docs: DataFrame, ident: str, text: str, words: int, screen: float)
                     digests.append(digest_of(s))
                     sizes.append(len(s))
                     low.append(s[: np.searchsorted(s, bound)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), _lists(low)], names=["id", "d", "n", "low"])
-
-    return docs.select(F.col(ident), F.col(text).cast("binary")).mapInArrow(run, f"id {kind}, d long, n long, low array<long>")
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in digests], pa.int64()) for k in (0, 1)), pa.array(sizes, pa.int64()), _lists(low)], names=["id", "a", "b", "n", "low"])
 
-
-def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(d, t) to whole sets (d, n, tokens). A row whose text isn't the class's (an id given twice) is dropped."""
-
-    def run(batches):
-        split = Words()
-        for b in batches:
-            want, rows, size = b.column("d").to_pylist(), [], 0
-            for first, arrays in split.of([x.as_py() for x in b.column("t")]):
-                for i, h in enumerate(arrays, first):
-                    s = shingle_set(h, words)
-                    if digest_of(s) == want[i]:
-                        rows.append((want[i], s))
-                        size += len(s)
-                if size > 1 << 20:
-                    yield batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch(rows)
-
-    def batch(rows):
-        d, t = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(map(len, t), pa.int64()), _lists(list(t))], names=["d", "n", "tokens"])
-
-    return texts.select("d", F.col("t").cast("binary").alias("t")).mapInArrow(run, "d long, n long, tokens array<long>")
+    return docs.select(F.col(ident), F.col(text).cast("binary")).mapInArrow(run, f"id {kind}, a long, b long, n long, low array<long>")
 
 
 def _index(sets: DataFrame, percent: int) -> DataFrame:
@@ -172,90 +166,30 @@ def _index(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _signed(sets: DataFrame, percent: int) -> DataFrame:
-    """(d, c, sig): each set's signatures on its rung and the next."""
+    """(d, c, sig): each set's signatures on its rungs."""
 
     def run(batches):
         ladder = Ladder(percent)
         for b in batches:
-            rows = [(d, c, signature(t, ladder, c)) for d, t in ((d.as_py(), _tokens(x)) for d, x in zip(b.column("d"), b.column("tokens"))) for c in (ladder.rung(len(t)), ladder.rung(len(t)) + 1)]
+            rows = [(d, c, signature(t, ladder, c)) for d, t in ((d.as_py(), _tokens(x)) for d, x in zip(b.column("d"), b.column("tokens"))) for c in ladder.rungs(len(t))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["d", "c", "sig"])
 
     return sets.select("d", "tokens").mapInArrow(run, "d long, c long, sig binary")
 
 
-def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different labels, whose signatures allow a link. Buckets beyond BLOCK members are cut into blocks and tiles."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "key").withColumn("at", F.pmod(F.xxhash64("d", F.lit(11)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "d", "n", "s", "label", "sig")
-
-    def pairs(table: pa.Table) -> pa.Table:
-        d, n, s, label, at = (table.column(c).to_numpy() for c in ("d", "n", "s", "label", "at"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(d), -1)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        out_a, out_b = [], []
-        for x in left:
-            y = right[(label[right] != label[x]) & ((right > x) if i == j else True)]
-            y = y[np.minimum(s[y], s[x]) * (100 + percent) >= (n[y] + n[x]) * percent]
-            if len(y):
-                y = y[(sig[y] != sig[x]).sum(1) * (100 + percent) <= (200 - 2 * percent) // 2 * (n[y] + n[x])]
-                out_a.append(np.full(len(y), d[x]))
-                out_b.append(d[y])
-        a, b = (np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
-
+def _test(percent: int):
+    """Candidates of a tile: what isn't unique in the two allows a link, and so do the signatures."""
 
-def _tokens(x: pa.ListScalar) -> np.ndarray:
-    return x.values.to_numpy().view(np.uint64)
+    def test(t, x, y):
+        n, s, sig = t["n"], t["s"], t["sig"]
+        fits = np.minimum(s[y], s[x]) * (100 + percent) >= (n[y] + n[x]) * percent
+        x, y = x[fits], y[fits]
+        other = (sig[y] != sig[x]).sum(1)
+        keep = other * (100 + percent) <= (200 - 2 * percent) // 2 * (n[y] + n[x])
+        return x[keep], y[keep], -other[keep] / (n[y] + n[x])[keep]
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that link, by exact intersection of whole sets."""
-    s = sets.select("d", "tokens")
-    both = pairs.hint("merge").join(s.select(F.col("d").alias("a"), F.col("tokens").alias("ta")), "a").hint("merge").join(s.select(F.col("d").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("ta"), b.column("tb")):
-                x, y = _tokens(x), _tokens(y)
-                if len(x) > len(y):
-                    x, y = y, x
-                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def components(edges: DataFrame, paths: list[str]) -> DataFrame:
-    """(node, label) of all nodes with an edge; the label is a node of the component, the same for all of it.
-
-    Each round maps every node to its smallest neighbour, follows those pointers to their ends and contracts the graph; a component loses
-    at least half of its nodes a round, however long its paths or large its stars are.
-    """
-    e = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "cc-edges", paths)
-    labels = None
-    while not e.isEmpty():
-        f = stored(e.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")), "cc-to", paths)
-        while True:
-            g = f.select(F.col("a").alias("c"), F.col("to").alias("next"))
-            f2 = stored(f.join(g, F.col("to") == F.col("c")).select("a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "cc-to", paths)
-            f = f2.select("a", "to")
-            if f2.filter("moved").isEmpty():
-                break
-        g = f.select(F.col("a").alias("c"), F.col("to").alias("next"))
-        labels = f.select(F.col("a").alias("node"), F.col("to").alias("label")) if labels is None else stored(labels.join(g, F.col("label") == F.col("c"), "left").select("node", F.coalesce("next", "label").alias("label")), "cc-labels", paths)
-        e = e.join(g, F.col("a") == F.col("c")).select(F.col("next").alias("a"), "b").join(g, F.col("b") == F.col("c")).select("a", F.col("next").alias("b"))
-        e = stored(e.filter("a <> b").distinct(), "cc-edges", paths)
-    if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
-    return labels
+    return test
 
 
 def _may_link(n: Column, s: Column, m: Column, t: Column, percent: int) -> Column:
@@ -264,21 +198,22 @@ def _may_link(n: Column, s: Column, m: Column, t: Column, percent: int) -> Colum
 
 
 def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, screen: float = SCREEN) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id of the component), and set_id, the digest of its set."""
+    """Per row: id, n_shingles, component_id (the smallest id of the component), and set_id, the number of its class (null without shingles)."""
     spark = docs.sparkSession
     paths: list[str] = []
-    rows = stored(_screened(docs, ident, text, words, screen), "join-rows")
-    table = rows.select("id", "d", "n")
-    full = table.filter("n > 0")
+    rows = stored(_screened(docs, ident, text, words, screen), "join-rows", paths)
+    known = rows.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"))
+    known = stored(known.withColumn("d", F.monotonically_increasing_id()), "join-classes", paths)
+    table = stored(rows.select("id", "a", "b", "n"), "join-table")
 
     # 1: the screen
-    tokens = rows.select(F.explode("low").alias("token"), "d").groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    tokens = known.select(F.explode("low").alias("token"), "d").groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     unique = tokens.filter("lo = hi").groupBy(F.col("lo").alias("d")).agg(F.count("*").alias("u"))
-    sets = full.groupBy("d").agg(F.min("id").alias("rep"), F.first("n").alias("n")).join(unique, "d", "left")
     prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
-    left = stored(sets.filter(F.coalesce("u", F.lit(0)) < prefix).select("d", "rep"), "join-left", paths)
-    texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(left.hint("merge"), F.col("_id").eqNullSafe(F.col("rep"))).select("d", "t")
-    whole = stored(_sets(texts, words), "join-sets", paths)
+    left = known.select("d", "rep", "a", "b", "n").join(unique.hint("merge"), "d", "left").filter(F.coalesce("u", F.lit(0)) < prefix)
+    left = stored(left.select("d", "rep", "a", "b"), "join-left", paths)
+    texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("t")).join(left.hint("merge"), F.col("_id").eqNullSafe(F.col("rep"))).select("d", "a", "b", "t")
+    whole = stored(sets_of(texts, words), "join-sets", paths)
     if not whole.groupBy("d").count().filter("count > 1").isEmpty():  # rows given twice
         whole = stored(whole.dropDuplicates(["d"]), "join-sets", paths)
 
@@ -304,29 +239,33 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: i
         bucket = index.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("n").alias("nb"), F.max("s").alias("sb")).filter("lo < hi").select("key", "nb", "sb")
         index = stored(index.join(bucket.hint("merge"), "key").filter(_may_link(F.col("n"), F.col("s"), F.col("nb"), F.col("sb"), percent)).select("key", "c", "d", "n", "s"), "join-index", paths)
 
-    # 3: leaders, those with the largest share of tokens in common with others
+    # 3: leaders, those with the largest share of tokens in common with others; then tiles of the largest buckets, then of all
     order = F.struct((-F.col("s") / F.col("n")).alias("o"), "d", "n", "s")
     lead = index.groupBy("key").agg(F.min(order).alias("l"))
     stars = index.join(lead.hint("merge"), "key").filter(F.col("d") != F.col("l.d")).filter(_may_link(F.col("n"), F.col("s"), F.col("l.n"), F.col("l.s"), percent))
     stars = stars.groupBy(F.col("d").alias("a")).agg(F.min("l").alias("l")).select("a", F.col("l.d").alias("b"))
     edges = stored(_verified(singles.unionByName(stars), whole, percent), "join-links", paths)
     labels = components(edges, paths)
-    now = index.join(labels.withColumnRenamed("node", "d").hint("merge"), "d", "left").select("key", "c", "d", "n", "s", F.coalesce("label", "d").alias("label"))
-    mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    now = stored(now.join(mixed.hint("merge"), "key"), "join-mixed", paths)
-    if not now.isEmpty():
+    for largest in (True, False):
+        now = mixed(index, labels, paths)
+        if now.isEmpty():
+            break
+        if largest:
+            sizes = now.groupBy("key").agg(F.count("*").alias("m"))
+            best = now.select("key", "d").join(sizes.hint("merge"), "key").groupBy("d").agg(F.max_by("key", F.struct("m", "key")).alias("key")).select("key").distinct()
+            now = now.join(best.hint("merge"), "key", "left_semi")
         marks = _signed(whole.join(now.select("d").distinct().hint("merge"), "d", "left_semi"), percent)
-        pairs = stored(_tiles(now.join(marks.hint("merge"), ["d", "c"]), percent), "join-pairs", paths)
-        more = stored(_verified(pairs, whole, percent), "join-links", paths)
+        more = stored(tile_links(now.join(marks.hint("merge"), ["d", "c"]).drop("c"), whole, _test(percent), percent, paths), "join-links", paths)
         if not more.isEmpty():
-            labels = components(edges.unionByName(more), paths)
+            edges = edges.unionByName(more)
+            labels = components(edges, paths)
 
     # 4: names
-    reps = full.groupBy("d").agg(F.min("id").alias("rep")).join(labels.withColumnRenamed("node", "d"), "d", "left").withColumn("label", F.coalesce("label", "d"))
-    names = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    names = stored(reps.join(names, "label").select("d", "component_id"), "join-names")
+    names = known.select("a", "b", "d", "rep").join(labels.withColumnRenamed("node", "d").hint("merge"), "d", "left").withColumn("label", F.coalesce("label", "d"))
+    least = names.groupBy("label").agg(F.min("rep").alias("component_id"))
+    names = stored(names.join(least, "label").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d", "component_id"), "join-names")
     remove(spark, *paths)
-    out = table.join(names.withColumnRenamed("d", "_d"), (F.col("n") > 0) & (F.col("d") == F.col("_d")), "left")
+    out = table.join(names, (F.col("n") > 0) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
     return out.select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("d").alias("set_id"))
 
 
