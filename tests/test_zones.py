@@ -1,5 +1,9 @@
 """Published vectors and hand-computed rows for the zone kernels."""
 
+import itertools
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +234,59 @@ def test_the_budget_ends_the_damaged_search(spark):
     assert scan.scan(rows, budget=5).first().exhausted is True
 
 
+def every_reading_tried(lines):
+    """The damaged search by trying all readings of all shapes."""
+    hits = []
+    shapes = [(TD1, i, lost, k) for i in range(len(lines) - 2) for lost in (True, False) for k in range(3)]
+    shapes += [(f, i, lost, k) for i in range(len(lines) - 1) for f in scan.DAMAGED_ORDER for lost in (True, False) for k in range(2)]
+    for f, i, lost, k in shapes:
+        choices = [scan.damaged_readings(x, f, n, lost) if n == k else scan.readings(x, f, n) for n, x in enumerate(lines[i : i + f.lines])]
+        hits += [(f, x) for x in itertools.product(*choices) if x[0][0] in f.first and scan.score(x, f) == 5 and scan._real(f, x)]
+    return hits[0] if hits and len({scan._identity(*h) for h in hits}) == 1 else None
+
+
+def random_zone(rng, f):
+    """A valid zone with letters that repairs look at, and sometimes a long number."""
+    day = lambda: f"{rng.randrange(100):02d}{rng.randrange(1, 13):02d}{rng.randrange(1, 29):02d}"
+    number, data = ("".join(rng.choice(x) for _ in range(n)) for x, n in (("0123456789ABKLO", rng.choice([7, 9])), ("0123ABKL<", rng.choice([0, 5, 7]))))
+    names, number, sex = rng.choice(["SPECIMEN<<TEST", "KLARK<<LILL", "A<<B"]), number.ljust(9, "<"), rng.choice("MF<")
+    if f is TD1:
+        long = number.replace("<", "1") + "12"
+        first = f"I<UTO{long[:9]}<{with_digit(long)[9:].ljust(15, '<')}" if rng.random() < 0.3 else f"I<UTO{with_digit(number)}{data.ljust(15, '<')}"
+        body = f"{with_digit(day())}{sex}{with_digit(day())}UTO{'<' * 11}"
+        return [first, body + with_digit(first[5:30] + body[:7] + body[8:15] + body[18:29])[-1], names.ljust(30, "<")]
+    first = {"Td3": "P", "Td2": "I", "MrvA": "V", "MrvB": "V"}[f.name] + "<UTO" + names.ljust(f.width - 5, "<")
+    body = f"{with_digit(number)}UTO{with_digit(day())}{sex}{with_digit(day())}"
+    body += with_digit(data.ljust(14, "<")) if f is TD3 else data[: f.width - 29 if f.composite else f.width - 28].ljust(f.width - (29 if f.composite else 28), "<")
+    return [first, body + with_digit(body[:10] + body[13:20] + body[21:43])[-1] if f.composite else body]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_residues_leave_what_trying_all_readings_finds(seed):
+    rng, found = random.Random(seed), 0
+    for _ in range(60):
+        f = rng.choice(list(FORMATS.values()))
+        lines = random_zone(rng, f)
+        assert scan.search("\n".join(lines))[2] is False
+        k, at = rng.randrange(f.lines), rng.randrange(f.width)
+        if rng.random() < 0.5:
+            lines[k] = lines[k][:at] + lines[k][at + 1 :]
+        else:
+            places = [i for i, c in enumerate(lines[k]) if c in scan.ALTERNATIVES]
+            at = rng.choice(places)
+            lines[k] = lines[k][:at] + rng.choice(scan.ALTERNATIVES[lines[k][at]]) + lines[k][at + 1 :]
+        got, exhausted = scan.damaged(lines)
+        assert got == every_reading_tried(lines) and not exhausted
+        found += got is not None
+    assert found
+
+
+def test_a_page_of_zone_lines_is_searched_to_its_end():
+    lines = [f"{L1[:5]}{chr(65 + i)}{L1[6:]}" for i in range(26)] + [L2[:8] + L2[9:]]
+    began = time.monotonic()
+    assert scan.damaged(lines)[1] is False and time.monotonic() - began < 20
+
+
 def test_line_repairs(spark):
     r = one(spark, ck.letterize(F.lit("0I2S")), ck.defiller(F.lit("AKKLKXKK<K")), ck.aggressive_defiller(F.lit("ABK<KL<<K")), ck.fix_doc_code(F.lit("PKUTO")), ck.fix_name_separator(F.lit("SMITHKKJOHN<<")), ck.longest_filler_run(F.lit("A<<B<<<C<")))
     assert list(r)[:5] == ["OIZS", "A<<<<X<<<<", "AB<<<<<<<", "P<UTO", "SMITH<<JOHN<<"]

@@ -2,7 +2,7 @@
 
 A ranked search with an early exit: formats in a fixed order, start lines from the top, readings of each line from the likeliest on; the first
 reading whose checks all hold wins, else the one with the most checks, the earliest of equals. If none holds but one was found, lines with one lost or
-confused character are searched, and an answer counts only if all answers agree. Catalyst has no early exit, so the search itself runs on Arrow
+confused character are searched among the readings that the check digits leave (see damage), and an answer counts only if all answers agree. Catalyst has no early exit, so the search itself runs on Arrow
 batches; a native filter in front drops texts without any line of a zone's shape, and the winning lines are parsed by the native parser.
 """
 
@@ -21,11 +21,13 @@ from ..functions.checksum import DIGIT_FROM, DIGIT_TO, LETTER_FROM, LETTER_TO, W
 from ..functions.dates import PIVOT
 from ..functions.normalize import trim
 from ..schemas import ALPHABET, FORMATS, MRV_A, MRV_B, TD1, TD2, TD3, Layout
+from ..shipping import ship
+from .damage import Damaged, Line
 from .parse import all_valid, parse_by_format
 from .solve import ALTERNATIVES
 
-#: Format order of the search, how far below a line the next may stand, and readings the damaged search may try in a text.
-ORDER, REACH, BUDGET = (TD3, MRV_B, MRV_A, TD1, TD2), 3, 200_000
+#: Format order of the search, and how far below a line the next may stand.
+ORDER, REACH = (TD3, MRV_B, MRV_A, TD1, TD2), 3
 DAMAGED_ORDER = (TD3, MRV_A, TD2, MRV_B)
 _DIGITS, _LETTERS, _UPPER = str.maketrans(DIGIT_FROM, DIGIT_TO), str.maketrans(LETTER_FROM, LETTER_TO), str.maketrans({chr(c): chr(c - 32) for c in range(97, 123)})
 _VALUE = {c: i % 36 for i, c in enumerate(ALPHABET)}
@@ -209,33 +211,55 @@ def _identity(f: Layout, lines: tuple[str, ...]) -> tuple:
     return at(f.number).rstrip("<"), at(f.birth), at(f.expiry), surname.replace("<", " ").strip(), given.replace("<", " ").strip(), at(f.nationality).rstrip("<")
 
 
-def damaged(lines: list[str], budget: int = BUDGET) -> tuple[tuple[Layout, tuple[str, ...]] | None, bool]:
-    """Adjacent lines of which one is damaged: the zone, None unless all valid readings tried name the same person and document; and whether the budget ended
-    the search before all readings were tried (then unanimity is that of the readings tried, by definition)."""
+@lru_cache(1 << 10)
+def _undamaged(raw: str, f: Layout, line: int) -> Line:
+    return Line(f, line, [x for x in readings(raw, f, line) if line or x[0] in f.first])
+
+
+@lru_cache(1 << 10)
+def _damaged(raw: str, f: Layout, line: int, lost: bool) -> Damaged | None:
+    n = normal(raw)
+    return Damaged(n, f, line, lost, repaired) if len(n) == f.width - lost and _LEGAL.fullmatch(n) else None
+
+
+def damaged(lines: list[str], budget: int | None = None) -> tuple[tuple[Layout, tuple[str, ...]] | None, bool]:
+    """Adjacent lines of which one is damaged: the zone, None unless all valid readings name the same person and document; and whether a budget, if one is set,
+    ended the search (unanimity is that of the readings tried, then). Only readings that the check digits leave are tried, so no budget is needed."""
 
     def shapes():
         for i in range(len(lines) - 2):
             for lost in (True, False):
                 for k in range(3):
-                    yield TD1, [damaged_readings(x, TD1, n, lost) if n == k else readings(x, TD1, n) for n, x in enumerate(lines[i : i + 3])]
+                    yield TD1, i, k, lost
         for i in range(len(lines) - 1):
             for f in DAMAGED_ORDER:
                 for lost in (True, False):
                     for k in range(2):
-                        yield f, [damaged_readings(x, f, n, lost) if n == k else readings(x, f, n) for n, x in enumerate(lines[i : i + 2])]
-
-    hits: list[tuple[Layout, tuple[str, ...]]] = []
-    exhausted = False
-    for f, choices in shapes():
-        choices[0] = [x for x in choices[0] if x[0] in f.first]
-        for x in product(*choices):
-            if not budget:
-                exhausted = True
-                break
-            budget -= 1
-            if score(x, f) == 5 and _real(f, x):
-                hits.append((f, x))
-    return (hits[0] if hits and len({_identity(*h) for h in hits}) == 1 else None), exhausted
+                        yield f, i, k, lost
+
+    first, names = None, set()
+    for n, (f, i, k, lost) in enumerate(shapes()):
+        places = _damaged(lines[i + k], f, k, lost)
+        if places is None:
+            continue
+        others = [_undamaged(lines[i + line], f, line) for line in range(f.lines) if line != k]
+        for chosen in product(*(range(len(o.readings)) for o in others)):
+            if budget is not None:
+                if budget < len(places.rows):
+                    return (first and first[1:] if len(names) == 1 else None), True
+                budget -= len(places.rows)
+            for rank, reading in places.fitting(list(zip(others, chosen))):
+                x = [o.readings[c] for o, c in zip(others, chosen)]
+                x.insert(k, reading)
+                if x[0][0] not in f.first or score(tuple(x), f) != 5 or not _real(f, tuple(x)):
+                    continue
+                order = (n, *chosen[:k], rank, *chosen[k:])
+                names.add(_identity(f, tuple(x)))
+                if len(names) > 1:
+                    return None, False
+                if first is None or order < first[0]:
+                    first = (order, f, tuple(x))
+    return (first and first[1:]), False
 
 
 def find(text: str) -> tuple[Layout, tuple[str, ...], bool] | None:
@@ -244,8 +268,8 @@ def find(text: str) -> tuple[Layout, tuple[str, ...], bool] | None:
     return found and found[:3]
 
 
-def search(text: str | None, budget: int = BUDGET) -> tuple[Layout, tuple[str, ...], bool, bool] | None:
-    """As find(), and whether the damaged search ran out of its budget."""
+def search(text: str | None, budget: int | None = None) -> tuple[Layout, tuple[str, ...], bool, bool] | None:
+    """As find(), and whether the damaged search ran out of a budget, if one is set."""
     if text is None:
         return None
     lines = text_lines(text)
@@ -269,9 +293,10 @@ def may_hold_zone(text: Column) -> Column:
     return F.coalesce(F.exists(F.split(t, r"\r?\n"), shaped) | F.exists(F.split(t, r"(?U)\s+"), shaped), F.lit(False))
 
 
-def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pivot: int = PIVOT, budget: int = BUDGET) -> DataFrame:
-    """Adds zone_format, mrz_lines, repaired (whether the damaged search found it), exhausted (whether that search ended at its budget), mrz and error (kind
+def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pivot: int = PIVOT, budget: int | None = None) -> DataFrame:
+    """Adds zone_format, mrz_lines, repaired (whether the damaged search found it), exhausted (whether that search ended at a budget of places, if one is set), mrz and error (kind
     NotFound where there is none). One pass: a text without any line of a zone's shape reaches Python as null."""
+    ship(df.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     names = [*keep, "zone_format", "mrz_lines", "repaired", "exhausted"]
 

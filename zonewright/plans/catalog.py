@@ -800,3 +800,6 @@ def stream_rates(spark, sf_dir):
     return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "documents", "valid")
 
 
+
+
+from . import repair_queries  # noqa: E402, F401  its queries are registered as it is imported
