@@ -802,4 +802,4 @@ def stream_rates(spark, sf_dir):
 
 
 
-from . import repair_queries  # noqa: E402, F401  its queries are registered as it is imported
+from . import repair_queries, stream_queries  # noqa: E402, F401  their queries are registered as they are imported
