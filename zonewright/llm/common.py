@@ -79,13 +79,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, paths: list[str] | None = None, codec: str = "zstd") -> DataFrame:
+#: Rows of a file of a table whose size is known before it is written.
+FILE_ROWS = 100_000
+
+
+def stored(df: DataFrame, name: str, paths: list[str] | None = None, codec: str = "zstd", rows: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor costs a reread only.
 
-    paths, if given, gets the path, for remove().
+    paths, if given, gets the path, for remove(). rows, if given, is the most that df can have: it is written in as few files as that asks for, not one per shuffle partition.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", codec).parquet(path)
     if paths is not None:
         paths.append(path)

@@ -19,6 +19,8 @@ from .common import Words, mix, shingle_set, stored
 
 #: Members of a block and their tokens, at most (in the mean: the hash deals them out).
 BLOCK, TOKENS = 1024, 1 << 20
+#: Pairs of a tile that are tested at once.
+PAIRS = 1 << 14
 #: A test of candidates: (table, rows x, rows y) to (x, y, likeness), for row numbers x of one block and y of the other.
 Test = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -85,20 +87,22 @@ def components(edges: DataFrame, paths: list[str]) -> DataFrame:
     Each round maps every node to its smallest neighbour, follows those pointers to their ends and contracts the graph; a component loses
     at least half of its nodes a round, however long its paths or large its stars are.
     """
-    e = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "cc-edges", paths)
+    most = 2 * edges.count()  # of edges and nodes
+    keep = lambda df, name: stored(df, name, paths, rows=most)
+    e = keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "cc-edges")
     labels = None
     while not e.isEmpty():
-        f = stored(e.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")), "cc-to", paths)
+        f = keep(e.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")), "cc-to")
         while True:
             g = f.select(F.col("a").alias("c"), F.col("to").alias("next"))
-            f2 = stored(f.join(g, F.col("to") == F.col("c")).select("a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "cc-to", paths)
+            f2 = keep(f.join(g, F.col("to") == F.col("c")).select("a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "cc-to")
             f = f2.select("a", "to")
             if f2.filter("moved").isEmpty():
                 break
         g = f.select(F.col("a").alias("c"), F.col("to").alias("next"))
-        labels = f.select(F.col("a").alias("node"), F.col("to").alias("label")) if labels is None else stored(labels.join(g, F.col("label") == F.col("c"), "left").select("node", F.coalesce("next", "label").alias("label")), "cc-labels", paths)
+        labels = f.select(F.col("a").alias("node"), F.col("to").alias("label")) if labels is None else keep(labels.join(g, F.col("label") == F.col("c"), "left").select("node", F.coalesce("next", "label").alias("label")), "cc-labels")
         e = e.join(g, F.col("a") == F.col("c")).select(F.col("next").alias("a"), "b").join(g, F.col("b") == F.col("c")).select("a", F.col("next").alias("b"))
-        e = stored(e.filter("a <> b").distinct(), "cc-edges", paths)
+        e = keep(e.filter("a <> b").distinct(), "cc-edges")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
     return labels
@@ -134,12 +138,15 @@ def _candidates(t: pa.Table, columns: list[str], test: Test) -> tuple[np.ndarray
     outside = labels != names[counts.argmax()]
     out = []
     left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-    for x in np.flatnonzero(outside):
-        other = right if at[x] == i else left
-        y = other[labels[other] != labels[x]]
-        y = y[~outside[y] | (y > x)]  # each pair once
-        if len(y):
-            out.append(test(a, np.full(len(y), x), y))
+    mine = np.flatnonzero(outside)
+    step = max(1, PAIRS // max(1, len(left), len(right)))
+    for other, xs in ((right, mine[at[mine] == i]), (left, mine[at[mine] != i])):
+        for k in range(0, len(xs), step):
+            run = xs[k : k + step]
+            x, y = np.repeat(run, len(other)), np.tile(other, len(run))
+            ok = (labels[x] != labels[y]) & (~outside[y] | (y > x))  # each pair once
+            if ok.any():
+                out.append(test(a, x[ok], y[ok]))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return tuple(np.concatenate(c) for c in zip(*out))
