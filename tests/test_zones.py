@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from zonewright.functions import checksum as ck
 from zonewright.functions import dates, names, normalize, text
 from zonewright.functions.countries import POOL, Countries
-from zonewright.operators import evaluate, fuse, ocr_lines, parse, scan, solve
+from zonewright.operators import bands, evaluate, fuse, ocr_lines, parse, scan, solve
 from zonewright.schemas import FORMATS, TD1, TD2, TD3
 
 P1, P2 = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
@@ -281,6 +281,44 @@ def test_residues_leave_what_trying_all_readings_finds(seed):
     assert found
 
 
+def test_clean_zones_are_what_the_search_finds_first(spark):
+    """Zones among other lines, far apart, merged, misread, shortened: what is found natively equals the search, and most clean ones never reach it."""
+    rng, rows, clean = random.Random(4), [], 0
+    for i in range(300):
+        f = rng.choice(list(FORMATS.values()))
+        lines = random_zone(rng, f)
+        how = rng.randrange(8)
+        if how == 1:
+            lines.insert(1, "some words")
+        elif how == 2:
+            lines = ["Republic", "", *lines, "", "end"]
+        elif how == 3:
+            lines = [" ".join(lines)]
+        elif how == 4:
+            k = rng.randrange(f.lines)
+            lines[k] = lines[k].replace(rng.choice("0158"), rng.choice("OISB"))
+        elif how == 5:
+            lines = [*random_zone(rng, rng.choice(list(FORMATS.values()))), *lines]
+        elif how == 6:
+            lines[-1] = lines[-1][: rng.randrange(10, len(lines[-1]))]
+        elif how == 7:
+            lines = [x.lower().replace("<", "&lt;") for x in lines] if rng.random() < 0.5 else [f"{x[:9]} \x1f{x[9:]}" for x in lines]
+        rows.append((i, rng.choice(["\n", "\r\n"]).join(lines)))
+    rows += [(1000, None), (1001, ""), (1002, "P<" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r for r in bands.with_clean_zones(df, "text").collect()}
+    for i, t in rows:
+        want = scan.search(t)
+        if left[i]._format:
+            assert want[2] is False and (want[0].name, list(want[1])) == (left[i]._format, left[i]._lines), t
+            clean += 1
+        else:
+            assert left[i]._text == t or want is None, t
+    assert clean > 60
+    got = {r.doc_id: (r.zone_format, r.mrz_lines, r.repaired) for r in scan.scan(df).collect()}
+    assert got == {i: ((x[0].name, list(x[1]), x[2]) if (x := scan.search(t)) else (None, None, False)) for i, t in rows}
+
+
 def test_a_page_of_zone_lines_is_searched_to_its_end():
     lines = [f"{L1[:5]}{chr(65 + i)}{L1[6:]}" for i in range(26)] + [L2[:8] + L2[9:]]
     began = time.monotonic()

@@ -25,11 +25,11 @@ def let(value: Column, body) -> Column:
 
 def ascii_upper(c: Column) -> Column:
     """a-z to A-Z; any other letter stays, so that it is still an illegal one."""
-    return F.translate(c, LOWER, UPPER)
+    return F.when(c.rlike("[a-z]"), F.translate(c, LOWER, UPPER)).otherwise(c)
 
 
 def rtrim_filler(c: Column) -> Column:
-    return F.regexp_replace(c, r"<+\z", "")
+    return F.rtrim(c, F.lit("<"))
 
 
 def is_mrz_charset(c: Column) -> Column:
@@ -44,8 +44,8 @@ def char_value(ch: Column) -> Column:
 def check_digit(c: Column, width: int | None = None) -> Column:
     """The 7-3-1 sum modulo 10; null if a character has no value; 0 for an empty field.
 
-    With a known width the characters become their values' last digits, up to 18 of them one number, and the sum is arithmetic on
-    that number's digits, in generated code; otherwise it is an aggregate over positions.
+    With a known width the characters become their values' last digits, up to 18 of them one number, and each three places of that number are one look
+    into a table of a thousand sums; otherwise it is an aggregate over positions.
     """
     if width is None:
         at = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c))).otherwise(F.array().cast("array<int>"))
@@ -54,19 +54,20 @@ def check_digit(c: Column, width: int | None = None) -> Column:
         return F.when(is_mrz_charset(c), total % 10)
     if not width:
         return F.when(is_mrz_charset(c), 0)
-    digits = F.rpad(F.translate(c, ALPHABET, RESIDUES), width, "0")
+    digits = F.rpad(F.when(c.rlike(r"\A[0-9]*\z"), c).otherwise(F.translate(c, ALPHABET, RESIDUES)), -(-width // 3) * 3, "0")
     parts = []
     for start in range(0, width, PLACES):
-        n = min(PLACES, width - start)
+        n = min(PLACES, -(-(width - start) // 3) * 3)
         number = F.substring(digits, start + 1, n).try_cast("long")
-        parts.append(number_sum(number, n, start) if width <= PLACES else let(number, lambda v: number_sum(v, n, start)))  # noqa: B023
+        parts.append(let(number, lambda v: number_sum(v, n)))  # noqa: B023  once, in interpreted contexts too
     return ((reduce(add, parts) % 10).cast("int") + F.when(is_mrz_charset(c), 0)).cast("int")
 
 
-def number_sum(number: Column, places: int, start: int) -> Column:
-    """The weighted sum of a number's decimal places, of which the first is character `start` of its field."""
-    at = lambda i: F.call_function("div", number, F.lit(10 ** (places - 1 - i))) % 10
-    return reduce(add, (reduce(add, group) * w for w, group in ((w, [at(i) for i in range(places) if (start + i) % 3 == k]) for k, w in enumerate(WEIGHTS)) if group))
+def number_sum(number: Column, places: int) -> Column:
+    """The weighted sum of a number's decimal places, a multiple of three of them, of which the first has the first weight."""
+    table = F.from_json(F.lit(str([sum(w * int(d) for w, d in zip(WEIGHTS, f"{i:03d}")) for i in range(1000)])), "array<int>")  # folded into one literal
+    of = lambda k: F.call_function("div", number, F.lit(10**k)) if k else number
+    return reduce(add, (F.get(table, ((of(k) % 1000) if k < places - 3 else of(k)).cast("int")) for k in range(places - 3, -1, -3)))
 
 
 def verify(c: Column, digit: Column, width: int | None = None) -> Column:

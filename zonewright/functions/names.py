@@ -48,7 +48,7 @@ def _mapped(c: Column, style: str) -> Column:
 
 def transliterate(c: Column, style: str = EXPANDED) -> Column:
     """Full upper case, then the table; characters that it lacks stay."""
-    return _mapped(F.upper(c), style)
+    return let(F.upper(c), lambda u: F.when(u.rlike(r"[^\x00-\x7F]"), _mapped(u, style)).otherwise(u))
 
 
 def variants_of(ch: Column) -> Column:

@@ -1,0 +1,73 @@
+"""Zones that stand clean in their text, found without leaving the JVM.
+
+The lines of a text become a band: each normalized line of a zone line's shape, others empty. A band that is nothing but a format's lines, as wide as they must be, no farther apart than
+the search allows and with nothing in them that the repairs would touch, has that zone as its first candidate in the search's order; if its checks hold it is the answer, and no
+other reading need be looked at. Lines stay in their row: no shuffle, and each pattern is one match on the band.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.checksum import DIGIT_FROM, LETTER_FROM, normalize_line
+from ..schemas import ALPHABET, FORMATS, TD2, Layout
+from .parse import checks
+
+#: Letters that begin a line 1 of formats that are searched before cards of three lines.
+EARLIER = "PV"
+#: White space and controls on which two engines may differ: texts with them are left to the full search.
+ODD = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\xA0\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u206F\u3000\uFEFF]"
+
+
+def _line(f: Layout, line: int) -> str:
+    """The pattern of a line that no repair of its format changes."""
+    drop = {"digit": DIGIT_FROM, "letter": LETTER_FROM, "filler": "KL", "name": ""}
+    out, name = [], None
+    for i in range(f.width):
+        kinds = [kind for a, b, kind in f.repairs[line] if a <= i < (f.width if kind == "name" else b)]
+        allowed = ALPHABET if line or i else f.first
+        for k in kinds:
+            allowed = "".join(c for c in allowed if c not in drop[k])
+        if line == 0 and i == 1:
+            allowed = allowed.replace("K", "")
+        if "name" in kinds and name is None:
+            name = i
+            out.append(r"(?![^\n]*[KL][KL<]{3})(?:(?=[^\n]*<<[A-Z0-9])|(?![^\n]*KK))")
+        out.append(f"[{allowed}]")
+    head = rf"(?![{EARLIER}])" if f.lines == 3 and line == 1 else ""
+    return head + "".join(out)
+
+
+def pattern(f: Layout) -> str:
+    between = r"\n" if f is TD2 else r"\n{1,3}"
+    return r"\A\n*" + between.join(_line(f, k) for k in range(f.lines)) + r"\n*\z"
+
+
+def band(text: Column) -> Column:
+    """A text's lines, or long tokens of merged lines, as the search sees them: normalized where they have a zone line's shape, else empty."""
+    tokens = lambda x: F.filter(F.split(x, r"\s+"), lambda t: F.octet_length(t) >= 20)
+    pieces = F.flatten(F.transform(F.split(F.replace(text, F.lit("&lt;"), F.lit("<")), r"\r?\n"), lambda x: F.when(x.rlike(r"\S{5,}\s+\S{5,}") & (F.size(tokens(x)) >= 2), tokens(x)).otherwise(F.array(x))))
+    plain = lambda x: x.rlike(r"\A[A-Z0-9<]*\z")
+    shaped = lambda x: F.when(x.rlike(r"\A[A-Z0-9<]{16,94}\z"), x).otherwise("")
+    return F.array_join(F.transform(pieces, lambda x: F.when(plain(x), shaped(x)).otherwise(shaped(normalize_line(x)))), "\n")
+
+
+def with_clean_zones(df: DataFrame, text: str) -> DataFrame:
+    """Adds _format and _lines of a clean zone whose checks hold, and _text, what is left to search: null where there is one, or no line of a zone's shape."""
+    odd = F.col(text).rlike(ODD)
+    out = df.withColumn("_band", F.when(~odd, band(F.col(text))))
+    name = F.lit(None).cast("string")
+    for f in FORMATS.values():
+        name = F.when(F.col("_band").rlike(pattern(f)), f.name).otherwise(name)
+    out = out.withColumn("_shape", name).withColumn("_cut", F.split(F.regexp_replace("_band", r"\A\n+|\n+\z", ""), r"\n+"))
+    good = F.lit(False)
+    for f in FORMATS.values():
+        own = checks([F.get("_cut", F.lit(k)) for k in range(f.lines)], f)
+        all_ = F.lit(True)
+        for c in own.values():
+            all_ = all_ & c
+        good = F.when(F.col("_shape") == f.name, all_).otherwise(good)
+    out = out.withColumn("_good", F.coalesce(good, F.lit(False)))
+    left = F.when(odd | (F.col("_band").rlike("[A-Z0-9<]") & ~F.col("_good")), F.col(text))
+    return out.withColumns({"_format": F.when(F.col("_good"), F.col("_shape")), "_lines": F.when(F.col("_good"), F.col("_cut")), "_text": left}).drop("_band", "_shape", "_cut", "_good")

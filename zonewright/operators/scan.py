@@ -22,6 +22,7 @@ from ..functions.dates import PIVOT
 from ..functions.normalize import trim
 from ..schemas import ALPHABET, FORMATS, MRV_A, MRV_B, TD1, TD2, TD3, Layout
 from ..shipping import ship
+from .bands import with_clean_zones
 from .damage import Damaged, Line
 from .parse import all_valid, parse_by_format
 from .solve import ALTERNATIVES
@@ -295,7 +296,7 @@ def may_hold_zone(text: Column) -> Column:
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pivot: int = PIVOT, budget: int | None = None) -> DataFrame:
     """Adds zone_format, mrz_lines, repaired (whether the damaged search found it), exhausted (whether that search ended at a budget of places, if one is set), mrz and error (kind
-    NotFound where there is none). One pass: a text without any line of a zone's shape reaches Python as null."""
+    NotFound where there is none). One pass: texts with a clean zone (see bands), or without any line of a zone's shape, reach Python as null."""
     ship(df.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     names = [*keep, "zone_format", "mrz_lines", "repaired", "exhausted"]
@@ -303,11 +304,12 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     def run(batches):
         for b in batches:
             found = [search(t.as_py(), budget) for t in b.column("_text")]
-            lines = pa.array([x and list(x[1]) for x in found], pa.list_(pa.string()))
+            clean = zip(b.column("_format").to_pylist(), b.column("_lines").to_pylist())
+            zones = [(x[0].name, list(x[1])) if x else c for x, c in zip(found, clean)]
             flags = [pa.array([bool(x and x[k]) for x in found], pa.bool_()) for k in (2, 3)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([x and x[0].name for x in found], pa.string()), lines, *flags], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([z[0] for z in zones], pa.string()), pa.array([z[1] for z in zones], pa.list_(pa.string())), *flags], names=names)
 
-    rows = df.select(*keep, F.when(may_hold_zone(F.col(text)), F.col(text)).alias("_text"))
+    rows = with_clean_zones(df.select(*keep, F.col(text).alias("_text0")), "_text0").drop("_text0")
     found = rows.mapInArrow(run, f"{kinds}, zone_format string, mrz_lines array<string>, repaired boolean, exhausted boolean")
     out = parse_by_format(found, "zone_format", "mrz_lines", pivot)
     missing = F.struct(F.lit("NotFound").alias("kind"), F.lit(None).cast("int").alias("expected"), F.lit(None).cast("int").alias("got"), F.lit(None).cast("string").alias("detail"))
