@@ -38,8 +38,13 @@ def hit_rate(df: DataFrame, hit: str = "hit") -> DataFrame:
     return df.agg(F.count_if(hit).alias("hits"), F.count("*").alias("documents"), (F.count_if(hit) / F.greatest(F.count("*"), F.lit(1))).alias("hit_rate"))
 
 
+def gate(df: DataFrame, floor: float, hit: str = "hit") -> DataFrame:
+    """The hit rate, and whether it reaches the floor."""
+    return hit_rate(df, hit).withColumn("passes", F.col("hit_rate") >= floor)
+
+
 def passes_gate(df: DataFrame, floor: float, hit: str = "hit") -> bool:
-    return hit_rate(df, hit).first()["hit_rate"] >= floor
+    return gate(df, floor, hit).first()["passes"]
 
 
 def misses_by_kind(df: DataFrame, kind: str = "miss_kind") -> DataFrame:
@@ -105,27 +110,26 @@ ACCURACY = 10_000
 
 
 def nearest_rank(df: DataFrame, value: str, ranks: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """n, mean, and for each name the value at rank round((n - 1) p), exactly.
+    """n, mean, and for each name the value at rank round((n - 1) p), exactly, from two reads.
 
-    A first pass gives each group's size and, for each rank, two values it lies between for certain (approximate percentiles on either side, as far apart
-    as their error bound asks); a second one counts what lies below, and only the few values between the two, counted by value, meet in a window.
+    The first gives each group's size and, for each rank, two values it lies between for certain (a mergeable sketch's percentiles on either side, as far apart
+    as their error bound asks); the second counts all rows at once by what they are below of and, where they lie between, by value. Only those counts meet in a window.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
     marks = [m for p in ranks.values() for m in (max(0.0, p - 3 / ACCURACY), min(1.0, p + 3 / ACCURACY))]
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.percentile_approx("_v", marks, ACCURACY).alias("_q"))
-    named = sizes.select(*(F.col(b).alias(f"_by{i}") for i, b in enumerate(by)), "_q")
-    same = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
-    both = rows.join(named, same) if by else rows.join(F.broadcast(named))  # without groups, one row
-    low = [F.col("_v") < F.col("_q")[2 * i] for i in range(len(ranks))]
-    between = [F.col("_v").between(F.col("_q")[2 * i], F.col("_q")[2 * i + 1]) for i in range(len(ranks))]
-    below = both.groupBy(*by).agg(*(F.count_if(c).alias(f"_below{i}") for i, c in enumerate(low)))
-    near = F.explode(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(between))))
-    counts = both.select(*by, "_v", near.alias("_i")).filter("_i is not null").groupBy(*by, "_i", "_v").agg(F.count("*").alias("_c"))
-    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_v")))
-    joined = _on(upto, _on(sizes.drop("_q"), below, by), by)
-    at = [F.floor((F.col("n") - 1) * p + 0.5) - F.col(f"_below{i}") for i, p in enumerate(ranks.values())]
-    picks = [F.min(F.when((F.col("_i") == i) & (F.col("_upto") > at[i]), F.col("_v"))).alias(name) for i, name in enumerate(ranks)]
-    return joined.groupBy(*by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *picks)
+    both = _on(rows, sizes, by)
+    flags = lambda conditions: sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions)), F.lit(0))
+    low = flags(F.col("_v") < F.col("_q")[2 * i] for i in range(len(ranks)))
+    near = flags(F.col("_v").between(F.col("_q")[2 * i], F.col("_q")[2 * i + 1]) for i in range(len(ranks)))
+    marked = both.select(*by, "n", "mean", low.alias("_low"), near.alias("_near"), F.when(near > 0, F.col("_v")).alias("_v"))
+    counts = marked.groupBy(*by, "_low", "_near", "_v").agg(F.count("*").alias("_c"), F.first("n").alias("n"), F.first("mean").alias("mean"))
+    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    bit = lambda c, i: F.when(F.col(c).bitwiseAND(F.lit(1 << i)) > 0, F.col("_c")).otherwise(0)
+    counts = counts.withColumns({f"_at{i}": F.floor((F.col("n") - 1) * p + 0.5) - F.sum(bit("_low", i)).over(whole) for i, p in enumerate(ranks.values())})
+    counts = counts.withColumns({f"_upto{i}": F.sum(bit("_near", i)).over(upto) for i in range(len(ranks))})
+    picks = [F.min(F.when((bit("_near", i) > 0) & (F.col(f"_upto{i}") > F.col(f"_at{i}")), F.col("_v"))).alias(name) for i, name in enumerate(ranks)]
+    return counts.groupBy(*by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *picks)
 
 
 def _on(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -155,8 +159,9 @@ def first_of(df: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def series_in_first_seen_order(df: DataFrame, series: str, time: str, order: str) -> DataFrame:
-    first = Window.partitionBy(series)
-    return df.withColumn("series_at", F.min(order).over(first)).orderBy("series_at", time, order)
+    """Series by their first row, rows by time within them. Minima are aggregates, and the sort ranges over all of its keys: a hot series is spread over many tasks."""
+    first = df.groupBy(series).agg(F.min(order).alias("series_at"))
+    return _on(df, first, (series,)).orderBy("series_at", time, order)
 
 
 def trend_axis(df: DataFrame, time: str) -> DataFrame:
