@@ -30,13 +30,13 @@ def characters(seed: Column, tag: str, n: int, pool: str = "0123456789ABCDEFGHIJ
     return F.concat(*(F.substr(F.lit(pool), draw(seed, f"{tag}{i}", len(pool)) + 1, F.lit(1)) for i in range(n)))
 
 
-def identities(spark: SparkSession, start: int, count: int) -> DataFrame:
-    """One identity per seed: born 1950 to 2008, expiring 2027 to 2036, days to 28, issued by their own state; profiles in turn."""
+def identities(seeds: DataFrame, start: int = 0) -> DataFrame:
+    """One identity per row's seed: born 1950 to 2008, expiring 2027 to 2036, days to 28, issued by their own state; profiles in turn."""
     s = F.col("seed")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     date = lambda tag, first, years: F.concat_ws("-", (draw(s, f"{tag}y", years) + first).cast("string"), two(draw(s, f"{tag}m", 12) + 1), two(draw(s, f"{tag}d", 28) + 1))
     state = pick(s, "state", STATES)
-    return spark.range(start, start + count).withColumnRenamed("id", "seed").select(
+    return seeds.select(
         "seed",
         F.element_at(F.array(*map(F.lit, PROFILES)), ((s - start) % len(PROFILES) + 1).cast("int")).alias("profile"),
         F.element_at(F.array(*(F.lit(f) for f in FORMATS)), draw(s, "format", len(FORMATS)) + 1).alias("format"),
@@ -79,8 +79,13 @@ def noisy(lines: Column, seed: Column, profile: Column) -> Column:
 
 
 def corpus(spark: SparkSession, start: int, count: int) -> DataFrame:
+    """corpus_of() a range of seeds."""
+    return corpus_of(spark.range(start, start + count).withColumnRenamed("id", "seed"), start)
+
+
+def corpus_of(seeds: DataFrame, start: int = 0) -> DataFrame:
     """Identities, zones, and the text that a reader would give for each."""
-    df = with_zones(identities(spark, start, count))
+    df = with_zones(identities(seeds, start))
     text = F.concat_ws("\n", F.lit("SPECIMEN"), F.array_join(noisy(F.col("mrz_lines"), F.col("seed"), F.col("profile")), "\n"), F.lit("VOID"))
     return df.withColumn("text", text)
 

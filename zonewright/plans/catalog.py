@@ -136,14 +136,13 @@ def expand_dates(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT yy, p FROM range(100) a(yy), (VALUES (0), (26), (50), (99)) b(p))
-SELECT yy, p::INTEGER AS pivot_yy, (CASE WHEN yy > p THEN '19' ELSE '20' END) || lpad(yy::VARCHAR, 2, '0') || '-03-15' AS birth FROM g"""
+    """WITH g AS (SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%y%m%d') AS s, p FROM orders, (VALUES (0), (26), (50), (99)) b(p))
+SELECT doc_id, p::INTEGER AS pivot_yy, (CASE WHEN substr(s, 1, 2)::INTEGER > p THEN '19' ELSE '20' END) || substr(s, 1, 2) || '-' || substr(s, 3, 2) || '-' || substr(s, 5, 2) AS birth FROM g"""
 )
 def pivot_sweep(spark, sf_dir):
-    g = spark.range(100).withColumnRenamed("id", "yy")
-    s = F.concat(F.lpad(F.col("yy").cast("string"), 2, "0"), F.lit("0315"))
-    out = [g.select("yy", F.lit(p).alias("pivot_yy"), dates.expand_date(s, True, p).alias("birth")) for p in (0, 26, 50, 99)]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    s = F.date_format("o_orderdate", "yyMMdd")
+    both = F.array(*(F.struct(F.lit(p).alias("pivot_yy"), dates.expand_date(s, True, p).alias("birth")) for p in (0, 26, 50, 99)))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(both).alias("x")).select("doc_id", "x.*")
 
 
 @query(
@@ -156,12 +155,13 @@ def date_validity(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT y, m FROM range(1896, 2105) a(y), range(0, 14) b(m))
-SELECT y, m, (CASE WHEN m BETWEEN 1 AND 12 THEN day(last_day(make_date(y, m, 1))) ELSE 0 END)::INTEGER AS days FROM g"""
+    """WITH g AS (SELECT o_orderkey AS doc_id, year(o_orderdate) - 100 + o_orderkey % 211 AS y, o_orderkey % 14 AS m FROM orders)
+SELECT doc_id, (CASE WHEN m BETWEEN 1 AND 12 THEN day(last_day(make_date(y::BIGINT, m::BIGINT, 1))) ELSE 0 END)::INTEGER AS days FROM g"""
 )
 def month_lengths(spark, sf_dir):
-    g = spark.range(1896, 2105).withColumnRenamed("id", "y").select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(13).cast("long"))).alias("m"))
-    return g.select("y", "m", dates.days_in_month(F.col("y"), F.col("m")).alias("days"))
+    """Months 0 to 13 of the years around the orders' own."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), dates.days_in_month(F.year("o_orderdate") - 100 + k % 211, k % 14).alias("days"))
 
 
 # ---- scanning and repair ---------------------------------------------------------------------------------
@@ -246,24 +246,33 @@ def solve_confused_character(spark, sf_dir):
     return h.select("doc_id", r.alias("r")).select("doc_id", "r.kind", F.array_join("r.candidates", ",").alias("candidates"))
 
 
+_LETTERS = "substr(upper(c_name || c_mktsegment), (c_custkey % 24 + 1)::INTEGER, 1) AS a, substr(c_mktsegment || c_custkey, (c_custkey * 7 % 11 + 1)::INTEGER, 1) AS b"
+
+
+def _letters(spark, sf_dir):
+    """Two characters of each customer's data."""
+    at = lambda c, k: F.substr(c, (k + 1).cast("int"), F.lit(1))
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", at(F.upper(F.concat("c_name", "c_mktsegment")), k % 24).alias("a"), at(F.concat("c_mktsegment", "c_custkey"), k * 7 % 11).alias("b"))
+
+
 @query(
-    f"""WITH a AS (SELECT substr('{ALPHABET}', i::INTEGER, 1) AS c, (i - 1) % 36 AS v FROM range(1, 38) r(i))
-SELECT x.c AS a, y.c AS b, CASE WHEN x.c = y.c THEN 'identical' WHEN x.v % 10 = y.v % 10 THEN 'blind' ELSE 'caught' END AS kind,
-  (CASE WHEN x.c = y.c THEN -1 WHEN x.v % 10 = y.v % 10 THEN x.v % 10 ELSE ((x.v - y.v) % 10 + 10) % 10 END)::INTEGER AS value FROM a x, a y"""
+    f"""WITH c AS (SELECT c_custkey, {_LETTERS} FROM customer), v AS (SELECT *, instr('{ALPHABET}', a) - 1 AS i, instr('{ALPHABET}', b) - 1 AS j FROM c)
+SELECT c_custkey, a, b, CASE WHEN i < 0 OR j < 0 THEN 'not_mrz_charset' WHEN a = b THEN 'identical' WHEN i % 36 % 10 = j % 36 % 10 THEN 'blind' ELSE 'caught' END AS kind,
+  (CASE WHEN i < 0 OR j < 0 OR a = b THEN -1 WHEN i % 36 % 10 = j % 36 % 10 THEN i % 36 % 10 ELSE ((i % 36 - j % 36) % 10 + 10) % 10 END)::INTEGER AS value FROM v"""
 )
 def blindspots(spark, sf_dir):
-    a = spark.range(37).select(F.substr(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)).alias("a"))
-    g = a.select("a", F.explode(F.array(*map(F.lit, ALPHABET))).alias("b"))
-    return g.select("a", "b", ck.blindspot(F.col("a"), F.col("b")).alias("s")).select("a", "b", "s.kind", F.coalesce("s.value", F.lit(-1)).alias("value"))
+    return _letters(spark, sf_dir).select("c_custkey", "a", "b", ck.blindspot(F.col("a"), F.col("b")).alias("s")).select("c_custkey", "a", "b", "s.kind", F.coalesce("s.value", F.lit(-1)).alias("value"))
 
 
 @query(
-    f"""WITH a AS (SELECT substr('{ALPHABET}', i::INTEGER, 1) AS c, (i - 1) % 36 % 10 AS r, i FROM range(1, 38) t(i))
-SELECT x.c, x.r::INTEGER AS residue, string_agg(y.c, '' ORDER BY y.i) AS others FROM a x JOIN a y ON x.r = y.r AND x.c <> y.c GROUP BY x.c, x.r"""
+    f"""WITH t AS (SELECT substr('{ALPHABET}', i::INTEGER, 1) AS c, (i - 1) % 36 % 10 AS r, i FROM range(1, 38) t(i)),
+c AS (SELECT c_custkey, {_LETTERS} FROM customer)
+SELECT c.c_custkey, x.r::INTEGER AS residue, string_agg(y.c, '' ORDER BY y.i) AS others FROM c JOIN t x ON x.c = c.a JOIN t y ON x.r = y.r AND x.c <> y.c GROUP BY c.c_custkey, x.r"""
 )
 def collision_classes(spark, sf_dir):
-    a = spark.range(37).select(F.substr(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)).alias("c"))
-    return a.select("c", ck.residue_class(F.col("c")).alias("residue"), F.array_join(ck.collisions(F.col("c")), "").alias("others"))
+    a = _letters(spark, sf_dir).filter(ck.is_mrz_charset(F.col("a")))
+    return a.select("c_custkey", ck.residue_class(F.col("a")).alias("residue"), F.array_join(ck.collisions(F.col("a")), "").alias("others"))
 
 
 @query(
@@ -294,10 +303,23 @@ def name_encoding(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", names.encode_name_component(F.col("c_name")).alias("encoded"), names.fixed(F.concat_ws(" ", "c_mktsegment", "c_name"), 20).alias("field"))
 
 
-@query("SELECT * FROM (VALUES ('Müller', 'MUELLER', 'MULLER', 'MUXXLLER'), ('Ångström', 'AANGSTROEM', 'ANGSTROM', 'AANGSTROEM'), ('Muñoz', 'MUNOZ', 'MUNOZ', 'MUNXXOZ'), ('Łódź', 'LODZ', 'LODZ', 'LODZ'), ('Ærø', 'AEROE', 'AEROE', 'AEROE'), ('plain', 'PLAIN', 'PLAIN', 'PLAIN')) t(name, expanded, simple, xx_suffix)")
+_SPELT = "c_custkey, translate(c_mktsegment, 'AOUENI', 'ÄÖÜÉÑĲ') || ' ' || (['Ångström', 'Łódź', 'Ærø', 'plain'])[(c_custkey % 4 + 1)::INTEGER] AS name"
+_REPLACED = {"expanded": (("Ä", "AE"), ("Ö", "OE"), ("Ü", "UE"), ("Å", "AA"), ("Ñ", "N")), "simple": (("Ä", "A"), ("Ö", "O"), ("Ü", "U"), ("Å", "A"), ("Ñ", "N")), "xx_suffix": (("Ä", "AE"), ("Ö", "OE"), ("Ü", "UXX"), ("Å", "AA"), ("Ñ", "NXX"))}
+
+
+def _replaced(pairs):
+    out = "upper(name)"
+    for a, b in (*pairs, ("É", "E"), ("Ĳ", "IJ"), ("Ł", "L"), ("Ó", "O"), ("Ź", "Z"), ("Æ", "AE"), ("Ø", "OE")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+@query(f"WITH c AS (SELECT {_SPELT} FROM customer) SELECT c_custkey, name, " + ", ".join(f"{_replaced(p)} AS {s}" for s, p in _REPLACED.items()) + " FROM c")
 def transliterations(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("Müller", "Ångström", "Muñoz", "Łódź", "Ærø", "plain")], "name string")
-    return rows.select("name", *(names.transliterate(F.col("name"), s).alias(s) for s in names.STYLES))
+    """Customers' names with diacritics, in each style."""
+    more = F.element_at(F.array(*map(F.lit, ("Ångström", "Łódź", "Ærø", "plain"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.translate("c_mktsegment", "AOUENI", "ÄÖÜÉÑĲ"), F.lit(" "), more).alias("name"))
+    return rows.select("c_custkey", "name", *(names.transliterate(F.col("name"), s).alias(s) for s in names.STYLES))
 
 
 @query("SELECT DISTINCT c_nationkey, c_mktsegment AS primary_name, CASE WHEN len(c_mktsegment) = 10 THEN c_mktsegment || 'NA' ELSE (c_mktsegment || '<<NATION')[1:12] END AS cut FROM customer")
@@ -721,10 +743,17 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT doc_id, icao_check_digit(num) AS digit, icao_check_digit(lower(zone)) AS wrong, parse_mrz_text(zone).valid AS valid FROM zonewright_holders")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({c!r}, " + ("NULL" if n is None else "'" + n.replace("'", "''") + "'") + ")" for c, n in [*NAMES.items(), *EXTRA, *((t, None) for t in TERRITORIES), ("FRA", "France"), ("ABW", "Aruba"), ("fra", None)]) + ") t(code, name)")
+_CODED = [*NAMES.items(), *EXTRA, *((t, None) for t in TERRITORIES), ("FRA", "France"), ("ABW", "Aruba"), ("fra", None)]
+
+
+@query(
+    "WITH t(k, code, name) AS (VALUES " + ", ".join(f"({k}, {c!r}, " + ("NULL" if n is None else "'" + n.replace("'", "''") + "'") + ")" for k, (c, n) in enumerate(_CODED)) + f") SELECT c_custkey, code, name FROM customer JOIN t ON k = c_custkey % {len(_CODED)}"
+)
 def country_names(spark, sf_dir):
-    codes = spark.createDataFrame([(c,) for c in (*NAMES, *(c for c, _ in EXTRA), *TERRITORIES, "FRA", "ABW", "fra")], "code string")
-    return codes.select("code", Countries(default_rows(spark)).name(F.col("code")).alias("name"))
+    """Each customer's code, taken in turn from all that have a name of their own, and its name."""
+    codes = F.split(F.lit(",".join(c for c, _ in _CODED)), ",")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.get(codes, (F.col("c_custkey") % len(_CODED)).cast("int")).alias("code"))
+    return rows.select("c_custkey", "code", Countries(default_rows(spark)).name(F.col("code")).alias("name"))
 
 
 @query(
@@ -759,15 +788,16 @@ def retried_texts(spark, sf_dir):
 # ---- corpus, pages, streams ------------------------------------------------------------------------------
 
 
-@query("SELECT p AS profile, 200 AS documents FROM (VALUES ('clean'), ('mobile'), ('scanner'), ('worn'), ('border-kiosk')) t(p)")
+@query("SELECT (['clean', 'mobile', 'scanner', 'worn', 'border-kiosk'])[(c_custkey % 5 + 1)::INTEGER] AS profile, count(*) AS documents FROM customer GROUP BY 1")
 def corpus_profiles(spark, sf_dir):
-    return corpus.corpus(spark, 0, 1000).groupBy("profile").agg(F.count("*").cast("int").alias("documents"))
+    """A synthetic identity for each customer's key, by capture profile."""
+    return corpus.corpus_of(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seed"))).groupBy("profile").agg(F.count("*").alias("documents"))
 
 
 @query()
 def corpus_hits(spark, sf_dir):
     """The synthetic benchmark: hits per profile of scanning noisy readings of labelled zones."""
-    c = corpus.corpus(spark, 0, 500).select("seed", "profile", "format", "mrz_lines", "text")
+    c = corpus.corpus_of(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seed"))).select("seed", "profile", "format", "mrz_lines", "text")
     found = scan.scan(c, "text", ("seed", "profile", "format")).withColumnRenamed("mrz_lines", "_got").withColumnRenamed("mrz", "got").drop("error")
     truth = parse.parse_by_format(c.select("seed", "format", "mrz_lines"), "format").select("seed", F.col("mrz").alias("truth"))
     both = found.join(truth, "seed")
