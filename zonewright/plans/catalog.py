@@ -257,7 +257,7 @@ def _letters(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT c_custkey, {_LETTERS} FROM customer), v AS (SELECT *, instr('{ALPHABET}', a) - 1 AS i, instr('{ALPHABET}', b) - 1 AS j FROM c)
+    f"""WITH c AS (SELECT c_custkey, {_LETTERS} FROM customer), v AS (SELECT *, CASE WHEN a = '' THEN -1 ELSE instr('{ALPHABET}', a) - 1 END AS i, CASE WHEN b = '' THEN -1 ELSE instr('{ALPHABET}', b) - 1 END AS j FROM c)
 SELECT c_custkey, a, b, CASE WHEN i < 0 OR j < 0 THEN 'not_mrz_charset' WHEN a = b THEN 'identical' WHEN i % 36 % 10 = j % 36 % 10 THEN 'blind' ELSE 'caught' END AS kind,
   (CASE WHEN i < 0 OR j < 0 OR a = b THEN -1 WHEN i % 36 % 10 = j % 36 % 10 THEN i % 36 % 10 ELSE ((i % 36 - j % 36) % 10 + 10) % 10 END)::INTEGER AS value FROM v"""
 )
