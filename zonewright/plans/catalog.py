@@ -832,4 +832,4 @@ def stream_rates(spark, sf_dir):
 
 
 
-from . import repair_queries, report_queries, stream_queries  # noqa: E402, F401  their queries are registered as they are imported
+from . import misread_queries, repair_queries, report_queries, stream_queries  # noqa: E402, F401  their queries are registered as they are imported
