@@ -11,12 +11,16 @@ the full payload's, and its digest.
 Defined results: a null payload is an empty one. Of records with equal payloads that of the largest id is the response, and the
 others revisit it; rows that repeat that id are responses as well. A null id never is the one that others refer to; a group with null ids
 only has responses. Null URLs give no WARC-Target-URI. An empty table gives no archives. Other columns are ignored.
+
+Damage: the sequential reader raises WarcError and nothing else. `read_archives` and `read_files` go on with the next gzip member that holds a whole record, and give
+one row of record_type `damaged` for each stretch between, its payload_bytes being the stretch's length in the archive. An empty archive has no records; a null one neither.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,6 +32,7 @@ from .common import stored
 
 #: Bytes of an archive, after which the next record starts a new one; bytes inflated at a time.
 SEGMENT, STEP = 1 << 18, 1 << 16
+_MEMBER = re.compile(rb"\x1f\x8b\x08")
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -60,31 +65,51 @@ class WarcError(ValueError):
     """A record that is cut off, badly framed or fails its digest."""
 
 
-def members(read: Callable[[int], bytes]) -> Iterator[Iterator[bytes]]:
-    """For each gzip member, its inflated bytes piece by piece; each is used up before the next is asked for."""
-    rest = b""
-    while rest := rest or read(STEP):
+def members(read: Callable[[int], bytes], ends: list[int] | None = None) -> Iterator[Iterator[bytes]]:
+    """For each gzip member, its inflated bytes piece by piece; each is used up before the next is asked for. ends: gets the members' ends in the archive."""
+    rest, taken = b"", 0
+
+    def more() -> bytes:
+        nonlocal taken
+        data = read(STEP)
+        taken += len(data)
+        return data
+
+    while rest := rest or more():
         z = zlib.decompressobj(31)
 
         def pieces(z=z):
             nonlocal rest
             data, rest = rest, b""
             while True:
-                if out := z.decompress(data, STEP):
+                try:
+                    out = z.decompress(data, STEP)
+                except zlib.error as e:
+                    raise WarcError(f"a member that can't be inflated: {e}") from e
+                if out:
                     yield out
                 if z.eof:
                     rest = z.unused_data
+                    if ends is not None:
+                        ends.append(taken - len(rest))
                     return
-                data = z.unconsumed_tail or read(STEP)
+                data = z.unconsumed_tail or more()
                 if not data and not out:
                     raise WarcError("the archive ends within a member")
 
         yield pieces()
 
 
-def records(read: Callable[[int], bytes], verify: bool = True) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+def _length(headers: dict[str, str]) -> int:
+    value = headers.get("content-length", "")
+    if not (value.isascii() and value.isdigit()):
+        raise WarcError(f"no Content-Length: {value[:20]!r}")
+    return int(value)
+
+
+def records(read: Callable[[int], bytes], verify: bool = True, ends: list[int] | None = None) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
     """(WARC headers, HTTP headers, payload) of each record, names in lower case; read(n): the next bytes of the archive."""
-    for pieces in members(read):
+    for pieces in members(read, ends):
         buffer = b""
         while b"\r\n\r\n" not in buffer:
             if not (piece := next(pieces, b"")):
@@ -95,7 +120,7 @@ def records(read: Callable[[int], bytes], verify: bool = True) -> Iterator[tuple
         if not version.startswith("WARC/"):
             raise WarcError(f"not a WARC record: {version[:20]!r}")
         warc = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length, parts, sha = int(warc["content-length"]), [], hashlib.sha1()
+        length, parts, sha = _length(warc), [], hashlib.sha1()
         while True:
             take, buffer = buffer[:length], buffer[length:]
             if take:
@@ -119,9 +144,36 @@ def records(read: Callable[[int], bytes], verify: bool = True) -> Iterator[tuple
             http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in top.decode("utf-8", "replace").split("\r\n")[1:])}
         if verify and warc.get("warc-type") == "response" and (want := warc.get("warc-payload-digest")) and want != f"sha1:{digest(payload)}":
             raise WarcError(f"payload digest of {warc.get('warc-record-id')}")
+        if warc.get("warc-type") == "revisit" and "content-length" in http:
+            _length(http)
         yield warc, http, payload
 
 
+def salvaged(data: memoryview, verify: bool = True) -> Iterator[tuple[dict[str, str], dict[str, str], bytes] | int]:
+    """The records of an archive, and for each damaged stretch between them its length."""
+    at = bad = 0
+    while at < len(data):
+        start, here, ends = at, at, []
+
+        def read(n):
+            nonlocal here  # noqa: B023
+            here += n
+            return bytes(data[here - n : here])
+
+        try:
+            for found in records(read, verify, ends):
+                if bad:
+                    yield bad
+                bad, at = 0, start + ends[-1]
+                yield found
+        except WarcError:
+            following = _MEMBER.search(data, at + 1)
+            following = following.start() if following else len(data)
+            bad, at = bad + following - at, following
+    if bad:
+        yield bad
+
+
 def planned(pages: DataFrame, ident: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Each row's payload with the id of its response: groups are found by SHA-256 and joined back by it, which AQE splits where one is hot."""
     p = pages.select(F.col(ident).alias("_id"), F.col(url).alias("_url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("_payload"))
@@ -165,15 +217,14 @@ def read_archives(archives: DataFrame, column: str = "warc", with_payload: bool
     def run(batches):
         for b in batches:
             for x in b.column(0):
-                data, at = memoryview(x.as_buffer()), 0
-
-                def read(n):
-                    nonlocal at
-                    at += n
-                    return bytes(data[at - n : at])
-
+                if not x.is_valid:
+                    continue
                 rows = []
-                for warc, http, payload in records(read):
+                for found in salvaged(memoryview(x.as_buffer())):
+                    if isinstance(found, int):
+                        rows.append((None, "damaged", None, None, found, None, *([b""] if with_payload else [])))
+                        continue
+                    warc, http, payload = found
                     kind = warc.get("warc-type")
                     size, sha = (int(http.get("content-length", 0)), warc.get("warc-payload-digest", "")[5:]) if kind == "revisit" else (len(payload), digest(payload))
                     rows.append((name(warc.get("warc-record-id")), kind, warc.get("warc-target-uri"), name(warc.get("warc-refers-to")), size, sha, *([payload] if with_payload else [])))
