@@ -4,11 +4,12 @@ Rules are (verdict, host, path): a rule fits its host and all subdomains of it i
 label the urls they fit; the trees are trained on those and judge the others.
 
 Features: length, path depth, digit ratio, character entropy, number of parameters, host labels, hyphens in the host, and for the last
-one and two host labels the share of blocked urls among the labelled. Those shares are counted over all labelled rows, by hash: the suffixes of a bucket
-share it, so the table has SUFFIXES rows at most and is broadcast. The trees are fitted on about TRAIN_ROWS different labelled urls, chosen by a hash of the
-url; however often a url is repeated it counts once. Their features are cut into at most BINS bins, equal rows are merged, and each level of each
-tree is one grouped aggregate of gradients by (node, feature, bin). What comes to the driver are those histograms, whose size the parameters fix. The
-finished trees are CASE expressions, so a prediction is a projection without a shuffle.
+one and two host labels a suffix statistic: the share of blocked urls, in which PRIOR_ROWS rows and every row that no rule labels count as the mean, so that a suffix
+of which the rules name only the bad part isn't bad as a whole. The statistics are counted over all rows, by the suffix's 128-bit digest, which bounds the table's width. The SUFFIXES most frequent suffixes
+are broadcast; where there are more, rows of the others find theirs by a shuffled join. The trees are fitted on about TRAIN_ROWS different labelled urls, chosen by a hash of the
+url; however often a url is repeated it counts once. What a row is fitted on leaves out the labels of its own one of FOLDS folds of urls. Features are cut into at most BINS bins,
+equal rows are merged, and each level of each tree is one grouped aggregate of gradients by (node, feature, bin). What comes to the driver are those histograms, whose size the
+parameters fix. The finished trees are CASE expressions. The threshold is the score that tells the two kinds of labelled urls in the sample apart best if both count alike.
 
 Defined results: a null url, or one without `://`, has an empty host and path; no labelled rows: all are allowed, with score 0; labels of one kind
 only: that verdict. Repeated rows get equal results; other columns are ignored. A url of any length is one string in generated code.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, remove, stored
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-TRAIN_ROWS, BINS, TREES, DEPTH, RATE, SHRINK, LEAST, SUFFIXES, PRIOR_ROWS = 20_000, 16, 10, 3, 0.4, 1.0, 1.0, 1 << 12, 10
+TRAIN_ROWS, BINS, TREES, DEPTH, RATE, SHRINK, LEAST, SUFFIXES, PRIOR_ROWS, FOLDS, STEPS = 20_000, 16, 10, 3, 0.4, 1.0, 1.0, 1 << 16, 10, 5, 100
 FEATURES = ("length", "depth", "digits", "entropy", "parameters", "labels", "hyphens", "suffix1", "suffix2")
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -68,27 +69,44 @@ def lexical(df: DataFrame, url: str) -> DataFrame:
             "parameters": F.when(query == "", 0).otherwise(count_of(query, "&") + 1).cast("double"),
             "labels": F.when(F.col("host") == "", 0).otherwise(count_of(F.col("host"), ".") + 1).cast("double"),
             "hyphens": count_of(F.col("host"), "-").cast("double"),
-            **{f"tail{k}": F.pmod(F.xxhash64(F.lit(k), F.substring_index("host", ".", -k)), F.lit(SUFFIXES)) for k in (1, 2)},
+            **{f"tail{k}": F.md5(F.substring_index("host", ".", -k)) for k in (1, 2)},
         }
     )
 
 
+def _fold(url: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("folds"), url), F.lit(FOLDS)).cast("int")
+
+
 @dataclass
 class Trees:
-    """shares: the table (k, tail, share) of suffix buckets, None for none; trees: nested (feature, threshold, left, right) or leaf values."""
+    """frequent: the suffixes that are broadcast, as (k, tail, size, blocked, labelled, folds), None for none; rare: the others, None for none; trees: nested (feature, threshold, left, right) or leaf values; threshold: the least score of a blocked url; mean: the share of blocked urls among all labelled."""
 
     prior: float
-    shares: DataFrame | None
+    frequent: DataFrame | None
     trees: list
+    rare: DataFrame | None = None
+    threshold: float = 0.5
+    mean: float = 0.0
 
-    def with_suffixes(self, df: DataFrame) -> DataFrame:
-        """Adds suffix1 and suffix2, the shares of blocked urls in a row's suffix buckets."""
+    def with_suffixes(self, df: DataFrame, fold: Column | None = None) -> DataFrame:
+        """Adds suffix1 and suffix2, the statistics of a row's suffixes; without the labels of one fold, if given."""
         for k in (1, 2):
-            if self.shares is None:
-                df = df.withColumn(f"suffix{k}", F.lit(self.prior))
+            if self.frequent is None:
+                df = df.withColumn(f"suffix{k}", F.lit(self.mean))
                 continue
-            own = self.shares.filter(F.col("k") == k).select(F.col("tail").alias(f"_tail{k}"), F.col("share").alias(f"_share{k}"))
-            df = df.join(F.broadcast(own), F.col(f"tail{k}") == F.col(f"_tail{k}"), "left").withColumn(f"suffix{k}", F.coalesce(f"_share{k}", F.lit(self.prior))).drop(f"_tail{k}", f"_share{k}")
+            own = lambda t: t.filter(F.col("k") == k).select(F.col("tail").alias("_tail"), F.struct("size", "blocked", "labelled", "folds").alias("_c"))  # noqa: B023, E731
+            df = df.join(F.broadcast(own(self.frequent)), F.col(f"tail{k}") == F.col("_tail"), "left").drop("_tail")
+            if self.rare is not None:
+                # rows that have found theirs get keys of their own that meet nothing, so that no frequent suffix is one task's
+                seek = F.when(F.col("_c").isNull(), F.concat(F.lit("="), f"tail{k}")).otherwise(F.concat(F.lit("-"), F.xxhash64("_url").cast("string")))
+                rest = own(self.rare).select(F.concat(F.lit("="), "_tail").alias("_tail"), F.col("_c").alias("_d"))
+                df = df.withColumn("_seek", seek).join(rest, F.col("_seek") == F.col("_tail"), "left").withColumn("_c", F.coalesce("_c", "_d")).drop("_seek", "_tail", "_d")
+            c = F.col("_c")
+            out = F.lit(None) if fold is None else F.element_at(c["folds"], fold + 1)
+            blocked, labelled = (c[x] - F.coalesce(out[x], F.lit(0)) if fold is not None else c[x] for x in ("blocked", "labelled"))
+            share = (blocked + (PRIOR_ROWS + c["size"] - labelled) * self.mean) / (PRIOR_ROWS + c["size"])
+            df = df.withColumn(f"suffix{k}", F.coalesce(share, F.lit(self.mean))).drop("_c")
         return df
 
     def score(self) -> Column:
@@ -108,22 +126,51 @@ def _case(tree, goes_right) -> Column:
     return F.when(goes_right(f, at), _case(right, goes_right)).otherwise(_case(left, goes_right))
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """labelled: lexical() columns, _url, and y, 1 for block, the same for equal urls."""
+def _counted(rows: DataFrame, mean: float, most: int) -> Trees:
+    """A model with suffix statistics and no trees yet; rows: tail1, tail2, _url, and y, null for unlabelled ones."""
+    tails = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"tail{k}").alias("tail")) for k in (1, 2))))
+    sums = (F.coalesce(F.sum("y"), F.lit(0)).alias("blocked"), F.count("y").alias("labelled"))
+    by_fold = rows.select("y", _fold("_url").alias("fold"), tails.alias("x")).groupBy("x.k", "x.tail", "fold").agg(F.count("*").alias("size"), *sums)
+    own = lambda c, i: F.coalesce(F.sum(F.when(F.col("fold") == i, F.col(c))), F.lit(0)).alias(c)
+    folds = F.array(*(F.struct(own("blocked", i), own("labelled", i)) for i in range(FOLDS)))
+    counts = by_fold.groupBy("k", "tail").agg(F.sum("size").alias("size"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), folds.alias("folds"))
+    counts = stored(counts, "url-suffixes")
+    if counts.count() <= most:
+        return Trees(mean, counts, [], mean=mean)
+    frequent = stored(counts.orderBy(F.desc("size"), "k", "tail").limit(most), "url-frequent-suffixes", rows=most)
+    # of a suffix without labels nothing is known, and a missing one says the same
+    return Trees(mean, frequent, [], counts.filter("labelled > 0").join(F.broadcast(frequent.select("k", "tail")), ["k", "tail"], "left_anti"), mean=mean)
+
+
+def _threshold(sample: DataFrame, score: Column) -> float:
+    """The score at which the shares of both kinds that are judged right add up to most; of equal ones that nearest to one half."""
+    at = F.least(F.floor(score * STEPS), F.lit(STEPS - 1)).cast("int").alias("at")
+    rows = {r["at"]: (r["n"] - r["ones"], r["ones"]) for r in sample.groupBy(at).agg(F.count("*").alias("n"), F.sum("y").alias("ones")).collect()}
+    zeros, ones = (sum(x[i] for x in rows.values()) for i in (0, 1))
+    right = lambda t: sum(x[0] for a, x in rows.items() if a < t) / zeros + sum(x[1] for a, x in rows.items() if a >= t) / ones
+    return max(range(1, STEPS), key=lambda t: (round(right(t), 9), -abs(2 * t - STEPS))) / STEPS
+
+
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS, unlabelled: DataFrame | None = None, folded: bool = False, most: int = SUFFIXES) -> Trees:
+    """labelled: lexical() columns, _url, and y, 1 for block, the same for equal urls; unlabelled: rows that only the sizes of suffixes count.
+
+    folded: each row is fitted on suffix statistics without its own fold.
+    """
     n, blocked, urls = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0)), F.approx_count_distinct("_url")).first()
     if not n or blocked in (0, n):
-        return Trees(float(bool(n and blocked)), None, [])
-    prior = blocked / n
-    tails = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"tail{k}").alias("tail")) for k in (1, 2))))
-    share = (F.sum("y") + PRIOR_ROWS * prior) / (F.count("*") + PRIOR_ROWS)
-    out = Trees(prior, stored(labelled.select("y", tails.alias("x")).groupBy("x.k", "x.tail").agg(share.alias("share")).coalesce(1), "url-suffixes"), [])
+        return Trees(float(bool(n and blocked)), None, [], mean=float(bool(n and blocked)))
+    use = ("y", "_url", "tail1", "tail2")
+    every = labelled.select(*use)
+    if unlabelled is not None:
+        every = every.unionByName(unlabelled.withColumn("y", F.lit(None).cast("int")).select(*use))
+    out = _counted(every, blocked / n, most)
     chance = F.pmod(F.xxhash64(F.lit("urls"), "_url"), F.lit(1 << 30)) / float(1 << 30)
     once = labelled.filter(chance < rows / urls).groupBy("_url").agg(*(F.first(c).alias(c) for c in ("y", *FEATURES[:-2], "tail1", "tail2")))
     paths: list[str] = []
-    sample = stored(out.with_suffixes(once).coalesce(4), "url-sample", paths)
+    sample = stored(out.with_suffixes(once, _fold("_url") if folded else None).coalesce(4), "url-sample", paths)
     size, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not size or ones in (0, size):
-        return Trees(float(blocked * 2 >= n), None, [])
+        return Trees(float(blocked * 2 >= n), None, [], mean=blocked / n)
     out.prior = prior = ones / size
     marks = [i / BINS for i in range(1, BINS)]
     cuts = sample.agg(*(F.percentile_approx(f, marks, 10_000).alias(f) for f in FEATURES)).first()
@@ -135,6 +182,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
         grown = _grow(data, total, cuts)
         total = total + _case(grown, lambda f, at: F.col(f) > cuts[f].index(at))
         out.trees.append(grown)
+    out.threshold = _threshold(sample, out.score())
     remove(labelled.sparkSession, *paths)
     return out
 
@@ -195,6 +243,6 @@ def judge(pages: DataFrame, ident: str = "page_id", url: str = "url", rules=RULE
     df = pages.select(F.col(ident), F.col(url).alias("_url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     df = lexical(df.withColumns({"rule": rule, "_verdict": verdict}), "_url")
-    model = train(df.filter(F.col("rule").isNotNull()).withColumn("y", (F.col("_verdict") == "block").cast("int")), rows)
+    model = train(df.filter(F.col("rule").isNotNull()).withColumn("y", (F.col("_verdict") == "block").cast("int")), rows, df.filter(F.col("rule").isNull()), True)
     df = model.with_suffixes(df).withColumn("score", model.score())
-    return df.select(ident, "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+    return df.select(ident, "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("score") >= model.threshold, "block").otherwise("allow")).alias("verdict"), "score")
