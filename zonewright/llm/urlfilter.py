@@ -7,7 +7,8 @@ Features: length, path depth, digit ratio, character entropy, number of paramete
 one and two host labels a suffix statistic: the share of blocked urls, in which PRIOR_ROWS rows and every row that no rule labels count as the mean, so that a suffix
 of which the rules name only the bad part isn't bad as a whole. The statistics are counted over all rows, by the suffix's 128-bit digest, which bounds the table's width. The SUFFIXES most frequent suffixes
 are broadcast; where there are more, rows of the others find theirs by a shuffled join. The trees are fitted on about TRAIN_ROWS different labelled urls, chosen by a hash of the
-url; however often a url is repeated it counts once. What a row is fitted on leaves out the labels of its own one of FOLDS folds of urls. Features are cut into at most BINS bins,
+url; however often a url is repeated it counts once. What a row is fitted on leaves out the labels of its own one of FOLDS folds of urls, and
+one fold is fitted without suffix statistics, as urls of suffixes without labels are judged. Features are cut into at most BINS bins,
 equal rows are merged, and each level of each tree is one grouped aggregate of gradients by (node, feature, bin). What comes to the driver are those histograms, whose size the
 parameters fix. The finished trees are CASE expressions. The threshold is the score that tells the two kinds of labelled urls in the sample apart best if both count alike.
 
@@ -154,7 +155,7 @@ def _threshold(sample: DataFrame, score: Column) -> float:
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, unlabelled: DataFrame | None = None, folded: bool = False, most: int = SUFFIXES) -> Trees:
     """labelled: lexical() columns, _url, and y, 1 for block, the same for equal urls; unlabelled: rows that only the sizes of suffixes count.
 
-    folded: each row is fitted on suffix statistics without its own fold.
+    folded: each row is fitted on suffix statistics without its own fold, the rows of the first fold on none.
     """
     n, blocked, urls = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0)), F.approx_count_distinct("_url")).first()
     if not n or blocked in (0, n):
@@ -167,7 +168,10 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, unlabelled: DataFrame | N
     chance = F.pmod(F.xxhash64(F.lit("urls"), "_url"), F.lit(1 << 30)) / float(1 << 30)
     once = labelled.filter(chance < rows / urls).groupBy("_url").agg(*(F.first(c).alias(c) for c in ("y", *FEATURES[:-2], "tail1", "tail2")))
     paths: list[str] = []
-    sample = stored(out.with_suffixes(once, _fold("_url") if folded else None).coalesce(4), "url-sample", paths)
+    once = out.with_suffixes(once, _fold("_url") if folded else None)
+    if folded:
+        once = once.withColumns({f: F.when(_fold("_url") > 0, F.col(f)).otherwise(out.mean) for f in FEATURES[-2:]})
+    sample = stored(once.coalesce(4), "url-sample", paths)
     size, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not size or ones in (0, size):
         return Trees(float(blocked * 2 >= n), None, [], mean=blocked / n)
