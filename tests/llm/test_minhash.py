@@ -86,3 +86,106 @@ def test_ids_given_to_several_texts(spark):
     docs = spark.createDataFrame([(1, text, None, None, 0), (1, "something else altogether here", None, None, 0), (2, text + " more", None, None, 0), (None, text, None, None, 0)], DOCS)
     got = sorted((r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect())
     assert got == [(1, 1), (47, 1), (47, 1), (48, 1)]
+
+
+def buckets(groups):
+    """A tile: for each bucket (key, sets, labels), one row a set."""
+    import pyarrow as pa
+
+    rows = [(key, s, label) for key, sets, labels in groups for s, label in zip(sets, labels)]
+    keys, sets, labels = zip(*rows)
+    sigs = minhash.signatures(list(sets)).view(np.int32)
+    zero = [0] * len(rows)
+    return pa.table({"key": keys, "i": zero, "j": zero, "at": zero, "d": range(len(rows)), "n": [len(s) for s in sets], "label": labels, "sig": pa.array(list(sigs), pa.list_(pa.int32())), "tokens": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+
+
+def near(rng, n, size=60, pool=70):
+    """Sets that overlap much: some pairs link, most don't quite."""
+    tokens = rng.integers(0, 2**64, pool, dtype=np.uint64)
+    return [np.unique(rng.choice(tokens, size + int(rng.integers(4)), replace=False)) for _ in range(n)]
+
+
+COLUMNS = ["d", "n", "label", "sig", "at"]
+
+
+def test_a_tile_of_many_buckets_pairs_only_within_them():
+    rng = np.random.default_rng(3)
+    groups = []
+    for key in rng.permutation(400).tolist():
+        n = int(rng.choice([2, 3, 5, 12]))
+        groups.append((key, near(rng, n), (1000 * key + rng.integers(0, n, n)).tolist()))
+    one = near(rng, 1)[0]
+    groups += [(1000, [one, one[:-1]], [1, 2]), (1001, [one[:-2], one], [3, 3])]  # alike, in different buckets; and one component
+    t = buckets(groups)
+    key, label, sig = t["key"].to_pylist(), t["label"].to_pylist(), np.array(t["sig"].to_pylist())
+    want = {(a, b) for a in range(len(key)) for b in range(a + 1, len(key)) if key[a] == key[b] and label[a] != label[b] and (sig[a] == sig[b]).sum() >= minhash.MATCHES}
+    x, y, _ = linkage._candidates(t, COLUMNS, minhash._test(80, False))
+    found = [tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())]
+    assert len(found) == len(set(found)) and set(found) == want
+    # one task's call handles them all; what it joins is what linked pairs join
+    sets = [s for _, group, _ in groups for s in group]
+    root = {}
+
+    def find(v):
+        while v in root:
+            v = root[v]
+        return v
+
+    def join(pairs):
+        root.clear()
+        for a, b in pairs:
+            if (p := find(label[a])) != (q := find(label[b])):
+                root[p] = q
+        return {frozenset(v for v in label if find(v) == r) for r in map(find, label)}
+
+    out = linkage._joined(t, COLUMNS, minhash._test(80, False), 80)
+    assert join(out) == join([p for p in want if linkage.links(sets[p[0]], sets[p[1]], 80)])
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 10, 1 << 22])
+def test_overlaps_in_bit_maps(bits, monkeypatch):
+    monkeypatch.setattr(linkage, "BITS", bits)
+    rng = np.random.default_rng(4)
+    sets = near(rng, 30) + near(rng, 10, 500, 590) + [np.array([7], np.uint64), np.array([7], np.uint64), np.array([8], np.uint64)]
+    x, y = np.triu_indices(len(sets), 1)
+    both = linkage.Overlaps(sets, 80)
+    want = [linkage.links(sets[a], sets[b], 80) for a, b in zip(x, y)]
+    assert 0 < sum(want) < len(want) and both.link(x, y).tolist() == want
+    assert both.link(x[:0], y[:0]).tolist() == []
+
+
+def test_a_family_in_few_calls(monkeypatch):
+    """Candidates that don't link are tried many at a time, and those within what has been joined aren't tried."""
+    sets = [shingle_set(next(iter(Words().of([t.encode()])))[1][0], 4) for t in family(190)]
+    tried, real = [], linkage.Overlaps.link
+    monkeypatch.setattr(linkage.Overlaps, "link", lambda self, x, y: tried.append(len(x)) or real(self, x, y))
+    out = linkage._joined(buckets([(1, sets, range(190))]), COLUMNS, minhash._test(80, False), 80)
+    assert len(out) <= 189 and sum(tried) < 2000
+    tried.clear()
+    sets = near(np.random.default_rng(5), 150, 60, 78)  # similarity about 0.63, where almost none links
+    linkage._joined(buckets([(1, sets, range(150))]), COLUMNS, minhash._test(80, False), 80)
+    assert sum(tried) > 5000 and len(tried) < 100
+
+
+def test_digests_of_a_run_are_those_of_its_sets():
+    sets = [s for s in near(np.random.default_rng(6), 20)] + [np.empty(0, np.uint64), np.array([5], np.uint64)]
+    assert [tuple(k) for k in linkage.digests_of(sets).tolist()] == [linkage.digest_of(s) for s in sets] and linkage.digest_of(sets[-2]) == (0, 0)
+    assert linkage.digests_of([]).shape == (0, 2)
+
+
+def test_small_buckets_share_tiles(spark, monkeypatch):
+    """Buckets of one block meet in tiles of many, larger ones in tiles of two blocks; no link is lost either way."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(40):
+        base = [f"t{k}x{i}" for i in range(80)]
+        for j in range(rng.randrange(2, 7)):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(80)] = f"n{k}x{j}"
+            texts.append(" ".join(w))
+    want = brute_join(list(enumerate(texts)), 80)
+    for block, size in ((1024, 256), (2, 8)):
+        monkeypatch.setattr(linkage, "BLOCK", block)
+        monkeypatch.setattr(linkage, "BIN", size)
+        assert found(minhash.near_duplicates(table(spark, texts))) == want

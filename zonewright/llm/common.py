@@ -143,10 +143,12 @@ class Words:
         if not len(edge):
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         starts, lens = edge[0::2], edge[1::2] - edge[0::2]
-        at = np.flatnonzero(inside)
         first = np.zeros(len(lens), np.int64)
         np.cumsum(lens[:-1], out=first[1:])
-        terms = self.code[b[at]] * _POW[(np.arange(len(at)) - np.repeat(first, lens)) % LONGEST]
+        place = np.arange(int(lens.sum())) - np.repeat(first, lens)  # of a byte within its word
+        if lens.max() > LONGEST:
+            place %= LONGEST
+        terms = self.code.take(b[inside]) * _POW.take(place)
         out = mix(np.add.reduceat(terms, first) + lens.astype(np.uint64) * _BASE)
         for i in np.flatnonzero(lens > LONGEST):
             out[i] = self._word(b[starts[i] : starts[i] + lens[i]])

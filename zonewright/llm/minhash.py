@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import ngram_join
 from .common import Words, mix, remove, shingle_set, stored
-from .linkage import components, digest_of, mixed, sets_of, tile_links, verified
+from .linkage import components, digests_of, mixed, sets_of, tile_links, verified
 
 #: Words of a shingle, least similarity in percent, coordinates, and collisions of a pair that is verified.
 WORDS, PERCENT, COORDINATES, MATCHES = 4, 80, 64, 30
@@ -87,7 +87,7 @@ def _signed(docs: DataFrame, ident: str, text: str, words: int, percent: int) ->
             pairs, sizes, sigs = [], [], []
             for _, arrays in split.of([x.as_py() for x in b.column(1)]):
                 sets = [shingle_set(h, words) for h in arrays]
-                pairs += map(digest_of, sets)
+                pairs += digests_of(sets).tolist()
                 sizes += map(len, sets)
                 large = [s for s in sets if len(s) >= least]
                 rows = iter(signatures(large).view(np.int32)) if large else iter(())
@@ -186,7 +186,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: i
         if not once:
             longest = now.groupBy("d").agg(F.max_by("key", F.struct("own", "key")).alias("key"))
             now = now.drop("own").join(now.join(longest.hint("merge"), ["d", "key"], "left_semi").select("key").distinct().hint("merge"), "key", "left_semi")
-        more = stored(tile_links(now.join(marks.hint("merge"), "d"), sets, _test(percent, once), percent, paths), "minhash-links", paths)
+        more = stored(tile_links(now, marks, ["d"], sets, _test(percent, once), percent, paths), "minhash-links", paths)
         if not more.isEmpty():
             edges = edges.unionByName(more)
             labels = components(edges, paths)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mix, remove, shingle_set, stored
-from .linkage import components, digest_of, mixed, sets_of, tile_links
+from .linkage import components, digests_of, mixed, sets_of, tile_links
 from .linkage import tokens_of as _tokens
 from .linkage import verified as _verified
 
@@ -143,11 +143,10 @@ def _screened(docs: DataFrame, ident: str, text: str, words: int, screen: float)
         for b in batches:
             digests, sizes, low = [], [], []
             for _, arrays in split.of([x.as_py() for x in b.column(1)]):
-                for h in arrays:
-                    s = shingle_set(h, words)
-                    digests.append(digest_of(s))
-                    sizes.append(len(s))
-                    low.append(s[: np.searchsorted(s, bound)])
+                sets = [shingle_set(h, words) for h in arrays]
+                digests += digests_of(sets).tolist()
+                sizes += map(len, sets)
+                low += [s[: np.searchsorted(s, bound)] for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in digests], pa.int64()) for k in (0, 1)), pa.array(sizes, pa.int64()), _lists(low)], names=["id", "a", "b", "n", "low"])
 
     return docs.select(F.col(ident), F.col(text).cast("binary")).mapInArrow(run, f"id {kind}, a long, b long, n long, low array<long>")
@@ -255,7 +254,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: i
             best = now.select("key", "d").join(sizes.hint("merge"), "key").groupBy("d").agg(F.max_by("key", F.struct("m", "key")).alias("key")).select("key").distinct()
             now = now.join(best.hint("merge"), "key", "left_semi")
         marks = _signed(whole.join(now.select("d").distinct().hint("merge"), "d", "left_semi"), percent)
-        more = stored(tile_links(now.join(marks.hint("merge"), ["d", "c"]).drop("c"), whole, _test(percent), percent, paths), "join-links", paths)
+        more = stored(tile_links(now, marks, ["d", "c"], whole, _test(percent), percent, paths), "join-links", paths)
         if not more.isEmpty():
             edges = edges.unionByName(more)
             labels = components(edges, paths)
