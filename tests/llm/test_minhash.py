@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from zonewright.llm import linkage, minhash
+from zonewright.llm import linkage, minhash, ngram_join
 from zonewright.llm.common import Words, ship, shingle_set
 
 from test_llm import DOCS, brute_join, edge_docs, empty_docs, words
@@ -189,3 +189,18 @@ def test_small_buckets_share_tiles(spark, monkeypatch):
         monkeypatch.setattr(linkage, "BLOCK", block)
         monkeypatch.setattr(linkage, "BIN", size)
         assert found(minhash.near_duplicates(table(spark, texts))) == want
+
+
+def test_buckets_of_different_rungs_share_no_tile(spark):
+    """Signatures are as wide as their rung asks for; buckets of two rungs in one tile could not be read as one matrix."""
+    ladder, rng = ngram_join.Ladder(), np.random.default_rng(1)
+    members, marks, sets = [], [], []
+    for d, n in enumerate((40, 40, 200, 200, 200)):
+        tokens = np.sort(rng.integers(0, 2**63, n, np.uint64)) if d in (0, 2) else np.sort(np.append(tokens[:-1], np.uint64(d)))
+        c = ladder.rungs(n)[0]
+        members.append((1 if n == 40 else 2, c, d, n, n, d))
+        marks.append((d, c, ngram_join.signature(tokens, ladder, c)))
+        sets.append((d, tokens.view(np.int64).tolist()))
+    frames = [spark.createDataFrame(*x) for x in ((members, "key long, c long, d long, n long, s long, label long"), (marks, "d long, c long, sig binary"), (sets, "d long, tokens array<long>"))]
+    out = {frozenset(r) for r in linkage.tile_links(frames[0], frames[1], ["d", "c"], frames[2], ngram_join._test(85), 85, []).collect()}
+    assert len(out) == 3 and frozenset((0, 1)) in out and frozenset().union(*out - {frozenset((0, 1))}) == {2, 3, 4}

@@ -9,6 +9,8 @@ joins its ends: a tile of c components puts out at most c - 1 links, and no link
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -234,28 +236,35 @@ def _joined(t: pa.Table, columns: list[str], test: Test, percent: int) -> list[t
 
 
 def tile_links(members: DataFrame, marks: DataFrame, on: list[str], sets: DataFrame, test: Test, percent: int, paths: list[str]) -> DataFrame:
-    """Links (a, b) that join components within the buckets of members (key, d, n, label). marks has what else the test reads, by the columns on."""
+    """Links (a, b) that join components within the buckets of members (key, d, n, label). marks has what else the test reads, by the columns on.
+
+    A bucket has one value of each column of on but d, and only rows alike in these share a tile: their marks are of one width.
+    """
+    kinds = [c for c in on if c != "d"]
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / TOKENS)).cast("int")
     sizes = members.groupBy("key").agg(blocks.alias("blocks"))
-    total = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bins = max(1, -(-total[0] // BIN), -(-total[1] // TOKENS))
+    totals = members.groupBy(*kinds).agg(F.count("*").alias("_m"), F.coalesce(F.sum("n"), F.lit(0)).alias("_t")).collect()  # a row for each rung
+    bins = F.lit(1)
+    for r in totals:
+        many = F.lit(max(1, -(-r["_m"] // BIN), -(-r["_t"] // TOKENS)))
+        bins = F.when(reduce(and_, (F.col(c) == r[c] for c in kinds)), many).otherwise(bins) if kinds else many
     # buckets of one block share tiles; the number of a bin may be a key as well, since rows of different buckets aren't paired
-    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key", F.lit(13)), F.lit(bins))).otherwise(F.col("key"))
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key", F.lit(13)), bins)).otherwise(F.col("key"))
     rows = members.join(sizes.hint("merge"), "key").withColumn("at", F.pmod(F.xxhash64("d", F.lit(11)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("tile", tile).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(marks.hint("merge"), on)
     columns = [c for c in members.columns + marks.columns if c not in {"key", *on} - {"d"}]
     columns = list(dict.fromkeys(columns)) + ["at"]
-    rows = rows.select("tile", "key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), *columns)
+    rows = rows.select("tile", "key", *kinds, F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), *columns)
 
     def mark(t: pa.Table) -> pa.Table:
         x, y, _ = _candidates(t, columns, test)
         return t.take(pa.array(np.union1d(x, y)))
 
-    marked = stored(rows.groupBy("tile", "i", "j").applyInArrow(mark, rows.schema), "link-marked", paths)
+    marked = stored(rows.groupBy("tile", "i", "j", *kinds).applyInArrow(mark, rows.schema), "link-marked", paths)
     full = marked.hint("merge").join(sets.select("d", "tokens"), "d")
 
     def join(t: pa.Table) -> pa.Table:
         found = _joined(t, columns, test, percent)
         return pa.table({c: pa.array([p[k] for p in found], pa.int64()) for k, c in enumerate("ab")})
 
-    return full.groupBy("tile", "i", "j").applyInArrow(join, "a long, b long").distinct()
+    return full.groupBy("tile", "i", "j", *kinds).applyInArrow(join, "a long, b long").distinct()
