@@ -330,3 +330,12 @@ def test_prose_in_a_zone_s_shape_is_not_found(spark, tmp_path):
     got = {r["doc_id"]: (r["zone_format"], r["valid"], r["error"]) for r in catalog.scan_documents(spark, str(tmp_path)).collect()}
     assert got == {k: (None, False, "NotFound") for k in (1, 2, 4, 5)} | {3: ("Td3", True, None)}
     assert [scan.search(t) is not None for t in (prose, merged)] == [True, True]
+
+
+def test_a_page_s_lines_are_scored_once(spark):
+    """The band's score, start, length and box read one computation of the lines' scores; each used to repeat it, and that of the page's lines."""
+    df = spark.createDataFrame([([(L2, (5.0, 20.0, 440.0, 16.0))] * 2,)], "lines array<struct<text: string, bbox: struct<x: double, y: double, w: double, h: double>>>")
+    df = df.select(ocr_lines.band(F.filter("lines", lambda x: x["text"] != "no line")).alias("b"))
+    assert (df.first().b.start, df.first().b.len) == (0, 2)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("no line"), plan.count("regexp_replace")) == (1, 2)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checksum import let
 from ..functions.text import strip_space
 from ..schemas import ALPHABET
 
@@ -22,12 +23,15 @@ MARGIN = 1.2
 
 def line_score(text: Column, width: Column, height: Column) -> Column:
     """Share of zone characters, times how near the length is to a zone's, times how near a glyph's aspect is."""
-    t = strip_space(text)
-    n = F.length(t).cast("double")
-    density = F.length(F.regexp_replace(t, f"[^{ALPHABET}]", "")) / n
-    near = F.greatest(*(F.greatest(F.lit(0.0), 1 - F.abs(n - w) / TOLERANCE) for w in LENGTHS))
-    shape = F.when(height > 0, F.greatest(F.lit(0.0), 1 - F.abs(width.cast("double") / n / height.cast("double") - ASPECT) / ASPECT)).otherwise(0.0)
-    return F.when(n == 0, 0.0).otherwise(density * near * shape)
+
+    def of(t: Column) -> Column:
+        n = F.length(t).cast("double")
+        density = F.length(F.regexp_replace(t, f"[^{ALPHABET}]", "")) / n
+        near = F.greatest(*(F.greatest(F.lit(0.0), 1 - F.abs(n - w) / TOLERANCE) for w in LENGTHS))
+        shape = F.when(height > 0, F.greatest(F.lit(0.0), 1 - F.abs(width.cast("double") / n / height.cast("double") - ASPECT) / ASPECT)).otherwise(0.0)
+        return F.when(n == 0, 0.0).otherwise(density * near * shape)
+
+    return let(strip_space(text), of)
 
 
 def union_box(boxes: Column) -> Column:
@@ -44,19 +48,23 @@ def box_from_points(xs: Column, ys: Column) -> Column:
 def band(lines: Column) -> Column:
     """struct<start, len, score, box> of the best two or three neighbouring lines of a page (array<struct<text, bbox, ..>>); null below the least score.
 
-    Pairs come before triples, and the first of equals wins.
+    Pairs come before triples, and the first of equals wins. Lines, their scores and the best window are computed once a page, not again for each use.
     """
-    scores = F.transform(lines, lambda x: line_score(x["text"], x["bbox"]["w"], x["bbox"]["h"]))
+    scores = lambda page: F.transform(page, lambda x: line_score(x["text"], x["bbox"]["w"], x["bbox"]["h"]))
+    return let(lines, lambda page: let(scores(page), lambda s: _best_window(page, s)))
 
+
+def _best_window(lines: Column, scores: Column) -> Column:
     def windows(k: int) -> Column:
         at = F.when(F.size(lines) >= k, F.sequence(F.lit(0), F.size(lines) - k)).otherwise(F.array().cast("array<int>"))
         mean = lambda i: reduce(lambda a, b: a + b, (F.get(scores, i + j) for j in range(k))) / k
         return F.transform(at, lambda i: F.struct((-mean(i)).alias("s"), F.lit(k).alias("k"), i.alias("i")))
 
-    best = F.array_min(F.concat(windows(2), windows(3)))
-    boxes = F.transform(F.slice(lines, best["i"] + 1, best["k"]), lambda x: x["bbox"])
-    found = F.struct(best["i"].alias("start"), best["k"].alias("len"), (-best["s"]).alias("score"), union_box(boxes).alias("box"))
-    return F.when(-best["s"] >= LEAST, found)
+    def found(best: Column) -> Column:
+        boxes = F.transform(F.slice(lines, best["i"] + 1, best["k"]), lambda x: x["bbox"])
+        return F.when(-best["s"] >= LEAST, F.struct(best["i"].alias("start"), best["k"].alias("len"), (-best["s"]).alias("score"), union_box(boxes).alias("box")))
+
+    return let(F.array_min(F.concat(windows(2), windows(3))), found)
 
 
 def guess_format(lines: Column) -> Column:
