@@ -339,3 +339,10 @@ def test_a_page_s_lines_are_scored_once(spark):
     assert (df.first().b.start, df.first().b.len) == (0, 2)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert (plan.count("no line"), plan.count("regexp_replace")) == (1, 2)
+
+
+@pytest.mark.parametrize("name, part", [("mean_cer_by_field", "% 11"), ("lifted_records", "from_json(")])
+def test_inputs_are_computed_once(spark, name, part):
+    """A query's zone, record or text stands in its plan once, not again for each expression that reads it."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(part) == 1

@@ -80,7 +80,7 @@ def keyword_hits(c: Column, groups: dict[str, tuple[str, ...]]) -> Column:
 
 def character_error_rate(expected: Column, got: Column) -> Column:
     """Edits a character of what was expected; 0 for both empty and 1 for a text where none was expected."""
-    return F.when(F.length(expected) == 0, F.when(F.length(got) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(expected, got) / F.length(expected))
+    return F.when(expected == got, 0.0).when(F.length(expected) == 0, 1.0).otherwise(F.levenshtein(expected, got) / F.length(expected))
 
 
 def sha256_hex(c: Column) -> Column:
