@@ -346,3 +346,16 @@ def test_inputs_are_computed_once(spark, name, part):
     """A query's zone, record or text stands in its plan once, not again for each expression that reads it."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(part) == 1
+
+
+def test_readings_that_cannot_count_are_not_made(monkeypatch):
+    """Lines that begin no zone of a format aren't repaired for it, and a damaged line's readings are made only beside lines that have some; both used to be most of the search."""
+    made, fitted = [], []
+    real, fits = scan.Damaged, scan.fits
+    monkeypatch.setattr(scan, "Damaged", lambda n, f, line, lost, repair: made.append((f.name, line)) or real(n, f, line, lost, repair))
+    monkeypatch.setattr(scan, "fits", lambda n, width: fitted.append(width) or fits(n, width))
+    for c in (scan._damaged, scan._undamaged, scan.readings):
+        c.cache_clear()
+    l1 = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<"
+    assert scan.search(f"{l1}\n{L2[:15]}{L2[16:]}")[0].name == "Td3"
+    assert made and {x[0] for x in made} == {"Td3"} and set(fitted) == {44}
