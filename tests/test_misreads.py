@@ -96,3 +96,12 @@ def test_names_meet_their_spellings_and_beginnings(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert spellings.matched(spark.createDataFrame([], "name string"), spark.createDataFrame([], "zone_name string, cut boolean")).count() == 0
+
+
+def test_no_side_of_the_names_is_broadcast(spark):
+    """However small the tables look, neither names nor zone names are gathered on the driver."""
+    people = spark.createDataFrame([("MÜLLER",), ("NUÑEZ",)], "name string")
+    zones = spark.createDataFrame([("MUELLER", False), ("MUXXL", True), ("NUNXXEZ", False)], "zone_name string, cut boolean")
+    df = spellings.matched(people, zones)
+    assert {(r["name"], r["zone_name"]) for r in df.collect()} == {("MÜLLER", "MUELLER"), ("MÜLLER", "MUXXL"), ("NUÑEZ", "NUNXXEZ")}
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()

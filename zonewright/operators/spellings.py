@@ -63,16 +63,16 @@ def matched(people: DataFrame, zones: DataFrame, name: str = "name", zone_name:
     before they meet, however many there are. Null and empty names match nothing.
     """
     p = people.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n_people")).withColumn("form", encoded(F.col("name"))).filter("form <> ''")
-    # a generator is a barrier: keys and patterns are computed once a name
-    p = p.select("name", "n_people", F.explode(F.array(F.struct(*(f(F.col("form")).alias(n) for n, f in (("fold", folded), ("whole", pattern), ("start", begun)))))).alias("x"))
-    p = p.select("name", "n_people", "x.*")
+    # a generator is a barrier: keys are computed once a name; patterns, which are far longer than names, are built of the pairs that meet and never shuffled
+    p = p.select("name", "n_people", "form", F.explode(F.array(folded(F.col("form")))).alias("fold"))
     z = zones.groupBy(F.col(zone_name).alias("zone_name"), F.coalesce(F.col(cut), F.lit(False)).alias("cut")).agg(F.count("*").alias("n_zones")).filter("zone_name <> ''")
     # a cut may fall into UXX or NXX; without its last X a beginning folds to the beginning of the whole's key
     z = z.withColumn("key", folded(F.when(F.col("cut"), F.regexp_replace("zone_name", r"X+\z", "")).otherwise(F.col("zone_name"))))
     n = z.filter("cut").agg(F.sort_array(F.collect_set(F.length("key"))).alias("n")).first()["n"]  # no more than a zone is wide
-    whole = p.join(z.filter("not cut"), F.col("fold") == F.col("key")).filter(F.regexp_like("zone_name", F.col("whole")))
+    # neither side has a proven bound, so none may be broadcast, which would gather it on the driver
+    whole = p.join(z.filter("not cut").hint("merge"), F.col("fold") == F.col("key")).filter(F.regexp_like("zone_name", pattern(F.col("form"))))
     keys = F.filter(F.array(*map(F.lit, n)).cast("array<int>"), lambda i: i <= F.length("fold"))
     starts = p.withColumn("i", F.explode(keys)).withColumn("head", F.substr("fold", F.lit(1), F.col("i")))
-    part = starts.join(z.filter("cut"), F.col("head") == F.col("key")).filter(F.regexp_like("zone_name", F.col("start")))
+    part = starts.join(z.filter("cut").hint("merge"), F.col("head") == F.col("key")).filter(F.regexp_like("zone_name", begun(F.col("form"))))
     cols = ("name", "zone_name", "cut", "n_people", "n_zones")
     return whole.select(*cols).unionByName(part.select(*cols))
